@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from matchloom.llm import linededup
+from matchloom.llm.linededup import op10_line_dedup
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
+from matchloom.llm.sharding import op8_sharding
 
 
 def queries():
     return {
         "op5_quality_rules": op5_quality_rules,
+        "op8_sharding": op8_sharding,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -58,4 +63,5 @@ FROM b
 def oracle_sql():
     return {
         "op5_quality_rules": _op5_sql(),
+        "op10_line_dedup": linededup.SQL,
     }

@@ -53,3 +53,22 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
         F.translate(col, A_TO_Z, A_TO_Z.lower())
     )
+
+
+def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """fn(*columns as lists) -> columns as lists, over slices of at most `rows` rows, so that memory follows the slice
+    and not the partition.  Integers stay integers where a column has nulls."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = fn(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, target)], schema=target)
+
+    return df.mapInArrow(run, schema)

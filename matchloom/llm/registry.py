@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from matchloom.llm import linededup
 from matchloom.llm.linededup import op10_line_dedup
+from matchloom.llm.pieces import op4_sentencepiece
 from matchloom.llm.pii import op2_pii
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
 from matchloom.llm.sharding import op8_sharding
@@ -12,6 +13,7 @@ from matchloom.llm.sharding import op8_sharding
 def queries():
     return {
         "op2_pii": op2_pii,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op8_sharding": op8_sharding,
         "op10_line_dedup": op10_line_dedup,

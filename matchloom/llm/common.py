@@ -40,12 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_cache(key, build):
-    """An object that one Python worker builds once and keeps over its tasks."""
-    kept = sys.__dict__.setdefault("_matchloom_kept", {})
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+class Sent:
+    """A value sent to the workers once, and what each worker makes of it, kept over its tasks until the next one."""
+
+    def __init__(self, spark: SparkSession, kind: str, value):
+        self.kind, self.key = kind, uuid.uuid4().hex
+        self.value = spark.sparkContext.broadcast(value)
+
+    def made(self, build):
+        kept = sys.__dict__.setdefault("_matchloom_kept", {})
+        if self.kind not in kept or kept[self.kind][0] != self.key:
+            kept[self.kind] = (self.key, build(self.value.value))
+        return kept[self.kind][1]
 
 
 def ascii_lower(col):

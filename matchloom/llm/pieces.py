@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from matchloom.llm.common import arrow_map, table, worker_cache
+from matchloom.llm.common import Sent, arrow_map, table
 
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max
@@ -238,30 +238,26 @@ class Encoder:
             yield sum(counts) + 1, " ".join((*decimals, end)), "".join(decoded)[1:]
 
 
-def _encoder(tables_sent) -> Encoder:
-    return worker_cache(("pieces", tables_sent.id), lambda: Encoder(tables_sent.value))
-
-
 def encoded(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """df with ids (array<int>), the end id last."""
     from pyspark.sql.functions import col, pandas_udf
 
-    sent = df.sparkSession.sparkContext.broadcast(tables(model_file))
+    sent = Sent(df.sparkSession, "pieces", tables(model_file))
 
     @pandas_udf("array<int>")
     def ids(texts):
-        e = _encoder(sent)
+        e = sent.made(Encoder)
         return texts.map(lambda x: [*e.encode(x or ""), e.t.end_id])
 
     return df.withColumn("ids", ids(col(text)))
 
 
 def digested(df: DataFrame, model_file: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(tables(model_file))
+    sent = Sent(df.sparkSession, "pieces", tables(model_file))
 
     def run(docs, texts):
         out = []
-        for n, ids, decoded in _encoder(sent).digests([x or "" for x in texts]):
+        for n, ids, decoded in sent.made(Encoder).digests([x or "" for x in texts]):
             out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return [docs, *(map(list, zip(*out)) if out else ([], [], []))]
 

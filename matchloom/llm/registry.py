@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from matchloom.llm import linededup
 from matchloom.llm.linededup import op10_line_dedup
+from matchloom.llm.packing import op7_packing
 from matchloom.llm.pieces import op4_sentencepiece
 from matchloom.llm.pii import op2_pii
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
@@ -15,6 +16,7 @@ def queries():
         "op2_pii": op2_pii,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op10_line_dedup": op10_line_dedup,
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from matchloom.llm import linededup
 from matchloom.llm.linededup import op10_line_dedup
+from matchloom.llm.neardup import op9_minhash_neardup
 from matchloom.llm.packing import op7_packing
 from matchloom.llm.pieces import op4_sentencepiece
 from matchloom.llm.pii import op2_pii
@@ -18,6 +19,7 @@ def queries():
         "op5_quality_rules": op5_quality_rules,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
+        "op9_minhash_neardup": op9_minhash_neardup,
         "op10_line_dedup": op10_line_dedup,
     }
 

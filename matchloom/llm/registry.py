@@ -10,6 +10,7 @@ from matchloom.llm.pieces import op4_sentencepiece
 from matchloom.llm.pii import op2_pii
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
 from matchloom.llm.sharding import op8_sharding
+from matchloom.llm.substring import op6_substring_dedup
 
 
 def queries():
@@ -17,6 +18,7 @@ def queries():
         "op2_pii": op2_pii,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
         "op8_sharding": op8_sharding,
         "op9_minhash_neardup": op9_minhash_neardup,

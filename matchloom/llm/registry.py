@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import linededup
+from matchloom.llm import linededup, topk
 from matchloom.llm.linededup import op10_line_dedup
 from matchloom.llm.neardup import op9_minhash_neardup
 from matchloom.llm.packing import op7_packing
@@ -11,11 +11,13 @@ from matchloom.llm.pii import op2_pii
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
 from matchloom.llm.sharding import op8_sharding
 from matchloom.llm.substring import op6_substring_dedup
+from matchloom.llm.topk import op3_pivot_topk
 
 
 def queries():
     return {
         "op2_pii": op2_pii,
+        "op3_pivot_topk": op3_pivot_topk,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality_rules": op5_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
@@ -72,6 +74,7 @@ FROM b
 
 def oracle_sql():
     return {
+        "op3_pivot_topk": topk.SQL,
         "op5_quality_rules": _op5_sql(),
         "op10_line_dedup": linededup.SQL,
     }

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import Sent, table
 
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,15 @@ class Limits:
 
 
 #: Documents of one packing group.
-GROUP_DOCS = 4000
+GROUP_DOCS = 2000
 
 
 class Tokens:
-    """Ids of texts, by a tokenizer to whose pattern white space is a boundary: stretches between it are encoded once
-    and kept, as bytes of unsigned 32-bit ids."""
+    """Ids of texts, by a tokenizer of words with end marks to whose pattern white space is a boundary.  Stretches
+    between white space are encoded once and kept, as bytes of unsigned 32-bit ids.
+
+    New stretches of letters alone are one word each: they are encoded many at a time as one text, whose ids are cut
+    after each end mark.  Should a text have more marks than stretches, its stretches are encoded one by one."""
 
     def __init__(self, definition: str):
         import os
@@ -50,51 +53,93 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.kept = Tokenizer.from_str(definition), {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+
+    def _encode(self, texts: list[str]):
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        kept, words, rest, pointed = self.kept, set(), [], []
+        for c in new:
+            if c.isalpha():
+                words.add(c)
+            elif c[-1] in ",." and c[:-1].isalpha():
+                pointed.append(c)
+                if c[:-1] not in kept:
+                    words.add(c[:-1])
+            else:
+                rest.append(c)
+        rest += [c for c in ",." if c not in kept]
+        words = list(words)
+        parts = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for part, ids in zip(parts, self._encode([" ".join(p) for p in parts])):
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(part):
+                rest += part
+                continue
+            flat, start = ids.tobytes(), 0
+            for c, stop in zip(part, stops):
+                kept[c] = flat[start:stop]
+                start = stop
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for c, ids in zip(part, self._encode(part)):
+                kept[c] = ids.tobytes()
+        for c in pointed:
+            kept[c] = kept[c[:-1]] + kept[c[-1]]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = []
+        cut, fresh = [], set()
         for t in texts:
             for space in "\t\n\x0b\x0c\r":
                 if space in t:
                     t = t.replace(space, " ")
             cut.append(t.split(" "))
-        fresh = {c for chunks in cut for c in chunks}
-        new = [c for c in fresh if c not in self.kept]
-        if len(self.kept) + len(new) > KEPT_CHUNKS:
-            self.kept.clear()
-            new = list(fresh)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.kept[c] = np.array(e.ids, "<u4").tobytes()
+            fresh.update(cut[-1])
+        new = fresh.difference(self.kept)
+        if len(self.kept) + 2 * len(new) > KEPT_CHUNKS:
+            self.kept = {"": b""}
+            new = fresh - {""}
+        if new:
+            self._learn(new)
         get = self.kept.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
 
 def placed(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:
     """The bin of each piece, by the dot-product heuristic; one piece always fits an empty bin."""
-    limit = np.array([limits.tokens, limits.segments, limits.loss], float)
-    demand = np.stack([tokens, np.ones(len(tokens)), loss], 1) / limit
+    if len(tokens) and (tokens.max() > limits.tokens or loss.max() > limits.loss or limits.segments < 1):
+        raise ValueError("a piece exceeds the limits by itself")
     order = np.lexsort((np.arange(len(tokens)), -loss, -tokens))
-    weighted = demand[order] * demand.mean(0)
-    demand = demand[order]
+    t, s = tokens[order].astype(float), loss[order].astype(float)
+    # A demand's share of a limit, weighted by the mean demand, both in units of the limit.
+    by_token = (t.mean() if len(t) else 0) / limits.tokens**2
+    by_loss = (s.mean() if len(s) else 0) / limits.loss**2
     bins = np.empty(len(order), np.int64)
-    where, bin_no, eps = np.arange(len(order)), 0, 1e-9
-    left = np.ones(3)
-    opened = False
-    while len(where):
-        fits = np.flatnonzero((demand <= left + eps).all(1))
-        if not len(fits):
-            if not opened:
-                raise ValueError("a piece exceeds the limits by itself")
-            bin_no, left, opened = bin_no + 1, np.ones(3), False
-            continue
-        pick = fits[np.argmax(weighted[fits] @ left)]
-        bins[order[where[pick]]] = bin_no
-        left = left - demand[pick]
-        opened = True
-        where, demand, weighted = (np.delete(x, pick, 0) for x in (where, demand, weighted))
+    where, bin_no, picked = order, 0, 0
+    tokens_left, loss_left, segments_left = limits.tokens, limits.loss, limits.segments
+    for _ in range(len(order)):
+        while True:
+            # Every piece is one segment, so that dimension decides whether any fits and not which.
+            inner = np.minimum(t, limits.tokens) * (by_token * tokens_left / limits.tokens) + s * (by_loss * loss_left / limits.loss)
+            inner[(t > tokens_left) | (s > loss_left)] = -1.0
+            pick = int(inner.argmax())
+            if segments_left and inner[pick] >= 0:
+                break
+            bin_no += 1
+            tokens_left, loss_left, segments_left = limits.tokens, limits.loss, limits.segments
+        bins[where[pick]] = bin_no
+        tokens_left, loss_left, segments_left = tokens_left - t[pick], loss_left - s[pick], segments_left - 1
+        t[pick] = np.inf  # taken
+        picked += 1
+        if picked == 128:
+            rest = t < np.inf
+            t, s, where, picked = t[rest], s[rest], where[rest], 0
     return bins
 
 

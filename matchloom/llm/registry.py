@@ -11,11 +11,13 @@ from matchloom.llm.pii import op2_pii
 from matchloom.llm.quality import RULES, STOP_WORDS, op5_quality_rules
 from matchloom.llm.sharding import op8_sharding
 from matchloom.llm.substring import op6_substring_dedup
+from matchloom.llm.toxicity import op1_toxicity_chain
 from matchloom.llm.topk import op3_pivot_topk
 
 
 def queries():
     return {
+        "op1_toxicity_chain": op1_toxicity_chain,
         "op2_pii": op2_pii,
         "op3_pivot_topk": op3_pivot_topk,
         "op4_sentencepiece": op4_sentencepiece,

@@ -1,11 +1,570 @@
-"""All queries over the driver tables, with their SQL twins."""
+"""All queries over the driver tables, with their SQL twins.
+
+documents (or part, with its short names) stands in for the catalogue, benchmark passages and product names in capitals
+with a pack size for the queries.  ord, the tie-break, is the table's key.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchloom.functions import text as T
+from matchloom.functions.tables import CONTROL_PROBES, NO_MATCH_PROBES, PACK_TOKEN_PATTERN, QUANTITY_PATTERN, THRESHOLDS
+from matchloom.operators import analysis, docs, index, metrics, profile, rank
+from matchloom.plans import sql as S
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, twin: str | None = None):
+    def kept(fn):
+        QUERIES[name] = fn
+        if twin is not None:
+            ORACLE[name] = twin
+        return fn
+
+    return kept
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Inputs.
+
+
+def word_pairs(doc):
+    return T.with_bigrams(T.word_terms(doc))
+
+
+def documents(spark, d) -> DataFrame:
+    # One file is one task to Spark; text work deserves all cores.
+    rows = _table(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text")
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "ord")
+    return rows.withColumn("tokens", T.simple_tokens(F.col("text"))).withColumn("doc", F.lower(F.coalesce("text", F.lit(""))))
+
+
+def passages(spark, d) -> DataFrame:
+    rows = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rows.withColumn("tokens", T.simple_tokens(F.col("text"))).withColumn("doc", F.lower(F.coalesce("text", F.lit(""))))
+
+
+def products(spark, d) -> DataFrame:
+    named = docs.with_documents(_table(spark, d, "part"), "p_name", "p_brand")
+    return named.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), "p_brand", "doc_raw", "doc")
+
+
+def orders(spark, d) -> DataFrame:
+    """One query per product name, as a buyer would type it; gold is the name's first product."""
+    names = _table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("query_id"))
+    asked = names.select("query_id", F.concat(F.upper("p_name"), F.lit(" C/6 UND")).alias("text"), F.col("query_id").alias("gold"))
+    return T.with_normalised(asked, "text")
+
+
+DOCS_SQL = f"d AS (SELECT doc_id AS ord, text, {S.TOKENS} AS toks, lower(coalesce(text, '')) AS doc FROM documents)"
+PASSAGES_SQL = f"q AS (SELECT item_id AS query_id, text, {S.TOKENS} AS toks, lower(coalesce(text, '')) AS doc FROM benchmark)"
+PRODUCTS_SQL = (
+    """
+raw AS (
+  SELECT p_partkey AS ord, p_name AS name, p_brand,
+         CASE WHEN coalesce(p_brand, '') <> '' AND NOT contains(lower(coalesce(p_name, '')), lower(p_brand))
+              THEN coalesce(p_name, '') || ' ' || p_brand ELSE coalesce(p_name, '') END AS text
+  FROM part
+),"""
+    + S.normal("raw", "d")
+)
+ORDERS_SQL = (
+    """
+asked AS (SELECT min(p_partkey) AS query_id, upper(p_name) || ' C/6 UND' AS text, min(p_partkey) AS gold FROM part GROUP BY p_name),"""
+    + S.normal("asked", "q")
+)
+WITH_DOCS = f"WITH {DOCS_SQL}, {PASSAGES_SQL}"
+WITH_PRODUCTS = f"WITH {PRODUCTS_SQL}, {ORDERS_SQL}"
+BM25_5 = f"{WITH_DOCS}, {S.bm25('d', 'q', 's')}, {S.top('s', 5, 'r')}"
+CHAR_5 = f"{WITH_PRODUCTS}, {S.tfidf('d', 'q', S.char_wb, 's')}, {S.top('s', 5, 'r')}"
+WORD_5 = f"{WITH_PRODUCTS}, {S.tfidf('d', 'q', S.bigrams, 's')}, {S.top('s', 5, 'r')}"
+RANKED = "SELECT query_id, rank, ord, score FROM r"
+
+
+# Normalisation.
+
+
+@query("normalize_text", f"WITH c AS (SELECT conv_id, turn, text FROM conversations), {S.normal('c', 'n')} SELECT conv_id, turn, doc FROM n")
+def normalize_text(spark, d):
+    return T.with_normalised(_table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").drop("text")
+
+
+@query("strip_accents", "SELECT conv_id, turn, strip_accents(lower(text)) AS plain FROM conversations")
+def strip_accents(spark, d):
+    return _table(spark, d, "conversations").select("conv_id", "turn", T.strip_accents(F.lower("text")).alias("plain"))
+
+
+def _labels(spark, d):
+    size = F.col("p_size").cast("string")
+    text = F.concat_ws(" ", F.upper("p_name"), F.concat(size, F.lit(",50 GR")), F.concat(F.lit("12X"), size, F.lit("ML")), F.lit("CERV S/GAS C/6 UND LT"))
+    return T.with_normalised(_table(spark, d, "part").select("p_partkey", text.alias("text")), "text")
+
+
+LABELS_SQL = (
+    "WITH l AS (SELECT p_partkey, upper(p_name) || ' ' || p_size || ',50 GR 12X' || p_size || 'ML CERV S/GAS C/6 UND LT' AS text FROM part),"
+    + S.normal("l", "n")
+)
+
+
+@query("normalize_products", f"{LABELS_SQL} SELECT p_partkey, doc FROM n")
+def normalize_products(spark, d):
+    return _labels(spark, d).select("p_partkey", "doc")
+
+
+@query("qty_tokens", rf"{LABELS_SQL} SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(doc, '{QUANTITY_PATTERN}'))), ' ') AS qty FROM n")
+def qty_tokens(spark, d):
+    return _labels(spark, d).select("p_partkey", F.array_join(F.sort_array(T.quantities(F.col("doc"))), " ").alias("qty"))
+
+
+@query("brand_append_doc", f"WITH {PRODUCTS_SQL} SELECT ord, text AS doc_raw, doc FROM d")
+def brand_append_doc(spark, d):
+    return products(spark, d).select("ord", "doc_raw", "doc")
+
+
+@query("doc_name_only", f"WITH n0 AS (SELECT p_partkey AS ord, p_name AS text FROM part), {S.normal('n0', 'n')} SELECT ord, doc FROM n")
+def doc_name_only(spark, d):
+    return docs.with_documents(_table(spark, d, "part"), "p_name", None).select(F.col("p_partkey").alias("ord"), "doc")
+
+
+# Indexes.
+
+
+@query("term_freq", f"WITH {DOCS_SQL} SELECT ord, term, count(*) AS tf FROM (SELECT ord, unnest(toks) AS term FROM d) GROUP BY ALL")
+def term_freq(spark, d):
+    return index.term_counts(documents(spark, d), "tokens", "ord")
+
+
+@query("corpus_stats", f"WITH {DOCS_SQL} SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM d")
+def corpus_stats(spark, d):
+    return index.corpus_stats(documents(spark, d))
+
+
+@query("doc_freq_idf", f"{WITH_DOCS}, {S.bm25('d', 'q', 's')} SELECT term, df, round(idf, 9) AS idf FROM s_t")
+def doc_freq_idf(spark, d):
+    return index.bm25_index(documents(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query("postings_norm", f"{WITH_DOCS}, {S.bm25('d', 'q', 's')} SELECT term, ord, tf, dl, round(weight, 9) AS weight FROM s_w WHERE term IN (SELECT term FROM s_q)")
+def postings_norm(spark, d):
+    asked = passages(spark, d).select(F.explode("tokens").alias("term")).distinct()
+    found = index.bm25_index(documents(spark, d), vocabulary=asked).postings
+    return found.withColumn("weight", F.round("weight", 9))
+
+
+@query(
+    "charwb_ngrams",
+    f"WITH {PRODUCTS_SQL} SELECT term, count(*) AS n FROM (SELECT unnest({S.char_wb('doc')}) AS term FROM d) GROUP BY term",
+)
+def charwb_ngrams(spark, d):
+    grams = products(spark, d).select(F.explode(T.char_wb(F.col("doc"))).alias("term"))
+    return grams.groupBy("term").agg(F.count("*").alias("n"))
+
+
+# Rankers.
+
+
+@query("bm25_top5", f"{BM25_5} {RANKED}")
+def bm25_top5(spark, d):
+    return rank.bm25(passages(spark, d), documents(spark, d), 5)
+
+
+@query("bm25_top50", f"{WITH_DOCS}, {S.bm25('d', 'q', 's')}, {S.top('s', 50, 'r')} {RANKED}")
+def bm25_top50(spark, d):
+    return rank.bm25(passages(spark, d), documents(spark, d), 50)
+
+
+@query(
+    "bm25_repeated_terms",
+    f"WITH {DOCS_SQL}, q AS (SELECT item_id AS query_id, {S.TOKENS} || {S.TOKENS} AS toks FROM benchmark), {S.bm25('d', 'q', 's')}, {S.top('s', 5, 'r')} {RANKED}",
+)
+def bm25_repeated_terms(spark, d):
+    twice = passages(spark, d).withColumn("tokens", F.concat("tokens", "tokens"))
+    return rank.bm25(twice, documents(spark, d), 5)
+
+
+@query(
+    "bm25_zero_fill",
+    f"WITH {PRODUCTS_SQL}, {PASSAGES_SQL}, {S.bm25('d', 'q', 's')}, {S.padded('s', 'q', 'd', 5, 'z')}, {S.top('z', 5, 'r')} {RANKED}",
+)
+def bm25_zero_fill(spark, d):
+    catalogue = products(spark, d).withColumn("tokens", F.filter(F.split("doc", " "), lambda x: x != ""))
+    return rank.bm25(passages(spark, d), catalogue, 5, pad=True)
+
+
+@query("tfidf_word_top5", f"{WITH_DOCS}, {S.tfidf('d', 'q', S.bigrams, 's')}, {S.top('s', 5, 'r')} {RANKED}")
+def tfidf_word_top5(spark, d):
+    return rank.tfidf(passages(spark, d), documents(spark, d), word_pairs, 5)
+
+
+@query("tfidf_char_top5", f"{CHAR_5} {RANKED}")
+def tfidf_char_top5(spark, d):
+    return rank.tfidf(orders(spark, d), products(spark, d), T.char_wb, 5)
+
+
+@query("bm25_products_top5", f"{WITH_PRODUCTS}, {S.bm25('d', 'q', 's')}, {S.top('s', 5, 'r')} {RANKED}")
+def bm25_products_top5(spark, d):
+    def tokens(df):
+        return df.withColumn("tokens", F.filter(F.split("doc", " "), lambda x: x != ""))
+
+    return rank.bm25(tokens(orders(spark, d)), tokens(products(spark, d)), 5)
+
+
+def _fill(spark, d):
+    asked = orders(spark, d)
+    best = rank.best_match(asked, products(spark, d), T.char_wb)
+    return asked.select("query_id", "text").join(best, "query_id").select("query_id", "text", F.col("ord").alias("matched_id"), F.round("score", 4).alias("score"))
+
+
+FILL = f"""{WITH_PRODUCTS}, {S.tfidf('d', 'q', S.char_wb, 's')}, {S.padded('s', 'q', 'd', 1, 'z')}, {S.top('z', 1, 'r')},
+f AS (SELECT q.query_id, q.text, r.ord AS matched_id, round(r.score, 4) AS score FROM q JOIN r ON q.query_id = r.query_id)"""
+
+
+@query("batch_top1_fill", f"{FILL} SELECT * FROM f")
+def batch_top1_fill(spark, d):
+    return _fill(spark, d)
+
+
+@query(
+    "fill_thresholds",
+    f"""{FILL} SELECT t AS threshold, count(*) FILTER (WHERE score < t) AS n_below, (count(*) FILTER (WHERE score < t))::double / count(*) AS share
+FROM f, (SELECT unnest([{', '.join(map(str, THRESHOLDS))}])::double AS t) GROUP BY t""",
+)
+def fill_thresholds(spark, d):
+    return metrics.below_thresholds(_fill(spark, d), THRESHOLDS)
+
+
+@query(
+    "fill_describe",
+    f"""{FILL} SELECT count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min,
+       quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, max(score) AS max FROM f""",
+)
+def fill_describe(spark, d):
+    out = metrics.described(_fill(spark, d))
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+
+
+@query("reject_threshold", f"{FILL} SELECT query_id, text, CASE WHEN score >= 0.55 THEN matched_id END AS matched_id, score FROM f")
+def reject_threshold(spark, d):
+    return metrics.rejected(_fill(spark, d), 0.55)
+
+
+def _vectors(spark, d):
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").alias("v"))
+
+
+@query(
+    "dense_top5",
+    f"""WITH s AS (
+  SELECT q.item_id AS query_id, e.vec_id AS ord, round(list_dot_product(v.embedding::double[], e.embedding::double[]), 6) AS score
+  FROM benchmark q JOIN embeddings v ON q.item_id = v.vec_id, embeddings e
+), {S.top('s', 5, 'r')} {RANKED}""",
+)
+def dense_top5(spark, d):
+    vectors = _vectors(spark, d)
+    asked = passages(spark, d).join(vectors, F.col("query_id") == F.col("ord")).select("query_id", F.col("v").alias("q"))
+    return rank.dense(asked, vectors, 5)
+
+
+@query(
+    "hybrid_rerank",
+    f"""WITH {DOCS_SQL}, {PASSAGES_SQL},
+dv AS (SELECT d.ord, d.toks, e.embedding AS v FROM d JOIN embeddings e ON d.ord = e.vec_id),
+qv AS (SELECT q.query_id, q.toks, e.embedding AS v FROM q JOIN embeddings e ON q.query_id = e.vec_id),
+{S.bm25('dv', 'qv', 's')}, {S.padded('s', 'qv', 'dv', 50, 'z')}, {S.top('z', 50, 'c')},
+h AS (
+  SELECT c.query_id, c.ord, c.rank AS bm25_rank, round(list_dot_product(qv.v::double[], dv.v::double[]), 6) AS score
+  FROM c JOIN dv ON c.ord = dv.ord JOIN qv ON c.query_id = qv.query_id
+), {S.top('h', 5, 'r', 'bm25_rank', ', bm25_rank')} SELECT * FROM r""",
+)
+def hybrid_rerank(spark, d):
+    vectors = _vectors(spark, d)
+    catalogue = documents(spark, d).join(vectors, "ord").select("ord", "tokens", "v")
+    asked = passages(spark, d).join(vectors, F.col("query_id") == F.col("ord")).select("query_id", "tokens", F.col("v").alias("q"))
+    return rank.hybrid(asked, catalogue, 5)
+
+
+# Metrics.
+
+
+def _gold(spark, d, found: DataFrame) -> DataFrame:
+    """Of the candidates that hold the passage word for word, the first document."""
+    texts = documents(spark, d).select("ord", F.col("text").alias("doc_text"))
+    met = found.join(passages(spark, d).select("query_id", "text"), "query_id").join(texts, "ord")
+    return met.where(F.contains("doc_text", "text")).groupBy("query_id").agg(F.min("ord").alias("gold"))
+
+
+GOLD_SQL = f"""{WITH_DOCS}, {S.bm25('d', 'q', 's')}, {S.top('s', 50, 'r50')}, {S.top('s', 5, 'r')},
+g AS (SELECT r.query_id, min(r.ord) AS gold FROM r50 r JOIN q ON r.query_id = q.query_id JOIN d ON r.ord = d.ord WHERE contains(d.text, q.text) GROUP BY r.query_id),
+{S.hits('r', 'g', 5, 'h')}"""
+
+
+@query("metrics_bm25", f"{GOLD_SQL} SELECT {S.MEASURES} FROM h")
+def metrics_bm25(spark, d):
+    found = rank.bm25(passages(spark, d), documents(spark, d), 50)
+    return metrics.metrics(found, _gold(spark, d, found), 5)
+
+
+@query(
+    "metrics_compare",
+    f"""{CHAR_5}, {S.hits('r', 'q', 5, 'h')}, {S.tfidf('d', 'q', S.bigrams, 'ws')}, {S.top('ws', 5, 'wr')}, {S.hits('wr', 'q', 5, 'wh')},
+{S.bm25('d', 'q', 'bs')}, {S.top('bs', 5, 'br')}, {S.hits('br', 'q', 5, 'bh')}
+SELECT method, round(p1, 3) AS p1, round(mrr, 3) AS mrr, round(recall, 3) AS recall, n FROM (
+  SELECT 'tfidf_char' AS method, {S.MEASURES} FROM h UNION ALL
+  SELECT 'tfidf_word', {S.MEASURES} FROM wh UNION ALL
+  SELECT 'bm25', {S.MEASURES} FROM bh
+)""",
+)
+def metrics_compare(spark, d):
+    asked, catalogue = orders(spark, d), products(spark, d)
+    ranked = {
+        "tfidf_char": rank.tfidf(asked, catalogue, T.char_wb, 5),
+        "tfidf_word": rank.tfidf(asked, catalogue, word_pairs, 5),
+        "bm25": bm25_products_top5(spark, d),
+    }
+    return metrics.compared(ranked, asked.select("query_id", "gold"), 5)
+
+
+@query("score_percentiles", f"{BM25_5} SELECT rank, count(score) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.05), 6) AS p5, min(score) AS min, max(score) AS max FROM r GROUP BY rank")
+def score_percentiles(spark, d):
+    out = metrics.score_stats(bm25_top5(spark, d), "rank")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("p5", F.round("p5", 6))
+
+
+# Profiles.
+
+PROFILED = ("part", "documents", "benchmark", "conversations", "labels", "pages", "embeddings")
+
+
+@query("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in PROFILED))
+def row_counts(spark, d):
+    return profile.row_counts({t: _table(spark, d, t) for t in PROFILED})
+
+
+@query("distinct_counts", "SELECT count(DISTINCT p_partkey) AS p_partkey, count(DISTINCT p_name) AS p_name, count(DISTINCT p_brand) AS p_brand FROM part")
+def distinct_counts(spark, d):
+    return profile.distinct_counts(_table(spark, d, "part"), "p_partkey", "p_name", "p_brand")
+
+
+@query("null_counts", "SELECT count(*) FILTER (WHERE doc_id IS NULL) AS doc_id, count(*) FILTER (WHERE text IS NULL) AS text, count(*) FILTER (WHERE lang IS NULL) AS lang FROM documents")
+def null_counts(spark, d):
+    return profile.null_counts(_table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+@query("all_null_flag", "SELECT coalesce(bool_and(matched_id IS NULL), true) AS all_null FROM (SELECT NULL::bigint AS matched_id FROM benchmark)")
+def all_null_flag(spark, d):
+    blank = _table(spark, d, "benchmark").select(F.lit(None).cast("long").alias("matched_id"))
+    return blank.agg(profile.all_null(blank, "matched_id").alias("all_null"))
+
+
+@query("dup_names", "SELECT p_name, p_partkey FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(*) > 1)")
+def dup_names(spark, d):
+    return profile.duplicated(_table(spark, d, "part").select("p_name", "p_partkey"), "p_name")
+
+
+@query(
+    "dup_groups",
+    """SELECT p_name, n, array_to_string(list_slice(ids, 1, 20), ' ') AS members FROM (
+  SELECT p_name, count(*) AS n, list(p_partkey ORDER BY p_partkey) AS ids FROM part GROUP BY p_name HAVING count(*) > 1 ORDER BY p_name LIMIT 5)""",
+)
+def dup_groups(spark, d):
+    found = profile.duplicate_groups(_table(spark, d, "part"), "p_name", "p_partkey")
+    return found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), " "))
+
+
+@query("top_brands", "SELECT p_brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 15")
+def top_brands(spark, d):
+    return profile.top_values(_table(spark, d, "part"), "p_brand", 15)
+
+
+@query("first_word_category", "SELECT lower(string_split(trim(p_name), ' ')[1]) AS category, count(*) AS n FROM part GROUP BY category ORDER BY n DESC, category LIMIT 15")
+def first_word_category(spark, d):
+    words = _table(spark, d, "part").select(profile.first_word(F.col("p_name")).alias("category"))
+    return profile.top_values(words, "category", 15)
+
+
+@query(
+    "text_lengths",
+    r"""SELECT min(c)::double AS min_chars, median(c)::double AS median_chars, max(c)::double AS max_chars,
+       min(t)::double AS min_tokens, median(t)::double AS median_tokens, max(t)::double AS max_tokens
+FROM (SELECT length(text) AS c, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS t FROM conversations WHERE text IS NOT NULL)""",
+)
+def text_lengths(spark, d):
+    return profile.lengths(_table(spark, d, "conversations"), "text")
+
+
+@query("top_tokens", r"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '\S+')) AS token FROM conversations) GROUP BY token ORDER BY n DESC, token LIMIT 30")
+def top_tokens(spark, d):
+    return profile.top_values(profile.upper_tokens(_table(spark, d, "conversations"), "text"), "token", 30)
+
+
+PACKS_SQL = "SELECT upper(p_name) || ' C/' || p_size || ' 12X' || p_size || 'ML CX12, UND' AS text FROM part"
+
+
+def _packs(spark, d):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.upper("p_name"), F.lit(" C/"), size, F.lit(" 12X"), size, F.lit("ML CX12, UND"))
+    return _table(spark, d, "part").select(text.alias("text"))
+
+
+@query("pack_tokens_full", rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '\S+')) AS token FROM ({PACKS_SQL})) WHERE regexp_full_match(token, '{PACK_TOKEN_PATTERN}') GROUP BY token ORDER BY n DESC, token LIMIT 15")
+def pack_tokens_full(spark, d):
+    return profile.top_values(profile.pack_tokens(_packs(spark, d), "text"), "token", 15)
+
+
+@query("pack_tokens_find", rf"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '\b(?:{PACK_TOKEN_PATTERN})\b')) AS token FROM ({PACKS_SQL})) GROUP BY token ORDER BY n DESC, token LIMIT 15")
+def pack_tokens_find(spark, d):
+    return profile.top_values(profile.pack_tokens(_packs(spark, d), "text", whole=False), "token", 15)
+
+
+@query("label_semi", "SELECT count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def label_semi(spark, d):
+    found = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left_semi")
+    return found.agg(F.count("*").alias("n"))
+
+
+@query("label_anti", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 5")
+def label_anti(spark, d):
+    return profile.outside(_table(spark, d, "documents").select("doc_id", "lang"), _table(spark, d, "labels"), "doc_id", "doc_id")
+
+
+@query(
+    "label_cover",
+    """SELECT count(*) FILTER (WHERE l <> '' AND l IN (SELECT doc_id::varchar FROM labels)) AS inside, count(*) FILTER (WHERE l = '') AS empty,
+       count(*) FILTER (WHERE l <> '' AND l NOT IN (SELECT doc_id::varchar FROM labels)) AS outside
+FROM (SELECT coalesce(doc_id::varchar, '') AS l FROM documents)""",
+)
+def label_cover(spark, d):
+    return profile.label_cover(_table(spark, d, "documents"), _table(spark, d, "labels"), "doc_id", "doc_id")
+
+
+@query("text_overlap", "SELECT count(*) AS n FROM ((SELECT p_name FROM part INTERSECT SELECT p_name FROM part WHERE p_size > 40) UNION (SELECT p_name FROM part INTERSECT SELECT lower(text) FROM benchmark))")
+def text_overlap(spark, d):
+    part = _table(spark, d, "part")
+    names = part.select("p_name")
+    found = profile.shared_texts(names, part.where("p_size > 40").select("p_name"), _table(spark, d, "benchmark").select(F.lower("text")))
+    return found.agg(F.count("*").alias("n"))
+
+
+@query("upper_share", "SELECT avg(CASE WHEN upper(text) = text AND lower(text) <> text THEN 1::double ELSE 0 END) AS upper_share FROM (SELECT text FROM conversations UNION ALL SELECT upper(p_name) AS text FROM part)")
+def upper_share(spark, d):
+    texts = _table(spark, d, "conversations").select("text").union(_table(spark, d, "part").select(F.upper("p_name")))
+    return profile.upper_share(texts, "text")
+
+
+@query("head_sample", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 6")
+def head_sample(spark, d):
+    return _table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_name", "p_partkey").limit(6)
+
+
+# Analysis.
+
+CORRECT_SQL = f"""{CHAR_5},
+m AS (SELECT q.query_id, q.gold, r.ord AS top, r.score, coalesce(r.ord = q.gold, false) AS correct FROM q LEFT JOIN r ON q.query_id = r.query_id AND r.rank = 1),
+{S.tfidf('d', 'q', S.bigrams, 'ws')}, {S.top('ws', 5, 'wr')},
+wm AS (SELECT q.query_id, coalesce(r.ord = q.gold, false) AS correct FROM q LEFT JOIN wr r ON q.query_id = r.query_id AND r.rank = 1)"""
+
+
+def _first(spark, d, terms=T.char_wb):
+    asked = orders(spark, d)
+    return analysis.first_matches(rank.tfidf(asked, products(spark, d), terms, 5), asked.select("query_id", "gold"))
+
+
+@query("hits_errors", f"{CORRECT_SQL} SELECT query_id, gold, top, score, correct FROM m")
+def hits_errors(spark, d):
+    return _first(spark, d)
+
+
+@query("score_by_correct", f"{CORRECT_SQL} SELECT correct, count(score) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.05), 6) AS p5, min(score) AS min, max(score) AS max FROM m GROUP BY correct")
+def score_by_correct(spark, d):
+    out = metrics.score_stats(_first(spark, d), "correct")
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("p5", F.round("p5", 6))
+
+
+@query("error_set_algebra", f"""{CORRECT_SQL} SELECT m.query_id, CASE WHEN NOT m.correct AND NOT wm.correct THEN 'both' WHEN NOT m.correct THEN 'only_one' ELSE 'only_two' END AS side
+FROM m JOIN wm ON m.query_id = wm.query_id WHERE NOT m.correct OR NOT wm.correct""")
+def error_set_algebra(spark, d):
+    return analysis.error_sets(_first(spark, d), _first(spark, d, word_pairs))
+
+
+@query("gold_position", f"{CHAR_5}, {S.hits('r', 'q', 5, 'h')} SELECT query_id, coalesce(hit::varchar, '>5') AS position FROM h")
+def gold_position(spark, d):
+    asked = orders(spark, d)
+    return analysis.gold_positions(rank.tfidf(asked, products(spark, d), T.char_wb, 5), asked.select("query_id", "gold"))
+
+
+@query("diagnose", f"""{CHAR_5}, x AS (
+  SELECT r.query_id, r.ord, regexp_extract_all(g.doc, '{QUANTITY_PATTERN}') AS gq, regexp_extract_all(f.doc, '{QUANTITY_PATTERN}') AS fq,
+         list_distinct(g.toks) AS gt, list_distinct(f.toks) AS ft
+  FROM r JOIN d g ON r.query_id = g.ord JOIN d f ON r.ord = f.ord WHERE r.rank = 1
+)
+SELECT query_id, ord, CASE
+  WHEN list_sort(list_distinct(gq)) <> list_sort(list_distinct(fq))
+       AND len(list_filter(gt, lambda t: NOT list_contains(gq, t) AND list_contains(ft, t) AND NOT list_contains(fq, t))) > 0 THEN 'tamanho/quantidade errada'
+  WHEN len(list_intersect(gt, ft)) >= greatest(2, len(gt) // 2) THEN 'variante/sabor/versão errada do mesmo produto'
+  ELSE 'produto diferente (similaridade lexical enganosa)' END AS diagnosis
+FROM x""")
+def diagnose(spark, d):
+    names = products(spark, d).select("ord", "doc_raw")
+    first = rank.tfidf(orders(spark, d), products(spark, d), T.char_wb, 5).where("rank = 1").select("query_id", "ord")
+    pairs = first.join(names.toDF("query_id", "gold_name"), "query_id").join(names.toDF("ord", "top_name"), "ord")
+    return analysis.diagnosed(pairs).select("query_id", "ord", "diagnosis")
+
+
+@query("ambiguous_top2", f"""{CHAR_5}, dn AS (SELECT name FROM d GROUP BY name HAVING count(*) > 1),
+p AS (
+  SELECT query_id, max(CASE WHEN rank = 1 THEN name END) AS name_1, max(CASE WHEN rank = 2 THEN name END) AS name_2,
+         round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS delta
+  FROM r JOIN d ON r.ord = d.ord WHERE rank <= 2 GROUP BY query_id
+), x AS (SELECT *, name_1 IN (SELECT name FROM dn) OR name_1 = name_2 AS duplicate_name FROM p WHERE delta IS NOT NULL)
+SELECT query_id, name_1, name_2, delta, duplicate_name FROM x WHERE duplicate_name OR delta < 0.01 ORDER BY query_id LIMIT 8""")
+def ambiguous_top2(spark, d):
+    catalogue = products(spark, d)
+    return analysis.ambiguous(rank.tfidf(orders(spark, d), catalogue, T.char_wb, 5), catalogue.select("ord", "name"))
+
+
+@query("near_ties", f"{BM25_5} SELECT query_id, delta FROM (SELECT query_id, rank, round(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 6) AS delta FROM r) WHERE rank = 1 AND delta < 0.5")
+def near_ties(spark, d):
+    return analysis.near_ties(bm25_top5(spark, d), 0.5)
+
+
+PROBES = [*NO_MATCH_PROBES, *CONTROL_PROBES]
+PROBE_SQL = (
+    f"WITH {PRODUCTS_SQL}, asked AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(PROBES))}) v(query_id, text)),"
+    + S.normal("asked", "q")
+)
+
+
+@query("nomatch_probe_top3", f"""{PROBE_SQL}, {S.tfidf('d', 'q', S.char_wb, 's')}, {S.padded('s', 'q', 'd', 3, 'z')}, {S.top('z', 3, 'r')}
+SELECT query_id::bigint AS query_id, string_agg(name, '; ' ORDER BY rank) AS names, string_agg(printf('%.3f', score), '; ' ORDER BY rank) AS scores
+FROM r JOIN d ON r.ord = d.ord GROUP BY query_id""")
+def nomatch_probe_top3(spark, d):
+    probes = spark.createDataFrame(list(enumerate(PROBES)), "query_id long, text string")
+    catalogue = products(spark, d)
+    ranked = rank.tfidf(T.with_normalised(probes, "text"), catalogue, T.char_wb, 3, pad=True)
+    return analysis.probe_table(ranked, catalogue.select("ord", "name"))
+
+
+@query("topk_nested", f"""{CHAR_5} SELECT q.query_id, q.text, g.ord::varchar AS gold_id, g.name AS gold_name,
+  string_agg(r.ord || ':' || d.name || ':' || printf('%.4f', r.score), '; ' ORDER BY rank) AS top
+FROM q JOIN d g ON q.gold = g.ord LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN d ON r.ord = d.ord GROUP BY ALL""")
+def topk_nested(spark, d):
+    asked, catalogue = orders(spark, d), products(spark, d)
+    names = catalogue.select("ord", F.col("ord").cast("string").alias("id"), "name")
+    rows = analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5), asked.select("query_id", "text"), asked.select("query_id", "gold"), names)
+    flat = F.transform("top", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.4f", x["score"])))
+    return rows.withColumn("top", F.array_join(flat, "; "))

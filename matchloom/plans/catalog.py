@@ -250,12 +250,12 @@ def fill_thresholds(spark, d):
 
 @query(
     "fill_describe",
-    f"""{FILL} SELECT count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, min(score) AS min,
+    f"""{FILL} SELECT count(score) AS n, round(avg(score), 9) AS mean, round(stddev_samp(score), 9) AS std, min(score) AS min,
        quantile_cont(score, 0.25) AS p25, quantile_cont(score, 0.5) AS p50, quantile_cont(score, 0.75) AS p75, max(score) AS max FROM f""",
 )
 def fill_describe(spark, d):
     out = metrics.described(_fill(spark, d))
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return out.withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
 @query("reject_threshold", f"{FILL} SELECT query_id, text, CASE WHEN score >= 0.55 THEN matched_id END AS matched_id, score FROM f")
@@ -339,10 +339,10 @@ def metrics_compare(spark, d):
     return metrics.compared(ranked, asked.select("query_id", "gold"), 5)
 
 
-@query("score_percentiles", f"{BM25_5} SELECT rank, count(score) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.05), 6) AS p5, min(score) AS min, max(score) AS max FROM r GROUP BY rank")
+@query("score_percentiles", f"{BM25_5} SELECT rank, count(score) AS n, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.05), 9) AS p5, min(score) AS min, max(score) AS max FROM r GROUP BY rank")
 def score_percentiles(spark, d):
     out = metrics.score_stats(bm25_top5(spark, d), "rank")
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("p5", F.round("p5", 6))
+    return out.withColumn("mean", F.round("mean", 9)).withColumn("p5", F.round("p5", 9))
 
 
 # Profiles.
@@ -489,10 +489,10 @@ def hits_errors(spark, d):
     return _first(spark, d)
 
 
-@query("score_by_correct", f"{CORRECT_SQL} SELECT correct, count(score) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.05), 6) AS p5, min(score) AS min, max(score) AS max FROM m GROUP BY correct")
+@query("score_by_correct", f"{CORRECT_SQL} SELECT correct, count(score) AS n, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.05), 9) AS p5, min(score) AS min, max(score) AS max FROM m GROUP BY correct")
 def score_by_correct(spark, d):
     out = metrics.score_stats(_first(spark, d), "correct")
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("p5", F.round("p5", 6))
+    return out.withColumn("mean", F.round("mean", 9)).withColumn("p5", F.round("p5", 9))
 
 
 @query("error_set_algebra", f"""{CORRECT_SQL} SELECT m.query_id, CASE WHEN NOT m.correct AND NOT wm.correct THEN 'both' WHEN NOT m.correct THEN 'only_one' ELSE 'only_two' END AS side
@@ -560,11 +560,11 @@ def nomatch_probe_top3(spark, d):
 
 
 @query("topk_nested", f"""{CHAR_5} SELECT q.query_id, q.text, g.ord::varchar AS gold_id, g.name AS gold_name,
-  string_agg(r.ord || ':' || d.name || ':' || printf('%.4f', r.score), '; ' ORDER BY rank) AS top
+  string_agg(r.ord || ':' || d.name || ':' || printf('%.6f', r.score), '; ' ORDER BY rank) AS top
 FROM q JOIN d g ON q.gold = g.ord LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN d ON r.ord = d.ord GROUP BY ALL""")
 def topk_nested(spark, d):
     asked, catalogue = orders(spark, d), products(spark, d)
     names = catalogue.select("ord", F.col("ord").cast("string").alias("id"), "name")
-    rows = analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5), asked.select("query_id", "text"), asked.select("query_id", "gold"), names)
-    flat = F.transform("top", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.4f", x["score"])))
+    rows = analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5), asked.select("query_id", "text"), asked.select("query_id", "gold"), names, digits=6)
+    flat = F.transform("top", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.6f", x["score"])))
     return rows.withColumn("top", F.array_join(flat, "; "))

@@ -78,7 +78,7 @@ def char_wb(doc: str) -> str:
 
 def bigrams(doc: str) -> str:
     w = WORDS.format(doc)
-    return f"{w} || list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+    return f"{w} || list_transform(list_zip({w}, {w}[2:], true), lambda x: x[1] || ' ' || x[2])"
 
 
 def tfidf(docs: str, queries: str, terms, name: str) -> str:

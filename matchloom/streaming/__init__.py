@@ -1 +1 @@
-
+"""Streams of queries against a static catalogue."""

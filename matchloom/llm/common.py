@@ -40,6 +40,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all others of docs as one, row: no name that an operator uses can clash with theirs."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in columns]
+    return docs.select(*columns, F.struct(*others, F.lit(True).alias(fresh(docs, "some"))).alias("row"))
+
+
+def restored(out: DataFrame, docs: DataFrame, carried_beside: tuple, **changed) -> DataFrame:
+    """out, which has row and the columns that were carried beside it, with the columns of docs, some of them changed."""
+    own = {c: F.col(c) if c in carried_beside else F.col("row").getField(c) for c in docs.columns}
+    return out.select(*(changed.get(c, own[c]).alias(c) for c in docs.columns))
+
+
+#: Ids that are broadcast at most: 8 MB of longs.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of df with the one column of ids, a written table.  Few ids, which are counted first, are
+    broadcast, so that the texts stay where they are; more are joined by a shuffle."""
+    few = ids.count() <= BROADCAST_IDS
+    name = fresh(df, "_of_id")
+    ids = ids.toDF(name)
+    return df.join(F.broadcast(ids) if few else ids, F.col(on) == F.col(name), how)
+
+
 class Sent:
     """A value sent to the workers once, and what each worker makes of it, kept over its tasks until the next one."""
 
@@ -50,6 +83,7 @@ class Sent:
     def made(self, build):
         kept = sys.__dict__.setdefault("_matchloom_kept", {})
         if self.kind not in kept or kept[self.kind][0] != self.key:
+            kept.clear()  # what other operators' tasks have left in this worker
             kept[self.kind] = (self.key, build(self.value.value))
         return kept[self.kind][1]
 
@@ -76,5 +110,6 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
                 part = batch.slice(at, rows)
                 out = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, target)], schema=target)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

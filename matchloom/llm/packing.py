@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import Sent, table
 
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 600_000
 
 
 @dataclass(frozen=True)

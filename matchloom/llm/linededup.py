@@ -9,7 +9,7 @@ only digests travel back: a document learns the set of digests it must drop and
 
 Null and empty texts are one empty line.  Rows that repeat a doc_id count as one document, and each of them drops the
 same keys.  Rows with a null doc_id are not counted and stay whole.  An empty table gives an empty one; extra columns
-are carried along, also under the names used here.
+are carried along, but for _n_lines and _n_dropped, which deduplicated() replaces; stage() keeps those too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACE, ascii_lower, table
+from matchloom.llm.common import SPACE, ascii_lower, carried, fresh, restored, table
 
 
 def line_key(line: Column) -> Column:
@@ -41,21 +41,22 @@ def dropped_keys(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str
 
 def deduplicated(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its text reduced, and _n_lines and _n_dropped."""
-    drop = dropped_keys(df, min_chars, min_docs, doc, text).select(F.col("doc").alias("_drop_doc"), F.col("drop").alias("_drop"))
-    kept_columns = [c for c in df.columns if c not in ("_n_lines", "_n_dropped", "_drop", "_drop_doc", "_all", "_kept")]
+    of, gone, every, left = (fresh(df, n) for n in ("_drop_doc", "_drop", "_all", "_kept"))
+    drop = dropped_keys(df, min_chars, min_docs, doc, text).select(F.col("doc").alias(of), F.col("drop").alias(gone))
+    kept_columns = [c for c in df.columns if c not in ("_n_lines", "_n_dropped")]
     df = df.select(*(F.col(f"`{c}`") for c in kept_columns))
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
-    joined = df.join(drop, F.col(doc) == F.col("_drop_doc"), "left").withColumn("_all", lines)
+    joined = df.join(drop, F.col(doc) == F.col(of), "left").withColumn(every, lines)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return ~((F.length(key) >= min_chars) & F.array_contains(F.col("_drop"), _digest(key)))
+        return ~((F.length(key) >= min_chars) & F.array_contains(F.col(gone), _digest(key)))
 
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", stays)))
+    joined = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col(every)).otherwise(F.filter(every, stays)))
     return joined.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"`{c}`") for c in kept_columns),
-        F.size("_all").cast("long").alias("_n_lines"),
-        (F.size("_all") - F.size("_kept")).cast("long").alias("_n_dropped"),
+        *(F.array_join(left, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in kept_columns),
+        F.size(every).cast("long").alias("_n_lines"),
+        (F.size(every) - F.size(left)).cast("long").alias("_n_dropped"),
     )
 
 
@@ -71,10 +72,8 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with repeated lines gone and n_chars brought up to date; a null text becomes an empty one."""
-    out = deduplicated(docs).drop("_n_lines", "_n_dropped")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = deduplicated(carried(docs, "doc_id", "text"))
+    return restored(out, docs, ("doc_id", "text"), n_chars=F.length("text").cast("long"))
 
 
 SQL = r"""

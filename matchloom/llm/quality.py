@@ -4,7 +4,7 @@ A table of thresholds is compiled into one Spark projection; no user function ru
 blank, tab, line feed, vertical tab, form feed and carriage return.  A null text counts as an empty one, which has no
 words, lines or symbols and fails the base rule.  Each row is judged by itself: repeated rows get equal verdicts,
 an empty table gives an empty one, and other columns pass through untouched unless their names are those of the
-measures, which are replaced.
+measures, which are replaced.  stage() leaves all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACE, SPACE_CLASS, WORD_CLASS
+from matchloom.llm.common import SPACE, SPACE_CLASS, WORD_CLASS, carried, restored, table
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -66,7 +66,10 @@ def _repeat_words(h: str, sorted_h: str) -> Column:
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures of every whole text."""
-    keep = [c for c in df.columns if c not in MEASURES and not c.startswith("_q_")]
+    keep = [c for c in df.columns if c not in MEASURES]
+    clash = next((c for c in keep if c.lower().startswith(("_q_", "_n_"))), None)
+    if clash is not None:
+        raise ValueError(f"column {clash}: names that begin with _q_ or _n_ are taken here; stage() bears them")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.select(*(F.col(f"`{c}`") for c in keep), raw.alias("_q_text"), F.btrim(raw, F.lit(SPACE)).alias("_q_trim"))
     df = df.withColumns({
@@ -147,8 +150,6 @@ def judged(df: DataFrame, rules=RULES, text: str = "text", min_words: int = 50)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from matchloom.llm.common import table
-
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -159,5 +160,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A filter on a plain column would be pushed through the projections and its whole expression written out in it,
     many times over; one on a column that counts as indeterminate stays above them.  The term is always true."""
-    marked = judged(docs).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return marked.where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = judged(carried(docs, "text")).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return restored(marked.where("kept"), docs, ("text",))

@@ -11,7 +11,8 @@ The shuffle carries digests and numbers, never texts.  Counting is by partial ag
 third of all documents is one row a task.
 
 Null and empty texts have no units.  Rows that share a doc_id are one document, whose offsets are those of either row;
-rows with a null doc_id are passed over.  An empty table gives an empty result; extra columns are ignored by spans().
+rows with a null doc_id are passed over.  An empty table gives an empty result; extra columns are ignored by spans();
+deduplicated() carries them along, but for kept_offsets, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_map, table
+from matchloom.llm.common import arrow_map, fresh, table
 
 BREAKS = {
     "line": re.compile(r"\n+"),
@@ -82,18 +83,19 @@ def spans(df: DataFrame, unit: str = "sentence", unit_words: int = 4, span_words
 
 def deduplicated(df: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df with the spans taken out of its texts, and kept_offsets: (start, end) in the source text of what is left."""
-    gone = spans(df, doc=doc, text=text, **how).groupBy(F.col("doc_id").alias("_gone_id"))
-    gone = gone.agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("_gone"))
-    joined = df.drop("kept_offsets").join(gone, F.col(doc) == F.col("_gone_id"), "left")
+    of, spans_col = fresh(df, "_gone_id"), fresh(df, "_gone")
+    gone = spans(df, doc=doc, text=text, **how).groupBy(F.col("doc_id").alias(of))
+    gone = gone.agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias(spans_col))
+    joined = df.drop("kept_offsets").join(gone, F.col(doc) == F.col(of), "left")
     length = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_gone", lambda s: s["span_end"]))
-    ends = F.concat(F.transform("_gone", lambda s: s["span_start"]), F.array(length))
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans_col, lambda s: s["span_end"]))
+    ends = F.concat(F.transform(spans_col, lambda s: s["span_start"]), F.array(length))
     between = F.filter(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: s["start"] < s["end"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), length.alias("end")))
-    joined = joined.withColumn("kept_offsets", F.when(F.col("_gone").isNull(), whole).otherwise(between))
+    joined = joined.withColumn("kept_offsets", F.when(F.col(spans_col).isNull(), whole).otherwise(between))
     left = F.array_join(F.transform("kept_offsets", lambda s: F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), "")
     columns = [c for c in df.columns if c != "kept_offsets"]
-    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in columns), "kept_offsets")
+    return joined.select(*(F.when(F.col(spans_col).isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in columns), "kept_offsets")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -44,3 +44,15 @@ def test_clashing_columns_and_empty(spark):
 def test_rules_compile(spark):
     df = spark.createDataFrame([(0.5,), (1.5,)], "m double")
     assert df.where(Q.compiled((Q.Rule("m", 1.0, 2.0),))).count() == 1
+
+
+def test_stage_bears_any_names(spark):
+    from matchloom.llm import linededup, neardup
+
+    df = docs.frame(spark).withColumnRenamed("lang", "_q_words").withColumnRenamed("source", "n_words")
+    assert {r["_q_words"] for r in Q.stage(spark, df, "").collect()} == {"en"}
+    df = df.withColumnRenamed("_q_words", "_n_lines").withColumnRenamed("n_words", "_kept")
+    out = linededup.stage(spark, df, "")
+    assert out.columns == df.columns and {r["_n_lines"] for r in out.collect()} == {"en"}
+    df = df.withColumnRenamed("_n_lines", "_of_id")
+    assert neardup.stage(spark, df, "").columns == df.columns

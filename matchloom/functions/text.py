@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, QUANTITY_PATTERN, STOPWORDS, UNITS
 
 #: Letters and digits of Latin scripts; the same class works in Spark and in SQL engines without Unicode \w.
-WORD = "[a-z0-9ß-öø-ɏ]"
+WORD = "[a-z0-9\xdf-\xf6\xf8-\u024f]"
 
 
 @cache

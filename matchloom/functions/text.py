@@ -32,9 +32,7 @@ def _foldings() -> tuple[str, str, dict[str, str]]:
 def strip_accents(col: Column) -> Column:
     """Compatibility decomposition without combining marks."""
     source, target, longer = _foldings()
-    long = col
-    for c, plain in longer.items():
-        long = F.replace(long, F.lit(c), F.lit(plain))
+    long = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(_map(longer), c), c)), "")
     col = F.when(col.rlike("[" + "".join(longer) + "]"), long).otherwise(col)
     folded = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}", "")
     return F.when(F.length(col) == F.octet_length(col), col).otherwise(folded)

@@ -61,9 +61,13 @@ class TfidfIndex:
 
 def tfidf_weights(counts: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
     """keys, term and w: sublinear tf times idf, of unit length per key.  Terms outside the vocabulary drop out first."""
-    raw = counts.join(terms, "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
-    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
+    w = (1.0 + F.log("tf")) * F.col("idf")
+    raw = counts.join(terms, "term").select(*keys, F.struct("term", w.alias("w")).alias("t"))
+    # A key's terms meet once, for their norm, and part again: no second pass over the counts.
+    whole = raw.groupBy(*keys).agg(F.collect_list("t").alias("ts"))
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    parted = whole.withColumn("norm", norm).select(*keys, "norm", F.explode("ts").alias("t"))
+    return parted.select(*keys, "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
 
 
 def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:

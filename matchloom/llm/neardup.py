@@ -8,16 +8,18 @@ all buckets with a chance of 2e-8.
 1. Documents with equal shingle sets form a class; only its least doc_id goes on.
 2. Each bucket's least member is its hub.  Pairs of hub and member whose sizes and sketches allow the threshold are
    verified on full sets; components of the verified links give first labels.
-3. Buckets that still hold several labels are compared in blocks of at most BLOCK members each, whole sketches against
-   whole sketches; only pairs of different labels that may reach the threshold leave a block, each from the first
-   bucket it shares, and are verified too.  Members of one component are not compared again, so a group of thousands
-   of copies costs its stragglers, not its square.
+3. Buckets that still hold several labels are compared in blocks of at most BLOCK members, sketches against sketches.
+   A first round takes from each block only a forest of its likeliest pairs between labels, which after verification
+   joins nearly all that belongs together; a second also looks at the sets, by half of each hash, and takes every pair
+   of different labels that reaches the threshold so, from the first bucket it shares.  All are verified on full sets.  Members of one component are not compared
+   again, so a group of thousands of copies costs its stragglers, not its square.
 4. Components of all verified links.
 
 A sketch estimate below SLACK is over five standard deviations under the threshold.
 
 Words are runs of anything but ASCII white space, A-Z in lower case.  A text with fewer words than a shingle is one
-shingle; null texts and those without words have none and link with nothing.  Rows that share a doc_id are one document.
+shingle; null texts and those without words have none and link with nothing.  Rows with words that share a doc_id are
+one document.
 Null doc_ids link with nothing and stay.  An empty table gives an empty one.  Other columns are ignored.
 """
 
@@ -27,15 +29,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_map, table, written
+from matchloom.llm.common import arrow_map, by_ids, table, written
 from matchloom.llm.graph import components
 
 BANDS, ROWS = 45, 5
 T = BANDS * ROWS
 #: Least share of equal coordinates; its standard deviation at 0.8 is 0.027.
 SLACK = 0.65
-BLOCK = 256
-KEPT_WORDS = 500_000
+BLOCK = 1024
+KEPT_WORDS = 200_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20170419)
@@ -134,12 +136,15 @@ def signatures(df: DataFrame, k: int, doc: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """doc_id and the shingle set, as bytes, of the documents that needed (column id) names."""
+    """doc_id and the shingle set, as bytes, of the documents that needed (column id) names; and the set again by the
+    upper 32 bits of its hashes."""
+
     def run(ids, texts):
-        return [ids, [shingles(t, k, hashes).tobytes() for t in texts]]
+        full = [shingles(t, k, hashes) for t in texts]
+        return [ids, [s.tobytes() for s in full], [(s >> _U(32)).astype(np.uint32).tobytes() for s in full]]
 
     hashes = _WordHash()
-    return arrow_map(docs.join(needed, F.col("doc_id") == F.col("id"), "left_semi"), run, "doc_id long, shingles binary", rows=128)
+    return arrow_map(by_ids(docs, "doc_id", needed, "left_semi"), run, "doc_id long, shingles binary, short binary", rows=128)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -156,11 +161,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return arrow_map(met.select("a", "b", "a_sk", "b_sk"), run, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that reach the threshold on their full sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs that reach the threshold on their full sets, which are made unless they are at hand."""
     pairs = written(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(_sets(docs, needed, k), "sets")
+    if sets is None:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = written(_sets(docs, written(needed, "needed"), k), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("b_id"), F.col("shingles").alias("sb")), F.col("b") == F.col("b_id"))
     met = met.join(sets.select(F.col("doc_id").alias("a_id"), F.col("shingles").alias("sa")), F.col("a") == F.col("a_id"))
 
@@ -171,15 +177,56 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return written(arrow_map(met.select("a", "b", "sa", "sb"), run, "a long, b long", rows=128).distinct(), "links")
 
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _joining(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs of numbers below n, in their order, join what the pairs before have not joined."""
+    root, out = list(range(n)), np.zeros(len(a), bool)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for at in range(0, len(a), 10_000):
+        # Pairs that are joined before a stretch begins are passed over together.
+        now = np.array([find(x) for x in range(n)])
+        for k in (at + np.flatnonzero(now[a[at : at + 10_000]] != now[b[at : at + 10_000]])).tolist():
+            x, y = find(int(a[k])), find(int(b[k]))
+            if x != y:
+                root[x], out[k] = y, True
+    return out
+
+
+def _nearly(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs reach the threshold, or miss it by what equal halves of hashes may feign, on sets of half hashes."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    out, here = np.zeros(len(i), bool), np.zeros(int(flat.max()) + 1, bool)
+    order = np.argsort(i, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+        own = flat[starts[i[part[0]]] : starts[i[part[0]] + 1]]
+        here[own] = True
+        for at in range(0, len(part), 256):
+            some = part[at : at + 256]
+            common = np.array([np.count_nonzero(here[flat[starts[x] : starts[x + 1]]]) for x in j[some]])
+            out[some] = 100 * (common + 2) >= percent * (sizes[i[some]] + sizes[j[some]] - common - 2)
+        here[own] = False
+    return out
+
+
+def _block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """rows: key, band, one, two (numbers of two blocks), side (which of them), rep, label, n, bands, sketch.  Pairs of
-    different labels whose first shared band is this one and that may reach the threshold."""
+    different labels that may reach the threshold: by their sketches, and of those only what joins labels that likelier
+    pairs of the block have not joined yet (forest); or by sketches and by column short, all those whose first shared
+    band is this one."""
     import pyarrow as pa
 
     def compare(part):
         band = part.column("band")[0].as_py()
         side = part.column("side").to_numpy()
         rep, label, n = (part.column(c).to_numpy() for c in ("rep", "label", "n"))
+        n = np.minimum(n, 2**31 // 200).astype(np.int32)  # longer ones are told apart on their sets
         keys = np.array(part.column("bands").to_pylist(), np.int64)
         sk = np.stack([np.frombuffer(x, np.uint16) for x in part.column("sketch").to_pylist()])
         left = np.flatnonzero(side == 0)
@@ -187,14 +234,24 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
         apart = label[left][:, None] != label[right][None, :]
         small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
         apart &= 100 * small >= percent * large
-        for j in range(band):
+        for j in range(0 if forest else band):
             apart &= keys[left, j][:, None] != keys[right, j][None, :]
         i, j = np.nonzero(apart)
-        i, j = left[i], right[j]
+        i, j = left[i].astype(np.int32), right[j].astype(np.int32)
+        del apart, small, large
         found = [np.empty(0, np.int64)] * 2
-        keep = np.zeros(len(i), bool)
+        equal = np.zeros(len(i), np.int16)
         for at in range(0, len(i), 20_000):
-            keep[at : at + 20_000] = (sk[i[at : at + 20_000]] == sk[j[at : at + 20_000]]).sum(1) >= SLACK * T
+            equal[at : at + 20_000] = (sk[i[at : at + 20_000]] == sk[j[at : at + 20_000]]).sum(1)
+        keep = equal >= SLACK * T
+        if forest and keep.any():
+            best = np.flatnonzero(keep)
+            best = best[np.argsort(-equal[best], kind="stable")]
+            distinct, own = np.unique(label, return_inverse=True)
+            keep[best] = _joining(own[i[best]], own[j[best]], len(distinct))
+        elif keep.any():
+            sets = [np.frombuffer(x, np.uint32) for x in part.column("short").to_pylist()]
+            keep[keep] = _nearly(i[keep], j[keep], sets, percent)
         if keep.any():
             a, b = rep[i[keep]], rep[j[keep]]
             found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).T
@@ -203,27 +260,33 @@ def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("key", "one", "two").applyInArrow(compare, "a long, b long")
 
 
-def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different labels within buckets."""
+def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, docs: DataFrame | None = None, k: int = 0):
+    """Candidate pairs of different labels within buckets, a forest or, given docs, all; and the sets that took."""
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select(
         "key", "band", "rep", "size", F.coalesce("component", "rep").alias("label")
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c"))
     mixed = mixed.where((F.col("l0") != F.col("l1")) & (F.col("c") > 2)).select(F.col("key").alias("of"))
-    rows = labelled.join(mixed, F.col("key") == F.col("of"), "left_semi")
-    # Blocks follow the order of labels, so that two blocks of one label need not meet.
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", "band", "rep", "label", "block", other.alias("other"))
-    rows = rows.select(
+    rows = written(labelled.join(mixed, F.col("key") == F.col("of"), "left_semi"), "mixed")
+    sk = sketches.select(F.col("rep").alias("of_rep"), "n", "bands", "sketch")
+    sets = None
+    if docs is not None:
+        sets = written(_sets(docs, written(rows.select(F.col("rep").alias("id")).distinct(), "needed"), k), "sets")
+        sk = sk.join(sets.select("doc_id", "short"), F.col("of_rep") == F.col("doc_id")).drop("doc_id")
+    # Most buckets are one block; only members of larger ones are dealt to several and meet all the others.
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    zero = F.lit(0)
+    whole = rows.where("blocks = 1").select("key", "band", "rep", "label", zero.alias("one"), zero.alias("two"), zero.alias("side"))
+    rows = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", "band", "rep", "label", "block", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
+    rows = whole.unionAll(rows.select(
         "key", "band", "rep", "label",
         F.least("block", "other").alias("one"),
         F.greatest("block", "other").alias("two"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
-    )
-    sk = sketches.select(F.col("rep").alias("of_rep"), "n", "bands", "sketch")
-    return _block_pairs(rows.join(sk, F.col("rep") == F.col("of_rep")).drop("of_rep"), percent)
+    ))
+    rows = rows.join(sk, F.col("rep") == F.col("of_rep")).drop("of_rep")
+    return _block_pairs(rows, percent, docs is None).distinct(), sets
 
 
 def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,11 +294,17 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "do
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(signatures(docs, k, "doc_id", "text"), "signatures")
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # Written, so that joins with it deal both sides anew and Spark can split a digest that many rows have.
+    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     owned = full.join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
     sketches = owned.where("doc_id = rep").select("rep", "n", "bands", "sketch")
     sketches = written(sketches.dropDuplicates(["rep", "n"]), "sketches")
 
+    # Rows of one doc_id may be of several classes.
+    torn = owned.groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
+    same = owned.select("doc_id", "rep").join(torn, F.col("doc_id") == F.col("id")).where("rep <> a")
+    same = written(same.select("a", F.col("rep").alias("b")).distinct(), "same")
+
     rows = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     members = rows.join(buckets, F.col("key") == F.col("of")).select("key", "band", "rep", "hub", "size")
@@ -243,10 +312,12 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "do
 
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     first = _verified(docs, _likely(stars, sketches, percent), k, percent)
-    labels = written(components(first), "labels")
-    rest = _verified(docs, _stragglers(members, labels, sketches, percent), k, percent)
-    links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(rest.select("a", "b"))
-    found = written(components(links), "components")
+    found = written(components(first.unionAll(same)), "labels")
+    for last in (False, True):
+        pairs, sets = _stragglers(members, found, sketches, percent, docs if last else None, k)
+        more = _verified(docs, pairs, k, percent, sets)
+        links = found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more)
+        found = written(components(links), "labels")
 
     of = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("least"))
     out = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
@@ -265,4 +336,4 @@ def op9_minhash_neardup(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, on five-word shingles: that with the least doc_id."""
     gone = near_components(docs, k=5).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return by_ids(docs, "doc_id", written(gone, "gone"), "left_anti")

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from matchloom.llm.common import Sent, table
 
-KEPT_CHUNKS = 600_000
+#: Stretches of text whose ids a worker keeps before it starts anew: about 150 MB.
+KEPT_CHUNKS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -47,13 +48,14 @@ class Tokens:
     New stretches of letters alone are one word each: they are encoded many at a time as one text, whose ids are cut
     after each end mark.  Should a text have more marks than stretches, its stretches are encoded one by one."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, most: int | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_str(definition), {"": b""}
+        self.most = KEPT_CHUNKS if most is None else most
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -102,7 +104,7 @@ class Tokens:
             cut.append(t.split(" "))
             fresh.update(cut[-1])
         new = fresh.difference(self.kept)
-        if len(self.kept) + 2 * len(new) > KEPT_CHUNKS:
+        if len(self.kept) + 2 * len(new) > self.most:
             self.kept = {"": b""}
             new = fresh - {""}
         if new:
@@ -146,7 +148,7 @@ def placed(tokens: np.ndarray, loss: np.ndarray, limits: Limits) -> np.ndarray:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
 
-def pieces(df: DataFrame, definition: str, end_id: int, limits: Limits, groups: int, doc: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def pieces(df: DataFrame, definition: str, end_id: int, limits: Limits, groups: int, doc: str = "doc_id", text: str = "text", ids: bool = False, most_kept: int | None = None) -> DataFrame:
     """The pieces of every text, and the group each is dealt to; with their ids on demand."""
     import pyarrow as pa
     from pyspark import TaskContext
@@ -156,10 +158,10 @@ def pieces(df: DataFrame, definition: str, end_id: int, limits: Limits, groups:
     sent = Sent(df.sparkSession, "tokens", definition)
     schema = PIECES + ", group int" + ", ids array<int>" * ids
     target = to_arrow_schema(_parse_datatype_string(schema))
-    most = min(limits.tokens, limits.loss)
+    longest = min(limits.tokens, limits.loss)
 
     def run(batches):
-        tokens = sent.made(Tokens)
+        tokens = sent.made(lambda definition: Tokens(definition, most_kept))
         end = np.array([end_id], "<u4").tobytes()
         turn = TaskContext.get().partitionId() * 7919
         for batch in batches:
@@ -168,8 +170,8 @@ def pieces(df: DataFrame, definition: str, end_id: int, limits: Limits, groups:
                 rows = []
                 for d, b in zip(part.column(0).to_pylist(), tokens.of([x or "" for x in part.column(1).to_pylist()])):
                     b += end
-                    for start in range(0, len(b), 4 * most):
-                        own = b[start : start + 4 * most]
+                    for start in range(0, len(b), 4 * longest):
+                        own = b[start : start + 4 * longest]
                         n = len(own) // 4
                         row = (d, start // 4, n, zlib.crc32(own), len(b) // 4, n - (start == 0), turn % groups)
                         rows.append((*row, np.frombuffer(own, "<u4").astype(np.int32)) if ids else row)
@@ -207,11 +209,11 @@ def packed(cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return cut.groupBy("group").applyInArrow(pack, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits: Limits = Limits(), ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 2, limits: Limits = Limits(), ids: bool = False, most_kept: int | None = None) -> DataFrame:
     groups = max(1, math.ceil(df.count() / GROUP_DOCS))
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = f.read()
-    return packed(pieces(df, definition, end_id, limits, groups, ids=ids), limits)
+    return packed(pieces(df, definition, end_id, limits, groups, ids=ids, most_kept=most_kept), limits)
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
@@ -224,4 +226,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and ids."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), ids=True, most_kept=KEPT_CHUNKS // 2)

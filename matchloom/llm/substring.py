@@ -7,8 +7,15 @@ occurrence in the least doc_id, and there the first, is kept, and every other on
 each other in a document (passed-over ones between them go along) form a span, and spans of at least span_words words
 are removed.  Offsets are code points of the source text, end exclusive.
 
-The shuffle carries digests and numbers, never texts.  Counting is by partial aggregates, so a unit that stands in a
-third of all documents is one row a task.
+Units end where sentences do; a passage may not.  So unit="mixed", the default, also takes every window of passage_words
+words, wherever it starts, as a unit: all that stand again are marked, but for those that overlap their own first
+occurrence, and their spans are united with those of sentences.  Not every window is shuffled.  Of the hashes of half
+as many words in a window the least is its fingerprint, a function of the window alone, so equal windows have equal
+ones; a run of windows mostly shares one.  Only windows whose fingerprint stands at several places are hashed whole,
+to 128 bits, and grouped, so the result is that of all windows.
+
+The shuffle carries digests and numbers; texts are dealt by doc_id once, for the windows.  Counting is by partial
+aggregates, so a unit that stands in a third of all documents is one row a task.
 
 Null and empty texts have no units.  Rows that share a doc_id are one document, whose offsets are those of either row;
 rows with a null doc_id are passed over.  An empty table gives an empty result; extra columns are ignored by spans();
@@ -22,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_map, fresh, table
+from matchloom.llm.common import arrow_map, fresh, table, written
 
 BREAKS = {
     "line": re.compile(r"\n+"),
@@ -48,19 +55,21 @@ def hashed_units(df: DataFrame, unit: str, unit_words: int, doc: str, text: str)
 
         rows = []
         for d, t in zip(ids, texts):
-            seen = set()
+            seen, at, w = set(), 0, 0
             for i, (start, end, words, norm) in enumerate(units(t, unit, unit_words)):
                 h = xxhash.xxh3_128_intdigest(norm.encode())
-                rows.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), d, i, start, end, words, h in seen))
+                w += len(t[at:start].split())
+                rows.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), d, i, start, end, w, words, h in seen))
                 seen.add(h)
-        return list(zip(*rows)) or [[]] * 8
+                at, w = end, w + words
+        return list(zip(*rows)) or [[]] * 9
 
     named = df.select(F.col(doc).cast("long"), F.col(text).cast("string")).where(F.col(doc).isNotNull())
-    return arrow_map(named, run, "h1 long, h2 long, doc_id long, i int, start int, stop int, words int, again boolean", rows=256)
+    return arrow_map(named, run, "h1 long, h2 long, doc_id long, i int, start int, stop int, w int, words int, again boolean", rows=256)
 
 
-def spans(df: DataFrame, unit: str = "sentence", unit_words: int = 4, span_words: int = 20, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The spans to remove: doc_id, span_start, span_end, n_units, n_words, and where the first unit is kept."""
+def _sentence_spans(df: DataFrame, unit: str, unit_words: int, span_words: int, doc: str, text: str) -> DataFrame:
+    """As spans(), with the words they reach from and to."""
     every = hashed_units(df, unit, unit_words, doc, text)
     firsts = every.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n"))
     firsts = firsts.where("n > 1").drop("n")
@@ -75,12 +84,127 @@ def spans(df: DataFrame, unit: str = "sentence", unit_words: int = 4, span_words
             F.count("*").alias("n_units"),
             F.sum("words").alias("n_words"),
             F.min("kept_doc_id").alias("kept_doc_id"),
+            F.min("w").cast("long").alias("w0"),
+            F.max(F.col("w") + F.col("words")).cast("long").alias("w1"),
         )
         .where(F.col("n_words") >= span_words)
         .drop("run")
     )
 
 
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_WORD = re.compile(r"\S+")
+
+
+def _word_hashes(text: str | None):
+    import numpy as np
+    import xxhash
+
+    return np.array(list(map(xxhash.xxh3_64_intdigest, (text or "").lower().split())), np.uint64)
+
+
+def _rolling(h, k: int, base: int):
+    """Hashes of all k words in a row, mixed."""
+    import numpy as np
+
+    n = len(h)
+    power, back = (np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(h * power[:n]))
+    g = (sums[k:] - sums[: n - k + 1]) * back[: n - k + 1]
+    g = (g ^ (g >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return g ^ (g >> np.uint64(29))
+
+
+def _fingerprints(h, words: int):
+    """Of each window of so many words: where its fingerprint starts; and all hashes that may be one."""
+    import numpy as np
+
+    k = (words + 1) // 2
+    g = _rolling(h, k, _BASES[0])
+    view = np.lib.stride_tricks.sliding_window_view(g, words - k + 1)
+    least = [view[at : at + 8192].argmin(1) for at in range(0, len(view), 8192)]
+    return np.concatenate(least) + np.arange(len(view)), g
+
+
+def passage_spans(df: DataFrame, words: int = 51, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans of windows of so many words that stand before: doc_id, span_start, span_end, n_units, kept_doc_id, w0, w1."""
+    import numpy as np
+
+    named = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col(doc).isNotNull())
+
+    def prints(ids, texts):
+        out = []
+        for d, t in zip(ids, texts):
+            h = _word_hashes(t)
+            if len(h) >= words:
+                where, g = _fingerprints(h, words)
+                where = np.unique(where)
+                out.append((g[where].view(np.int64), np.full(len(where), d, np.int64), where.astype(np.int32)))
+        return [np.concatenate(x) for x in zip(*out)] if out else [[]] * 3
+
+    every = arrow_map(named, prints, "print long, doc_id long, at int", rows=256)
+    several = every.groupBy(F.col("print").alias("of")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    near = every.join(several, F.col("print") == F.col("of")).groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("at").alias("ats"))
+
+    def windows(ids, texts, ats):
+        out = []
+        for d, t, at in zip(ids, texts, ats):
+            h = _word_hashes(t)
+            if len(h) < words:
+                continue
+            i = np.flatnonzero(np.isin(_fingerprints(h, words)[0], at))
+            if not len(i):
+                continue
+            h1 = _rolling(h, words, _BASES[0])[i]
+            h2 = _rolling(h ^ (h >> np.uint64(31)), words, _BASES[1])[i]
+            _, first, back = np.unique(h1, return_index=True, return_inverse=True)
+            edges = np.array([m.span() for m in _WORD.finditer(t)], np.int32)
+            lag = (i - i[first][back]).astype(np.int32)
+            out.append((h1.view(np.int64), h2.view(np.int64), np.full(len(i), d, np.int64), i.astype(np.int32), edges[i, 0], edges[i + words - 1, 1], lag))
+        return [np.concatenate(x) for x in zip(*out)] if out else [[]] * 7
+
+    held = named.join(near, F.col("doc_id") == F.col("id")).select("doc_id", "text", "ats")
+    # Written, as two branches read it.
+    whole = written(arrow_map(held, windows, "h1 long, h2 long, doc_id long, i int, start int, stop int, lag int", rows=32), "windows")
+    firsts = whole.groupBy(F.col("h1").alias("k1"), F.col("h2").alias("k2")).agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("n"))
+    firsts = firsts.where("n > 1").drop("n")
+    marked = whole.join(firsts, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    marked = marked.where((F.col("lag") >= words) | (F.col("doc_id") != F.col("kept_doc_id")))
+    marked = marked.select("doc_id", F.col("start").cast("long").alias("span_start"), F.col("stop").cast("long").alias("span_end"),
+                           F.lit(1).cast("long").alias("n_units"), "kept_doc_id", F.col("i").cast("long").alias("w0"), (F.col("i") + words).cast("long").alias("w1"))
+    return _united(marked.dropDuplicates(["doc_id", "w0", "span_start"]))
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """Spans of a document that meet become one."""
+    before = Window.partitionBy("doc_id").orderBy("w0", "w1")
+    spans = spans.withColumn("high", F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = F.when(F.col("high") >= F.col("w0"), 0).otherwise(1)
+    spans = spans.withColumn("nth", F.sum(apart).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        spans.groupBy("doc_id", "nth")
+        .agg(
+            F.min("span_start").alias("span_start"),
+            F.max("span_end").alias("span_end"),
+            F.sum("n_units").alias("n_units"),
+            F.min("kept_doc_id").alias("kept_doc_id"),
+            F.min("w0").alias("w0"),
+            F.max("w1").alias("w1"),
+        )
+        .drop("nth")
+    )
+
+
+def spans(df: DataFrame, unit: str = "mixed", unit_words: int = 4, span_words: int = 20, doc: str = "doc_id", text: str = "text", passage_words: int = 51) -> DataFrame:
+    """The spans to remove: doc_id, span_start, span_end, n_units, n_words, and where the first unit is kept.  With
+    mixed units n_units counts sentences and windows, and n_words all words of the span."""
+    cut = _sentence_spans(df, "sentence" if unit == "mixed" else unit, unit_words, span_words, doc, text)
+    if unit == "mixed":
+        cut = _united(cut.drop("n_words").unionByName(passage_spans(df, passage_words, doc, text)))
+        cut = cut.withColumn("n_words", F.col("w1") - F.col("w0"))
+    return cut.select("doc_id", "span_start", "span_end", "n_units", "n_words", "kept_doc_id")
+
+
 def deduplicated(df: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df with the spans taken out of its texts, and kept_offsets: (start, end) in the source text of what is left."""
     of, spans_col = fresh(df, "_gone_id"), fresh(df, "_gone")

@@ -69,3 +69,44 @@ def test_empty_null_ids_and_clashes(spark):
     line = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(None, line, 1), (None, line, 2), (5, line, 3)], "doc_id long, text string, h1 int")
     assert S.spans(df, span_words=3).count() == 0
+
+
+def test_passages_go_wherever_they_start(spark):
+    word = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    quote = word("q", 51)
+    three = [w + "." * (i % 17 == 16) for i, w in enumerate(word("s", 51))]
+    loop = (word("l", 7) * 30)[:200]
+    texts = [
+        " ".join(word("a", 9) + quote + word("b", 9)),
+        " ".join(word("c", 30) + [w.upper() for w in quote] + word("d", 70)),  # inside one sentence
+        " ".join(word("e", 5) + three + word("f", 5)),
+        " ".join(word("g", 40) + three + word("h", 3)),
+        " ".join(word("i", 9) + quote[1:] + word("j", 9)),  # 50 words only
+        " ".join(loop),  # overlaps itself up to word 56
+        "x\u2003 ".join(word("k", 3)) + "\n" + "\n".join(quote) + "  y",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {(d, *texts[d][a:b].lower().split()) for d, a, b, *_ in got(df)}
+    assert cut == {(1, *quote), (3, *three), (5, *loop[56:]), (6, *quote)}
+    left = {r.doc_id: r.text.split() for r in S.deduplicated(df).collect()}
+    assert left[1] == word("c", 30) + word("d", 70) and left[4] == texts[4].split() and left[0] == texts[0].split()
+
+
+def test_passages_equal_all_windows(spark):
+    data = {d: t for d, t, *_ in docs.rows() if d is not None}
+    data = [(d, t) for d, t in data.items()]
+    at = defaultdict(list)
+    for d, t in data:
+        w = (t or "").lower().split()
+        for i in range(len(w) - 29):
+            at[tuple(w[i : i + 30])].append((d, i))
+    want = defaultdict(set)
+    for found in at.values():
+        d0, i0 = min(found)
+        for d, i in found:
+            if d != d0 or i - i0 >= 30:
+                want[d].update(range(i, i + 30))
+    got = defaultdict(set)
+    for r in S.passage_spans(spark.createDataFrame(data, "doc_id long, text string"), 30).collect():
+        got[r.doc_id].update(range(r.w0, r.w1))
+    assert want and got == want

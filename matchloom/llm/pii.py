@@ -90,7 +90,6 @@ AT_WORDS = ("at", "arroba", "chez", "klammeraffe")
 DOT_WORDS = ("dot", "punto", "punkt", "point")
 
 _INVISIBLE = re.compile("[\xad\u200b-\u200f\u2060\ufeff]+")
-_FOREIGN = re.compile("[^\x00-\xac\xae-\u0130\u0132-\u024f\u2010-\u2015\u2018-\u201f\u2026\u20ac]")
 _word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _CLOSED_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_dot}|\.)[ \t]*[\])}}>][ \t]*"
@@ -105,9 +104,14 @@ _REWRITE = re.compile(
     rf"|(?P<digit>(?<![^\W_])(?:{_word})(?![^\W_]))",
     re.IGNORECASE,
 )
-_TRIGGERS = (*DOT_WORDS, "[.]", "(.)", "{.}", "<.>", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "{@", " @", "@ ")
-_DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:{_word})(?:[ \t.,-]+(?:{_word}|[0-9]+)(?![^\W_])){{2}}", re.IGNORECASE)
-_DIGIT_HINTS = ("zero", "two", "three", "four", "five", "seven", "eight", "nine", *(w for w in DIGIT_WORDS if len(w) > 3))
+#: Whatever _REWRITE can rewrite to an effect holds one of these, in lower case; they may stand elsewhere too.
+_TRIGGER = re.compile(
+    rf"[\[({{<][ \t]*(?:{_at}|{_dot}|[@.])[ \t]*[\])}}>]|[ \t](?:{_dot})[ \t]|[ \t]@|@[ \t]|plus[ \t]+(?:{_word}|[0-9])"
+)
+_BESIDE = r"[ \t().-]+"
+_SPELLED = re.compile(rf"(?:{_word}){_BESIDE}(?:{_word}|[0-9])(?![a-z])|(?:{_word}){_BESIDE}[0-9]|[0-9]{_BESIDE}(?:{_word})(?![a-z])")
+#: The plain patterns find only parts of mail names with these.
+_ACCENTED = tuple(w for w in DIGIT_WORDS if not w.isascii())
 
 
 class _Plain(dict):
@@ -116,7 +120,7 @@ class _Plain(dict):
     def __missing__(self, code: int):
         c = chr(code)
         plain = HOMOGLYPHS.get(c)
-        if plain is None and code > 0xAD:
+        if plain is None and code >= 0xA0:
             if unicodedata.category(c) == "Nd":
                 plain = str(unicodedata.decimal(c))
             elif unicodedata.category(c) == "Zs":
@@ -164,24 +168,35 @@ class Rewritten:
         return first, self.old[i] + last - self.new[i] + 1
 
 
+def _low(text: str) -> str:
+    """Lower case, as patterns that ignore case see it."""
+    return text.lower().replace("i\u0307", "i")
+
+
 def _rewrites(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _REWRITE.finditer(text):
         kind = m.lastgroup
-        by = "@" if kind == "at" else "." if kind == "dot" else "+" if kind == "plus" else DIGIT_WORDS[m[0].lower()]
+        by = {"at": "@", "dot": ".", "plus": "+"}.get(kind) or DIGIT_WORDS[_low(m[0])]
         out.append((m.start(), m.end(), by))
     return out
 
 
-def added_spans(text: str, base: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Spans that only the normalised copy shows, by kind."""
-    odd = not text.isascii() and _FOREIGN.search(text) is not None
-    low = text.lower()
-    disguised = any(w in low for w in _TRIGGERS)
-    spelled = sum(w in low for w in _DIGIT_HINTS) >= 2 and _DIGIT_RUN.search(text) is not None
-    if not (odd or disguised or spelled):
+def _disguised(text: str) -> bool:
+    """Whether the normalised copy can show anything: a character that is mapped or removed, or a form to rewrite."""
+    if not text.isascii() and any(_PLAIN[ord(c)] != c or _INVISIBLE.match(c) for c in set(text)):
+        return True
+    low = _low(text)
+    if _TRIGGER.search(low) or _SPELLED.search(low):
+        return True
+    return "@" in low and any(w in low for w in _ACCENTED)
+
+
+def added_spans(text: str, base: list[list[tuple[int, int]]], gate: bool = True) -> list[list[tuple[int, int]]]:
+    """Spans that only the normalised copy shows, by kind.  The gate saves time and changes nothing."""
+    if gate and not _disguised(text):
         return [[], [], [], []]
-    plain = text.translate(_PLAIN) if odd else text
+    plain = text if text.isascii() else text.translate(_PLAIN)
     one = Rewritten(plain, [(*m.span(), "") for m in _INVISIBLE.finditer(plain)])
     two = Rewritten(one.text, _rewrites(one.text))
     out: list[list[tuple[int, int]]] = []

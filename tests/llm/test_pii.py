@@ -83,3 +83,42 @@ def test_stage(spark):
         assert rows[d].text == (None if t is None else pii.redacted_text(t))
         assert rows[d].n_chars == len(rows[d].text or "")
     assert any("[EMAIL]" in (r.text or "") for r in rows.values())
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("at 192\xb7168\xb71\xb77 now", 1, "192\xb7168\xb71\xb77"),
+        ("mail jane@example\xb7com now", 0, "jane@example\xb7com"),
+        ("call +49\u201330\u20131234567 now", 3, "+49\u201330\u20131234567"),
+        ("call +49\xa030\xa01234567 now", 3, "+49\xa030\xa01234567"),
+        ("mail juan (arroba) correo.es now", 0, "juan (arroba) correo.es"),
+        ("mail jean [chez] poste.fr now", 0, "jean [chez] poste.fr"),
+        ("mail jo (klammeraffe) post.de now", 0, "jo (klammeraffe) post.de"),
+        ("mail jo < at > post.de now", 0, "jo < at > post.de"),
+        ("at 192 [ . ] 168 [ . ] 1 [ . ] 7 now", 1, "192 [ . ] 168 [ . ] 1 [ . ] 7"),
+        ("call plus 49 30 1234567 now", 3, "plus 49 30 1234567"),
+        ("call +1 six one six one six one six one six now", 3, "+1 six one six one six one six one six"),
+        ("at 192.168.one.7 now", 1, "192.168.one.7"),
+        ("mail f\xfcnf@example.com now", 0, "f\xfcnf@example.com"),
+        ("call +1 S\u0130X one two one two one two one two now", 3, "+1 S\u0130X one two one two one two one two"),
+    ],
+)
+def test_disguises_behind_the_gate(text, kind, found):
+    added = pii.detect(text)[1]
+    assert [text[a:b] for a, b in added[kind]] == [found]
+
+
+def test_gate_changes_nothing():
+    rng = random.Random(5)
+    bits = [*pii.DIGIT_WORDS, *pii.AT_WORDS, *pii.DOT_WORDS, *pii.HOMOGLYPHS, *"@@@@....++-_ ()[]{}<>,;\t\n\xa0\xad\u200b\u2013\u0130", "plus", "Plus", "ONE", "FÜNF", "john", "example", "com", "255", "1", "4111", "é"]
+    shown = 0
+    for n in range(30000):
+        some = rng.choices(bits, k=6)
+        glue = rng.choice(["", " ", "."])
+        t = glue.join(rng.choice(some if n % 2 else bits) for _ in range(rng.randint(1, 16)))
+        base = pii.spans_of(t)
+        whole = pii.added_spans(t, base, gate=False)
+        assert pii.added_spans(t, base) == whole, t
+        shown += any(whole)
+    assert shown > 100

@@ -2,7 +2,8 @@
 
 Four kinds are found: email, ip, card and phone.  Base spans are those of the plain patterns.  Added spans come from
 a normalised copy of the text: a chain of transducers maps homoglyphs and foreign digits one to one, removes invisible
-characters, and rewrites spelled digits ("five five five") and disguised @ and . ("name [at] host dot org").  Each
+characters, and rewrites spelled digits ("five five five") and disguised @ and . ("name [at] host dot org").  Spelled
+digits in a row are read both as one number and as several; of two such spans the one that holds the other counts.  Each
 rewrite notes where it stood, the plain patterns run over the copy, and spans found there are mapped back to source
 code points.  Only spans that cover a rewrite are added, and none that lies within a base span of the same kind.
 
@@ -104,6 +105,8 @@ _REWRITE = re.compile(
     rf"|(?P<digit>(?<![^\W_])(?:{_word})(?![^\W_]))",
     re.IGNORECASE,
 )
+#: The same, but a digit word takes along the blanks before the next one.
+_JOINING = re.compile(rf"{_REWRITE.pattern[:-1]}(?:[ \t]+(?=(?:{_word})(?![^\W_])))?)", re.IGNORECASE)
 #: Whatever _REWRITE can rewrite to an effect holds one of these, in lower case; they may stand elsewhere too.
 _TRIGGER = re.compile(
     rf"[\[({{<][ \t]*(?:{_at}|{_dot}|[@.])[ \t]*[\])}}>]|[ \t](?:{_dot})[ \t]|[ \t]@|@[ \t]|plus[ \t]+(?:{_word}|[0-9])"
@@ -173,11 +176,11 @@ def _low(text: str) -> str:
     return text.lower().replace("i\u0307", "i")
 
 
-def _rewrites(text: str) -> list[tuple[int, int, str]]:
+def _rewrites(text: str, pattern: re.Pattern = _REWRITE) -> list[tuple[int, int, str]]:
     out = []
-    for m in _REWRITE.finditer(text):
+    for m in pattern.finditer(text):
         kind = m.lastgroup
-        by = {"at": "@", "dot": ".", "plus": "+"}.get(kind) or DIGIT_WORDS[_low(m[0])]
+        by = {"at": "@", "dot": ".", "plus": "+"}.get(kind) or DIGIT_WORDS[_low(m[0]).rstrip(" \t")]
         out.append((m.start(), m.end(), by))
     return out
 
@@ -198,18 +201,20 @@ def added_spans(text: str, base: list[list[tuple[int, int]]], gate: bool = True)
         return [[], [], [], []]
     plain = text if text.isascii() else text.translate(_PLAIN)
     one = Rewritten(plain, [(*m.span(), "") for m in _INVISIBLE.finditer(plain)])
-    two = Rewritten(one.text, _rewrites(one.text))
-    out: list[list[tuple[int, int]]] = []
-    for kind, found in enumerate(spans_of(two.text)):
-        new = []
-        for start, end in found:
-            if kind == 0 and not re.search(r"\.[A-Za-z]{2,}$", two.text[start:end]):
-                continue
-            a, b = two.source(start, end)
-            a, b = one.source(a, b)
-            if text[a:b] != two.text[start:end] and not any(s <= a and b <= e for s, e in base[kind]):
-                new.append((a, b))
-        out.append(new)
+    edits, joining = _rewrites(one.text), _rewrites(one.text, _JOINING)
+    out: list[list[tuple[int, int]]] = [[], [], [], []]
+    # Joined digits first; those apart show what joining spoils, as an address after a count.
+    for two in [Rewritten(one.text, e) for e in ([joining, edits] if joining != edits else [edits])]:
+        for kind, found in enumerate(spans_of(two.text)):
+            new = []
+            for start, end in found:
+                if kind == 0 and not re.search(r"\.[A-Za-z]{2,}$", two.text[start:end]):
+                    continue
+                a, b = two.source(start, end)
+                a, b = one.source(a, b)
+                if text[a:b] != two.text[start:end] and not any(s <= a and b <= e for s, e in base[kind] + out[kind]):
+                    new.append((a, b))
+            out[kind] += new
     return out
 
 

@@ -122,3 +122,22 @@ def test_gate_changes_nothing():
         assert pii.added_spans(t, base) == whole, t
         shown += any(whole)
     assert shown > 100
+
+
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("at one nine two dot one six eight dot one dot one now", 1, ["one nine two dot one six eight dot one dot one"]),
+        ("at uno cero.cero.cero.dos cinco cinco now", 1, ["uno cero.cero.cero.dos cinco cinco"]),
+        ("mail jo four  two at example dot com now", 0, ["four  two at example dot com"]),
+        ("mail jo at host one two dot example dot com now", 0, []),
+        ("mail jo@one two.example.com now", 0, ["jo@one two.example.com"]),
+        ("nine nine seven dot zero dot zero dot one", 1, ["seven dot zero dot zero dot one"]),
+        ("call plus one five five five one two three four now", 3, []),
+        ("call plus one five five five one two three four five now", 3, ["plus one five five five one two three four five"]),
+        ("four one one one one one one one one one one one one one one one now", 2, ["four" + " one" * 15]),
+    ],
+)
+def test_spelled_digits_join(text, kind, found):
+    added = pii.detect(text)[1]
+    assert [text[a:b] for a, b in added[kind]] == found

@@ -297,8 +297,9 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "do
     # Written, so that joins with it deal both sides anew and Spark can split a digest that many rows have.
     classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     owned = full.join(classes.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"))
-    sketches = owned.where("doc_id = rep").select("rep", "n", "bands", "sketch")
-    sketches = written(sketches.dropDuplicates(["rep", "n"]), "sketches")
+    # Rows of one doc_id keep a sketch for each of their texts.
+    sketches = owned.where("doc_id = rep").select("rep", "n", "bands", "sketch", "digest")
+    sketches = written(sketches.dropDuplicates(["rep", "digest"]).drop("digest"), "sketches")
 
     # Rows of one doc_id may be of several classes.
     torn = owned.groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")

@@ -96,3 +96,10 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_of_one_doc_id_of_equal_size(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    data = [(1, t) for t in texts] + [(n + 2, t + "x") for n, t in enumerate(texts)]
+    out = neardup.near_components(spark.createDataFrame(data, "doc_id long, text string"), 5).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (2, 1), (3, 1), (4, 1)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.tables import PACK_TOKEN_PATTERN
@@ -33,13 +33,11 @@ def duplicated(df: DataFrame, key: str) -> DataFrame:
     return df.join(many, key, "left_semi")
 
 
-def duplicate_groups(df: DataFrame, key: str, member: str, first: int = 5, members: int = 20) -> DataFrame:
-    """The first keys that several rows have, each with its number of rows and its first members."""
+def duplicate_groups(df: DataFrame, key: str, member: str, first: int = 5) -> DataFrame:
+    """The first keys that several rows have: key, n, the number of its rows, and a row for each member."""
     kept = duplicated(df, key)
     counts = kept.groupBy(key).agg(F.count("*").alias("n")).orderBy(key).limit(first)
-    order = Window.partitionBy(key).orderBy(member)
-    some = kept.join(F.broadcast(counts), key).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= members)
-    return some.groupBy(key).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(member)).alias("members"))
+    return kept.join(F.broadcast(counts), key).select(key, "n", F.col(member).alias("member"))
 
 
 def top_values(values: DataFrame, column: str, first: int) -> DataFrame:

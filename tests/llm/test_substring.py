@@ -1,57 +1,127 @@
+import re
 from collections import defaultdict
 
+import pytest
 from matchloom.llm import substring as S
 from tests.llm import docs
 
+BREAK = {"line": r"\n\s*", "paragraph": r"\n[^\S\n]*\n\s*"}
 
-def brute(data, unit, unit_words, span_words):
+
+def tiles(text, unit):
+    """(start, end, words) of the units of a text, cut by a pattern."""
+    text, out, at = text or "", [], 0
+    for m in re.finditer(BREAK[unit], text):
+        if text[at : m.start()].strip():
+            if text[m.end() :].strip():
+                end = m.start() + m[0].rindex("\n") + 1
+                out.append((at, end, text[at:end].lower().split()))
+                at = end
+    if text[at:].strip():
+        out.append((at, len(text), text[at:].lower().split()))
+    return out
+
+
+def brute_units(data, unit, unit_words=1):
+    """doc -> marked (start, end)."""
     where = defaultdict(list)
-    for d, t in sorted({(d, t) for d, t in data if d is not None}, key=str):
-        for n, u in enumerate(S.units(t, unit, unit_words)):
-            where[u[3]].append((d, n, *u[:3]))
-    gone = defaultdict(dict)
+    for d, t in data:
+        for a, b, words in tiles(t, unit):
+            if len(words) >= unit_words:
+                where[" ".join(words)].append((d, a, b))
+    gone = defaultdict(set)
     for found in where.values():
-        first = min(found)
-        for d, n, start, end, words in found:
-            if (d, n) != first[:2]:
-                gone[d][n] = (start, end, words, first[0])
+        for d, a, b in set(found) - {min(found)}:
+            gone[d].add((a, b))
+    return gone
+
+
+def brute_windows(data, words):
+    """doc -> marked (start, end)."""
+    at = defaultdict(list)
+    edges = {}
+    for d, t in data:
+        edges[d] = [m.span() for m in re.finditer(r"\S+", t or "")]
+        w = (t or "").lower().split()
+        for i in range(len(w) - words + 1):
+            at[tuple(w[i : i + words])].append((d, i))
+    gone = defaultdict(set)
+    for found in at.values():
+        d0, i0 = min(found)
+        for d, i in found:
+            if d != d0 or i - i0 >= words:
+                gone[d].add((edges[d][i][0], edges[d][i + words - 1][1]))
+    return gone
+
+
+def united(*every):
     out = []
-    for d, units in gone.items():
+    for d in set().union(*every):
         run = []
-        for n in sorted(units) + [None]:
-            if run and n != run[-1] + 1:
-                words = sum(units[x][2] for x in run)
-                if words >= span_words:
-                    out.append((d, units[run[0]][0], units[run[-1]][1], len(run), words, min(units[x][3] for x in run)))
-                run = []
-            run.append(n)
+        for a, b in sorted(set().union(*(x.get(d, set()) for x in every))):
+            if run and a <= run[-1][1]:
+                run[-1][1] = max(b, run[-1][1])
+            else:
+                run.append([a, b])
+        out += [(d, *x) for x in run]
     return sorted(out)
 
 
-def got(df, **how):
-    return sorted((r.doc_id, r.span_start, r.span_end, r.n_units, r.n_words, r.kept_doc_id) for r in S.spans(df, **how).collect())
+def distinct():
+    return list({d: t for d, t, *_ in docs.rows() if d is not None}.items())
 
 
-def test_matches_brute_force(spark):
-    data = [(d, t) for d, t, *_ in docs.rows()]
-    for unit, words, span in (("sentence", 4, 20), ("line", 1, 1), ("paragraph", 3, 10)):
-        want = brute(data, unit, words, span)
+def got(df, **how):
+    rows = S.spans(df, **how).collect()
+    assert all(r.first_doc_id <= r.doc_id and r.n_units > 0 and r.n_words > 0 for r in rows)
+    return sorted((r.doc_id, r.span_start, r.span_end) for r in rows)
+
+
+@pytest.mark.parametrize(("unit", "least"), [("line", 1), ("line", 4), ("paragraph", 1)])
+def test_units_match_brute_force(spark, unit, least):
+    want = united(brute_units(distinct(), unit, least))
+    assert want
+    assert got(docs.frame(spark), unit=unit, unit_words=least, passage_words=None) == want
+
+
+@pytest.mark.parametrize("words", [51, 30, 7])
+def test_all_matches_brute_force(spark, words):
+    want = united(brute_units(distinct(), "line"), brute_windows(distinct(), words))
+    assert got(docs.frame(spark), passage_words=words) == want
+
+
+def test_windows_of_near_copies_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(60)}" for _ in range(400)]
+    data = []
+    for d in range(25):
+        w = list(base)
+        for _ in range(d % 6):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = [f"n{rng.randrange(9)}"] * rng.randrange(1, 4)
+        cut = rng.randrange(150)
+        w = w[cut : cut + rng.randrange(60, 300)] + (["again", "and"] * 40 if d % 5 == 0 else []) + w[:70]
+        data.append((d, " ".join(w)))
+    for words in (51, 20):
+        want = united(brute_units(data, "line"), brute_windows(data, words))
         assert want
-        assert got(docs.frame(spark), unit=unit, unit_words=words, span_words=span) == want
+        assert got(spark.createDataFrame(data, "doc_id long, text string"), passage_words=words) == want
 
 
-def test_quoted_passages_go_but_once(spark):
-    data = [(d, t) for d, t, *_ in docs.rows()]
-    quoted = [d for d, t in data if t in docs.texts()[63:67]]
-    assert len(quoted) == 4
-    hit = {r[0] for r in got(docs.frame(spark))}
-    assert set(quoted) - hit == {min(quoted)}
+def test_unique_text_stays(spark):
+    a, b = "First thing that is told here.", "Another thing that is told here."
+    texts = [f"{a}\n{b}", f"{a}\nCall Bob.\n{b}", f"{a} Call Bob. {b}", f"  {a.upper()}\n\n    own line\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id: r.text for r in S.deduplicated(df).collect()}
+    assert left == {0: texts[0], 1: "Call Bob.\n", 2: texts[2], 3: "    own line\n"}
 
 
 def test_texts_and_offsets(spark):
     source = {d: t for d, t, *_ in docs.rows()}
     spans = defaultdict(set)
-    for d, a, b, *_ in got(docs.frame(spark)):
+    for d, a, b in got(docs.frame(spark)):
         spans[d].add((a, b))
     rows = S.deduplicated(docs.frame(spark)).collect()
     assert len(rows) == len(docs.rows())
@@ -68,7 +138,14 @@ def test_empty_null_ids_and_clashes(spark):
     assert S.deduplicated(docs.empty(spark)).count() == 0
     line = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(None, line, 1), (None, line, 2), (5, line, 3)], "doc_id long, text string, h1 int")
-    assert S.spans(df, span_words=3).count() == 0
+    assert S.spans(df).count() == 0
+    clash = df.withColumnsRenamed({"h1": "_gone"}).selectExpr("*", "1 AS _Gone_ID", "2 AS kept_offsets")
+    assert S.deduplicated(clash).count() == 3
+
+
+def test_rows_of_one_id(spark):
+    df = spark.createDataFrame([(1, "a line"), (1, "a line"), (1, "other\na line"), (2, "a line")], "doc_id long, text string")
+    assert got(df) == [(1, 6, 12), (2, 0, 6)]
 
 
 def test_passages_go_wherever_they_start(spark):
@@ -83,30 +160,16 @@ def test_passages_go_wherever_they_start(spark):
         " ".join(word("g", 40) + three + word("h", 3)),
         " ".join(word("i", 9) + quote[1:] + word("j", 9)),  # 50 words only
         " ".join(loop),  # overlaps itself up to word 56
-        "x\u2003 ".join(word("k", 3)) + "\n" + "\n".join(quote) + "  y",
+        "x  ".join(word("k", 3)) + "\n" + "\n".join(quote) + "  y",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    cut = {(d, *texts[d][a:b].lower().split()) for d, a, b, *_ in got(df)}
+    cut = {(d, *texts[d][a:b].lower().split()) for d, a, b in got(df)}
     assert cut == {(1, *quote), (3, *three), (5, *loop[56:]), (6, *quote)}
     left = {r.doc_id: r.text.split() for r in S.deduplicated(df).collect()}
     assert left[1] == word("c", 30) + word("d", 70) and left[4] == texts[4].split() and left[0] == texts[0].split()
 
 
-def test_passages_equal_all_windows(spark):
-    data = {d: t for d, t, *_ in docs.rows() if d is not None}
-    data = [(d, t) for d, t in data.items()]
-    at = defaultdict(list)
-    for d, t in data:
-        w = (t or "").lower().split()
-        for i in range(len(w) - 29):
-            at[tuple(w[i : i + 30])].append((d, i))
-    want = defaultdict(set)
-    for found in at.values():
-        d0, i0 = min(found)
-        for d, i in found:
-            if d != d0 or i - i0 >= 30:
-                want[d].update(range(i, i + 30))
-    got = defaultdict(set)
-    for r in S.passage_spans(spark.createDataFrame(data, "doc_id long, text string"), 30).collect():
-        got[r.doc_id].update(range(r.w0, r.w1))
-    assert want and got == want
+def test_a_unit_in_a_third_of_all_documents(spark):
+    hot = " ".join(f"hot{i}" for i in range(60))
+    data = [(d, (f"{hot}\n" if d % 3 == 0 else "") + f"{d} is my own") for d in range(600)]
+    assert got(spark.createDataFrame(data, "doc_id long, text string")) == [(d, 0, len(hot) + 1) for d in range(3, 600, 3)]

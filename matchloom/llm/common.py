@@ -88,6 +88,19 @@ class Sent:
         return kept[self.kind][1]
 
 
+def trimmed() -> None:
+    """What a Python worker has freed goes back to the system: workers live on, and others need the memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 def ascii_lower(col):
     """A-Z to a-z, all else as it is.  lower() does the same for pure ASCII, and faster."""
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(
@@ -110,6 +123,6 @@ def arrow_map(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
                 part = batch.slice(at, rows)
                 out = fn(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(out, target)], schema=target)
-        pa.default_memory_pool().release_unused()
+        trimmed()
 
     return df.mapInArrow(run, schema)

@@ -73,6 +73,16 @@ def by_ids(df: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, F.col(on) == F.col(name), how)
 
 
+def afresh(key):
+    """A long or binary key, unchanged.  In a join, a side that was aggregated by its own key stays as it is dealt, and
+    then Spark can't split what the other side has of a frequent key; with this one it deals both sides, and can."""
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
+def afresh_binary(key):
+    return F.concat(key, F.lit(b""))
+
+
 class Sent:
     """A value sent to the workers once, and what each worker makes of it, kept over its tasks until the next one."""
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACE, ascii_lower, carried, fresh, restored, table
+from matchloom.llm.common import SPACE, afresh_binary, ascii_lower, carried, fresh, restored, table
 
 
 def line_key(line: Column) -> Column:
@@ -28,6 +28,14 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+def _byte(digest: Column) -> Column:
+    return F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int")
+
+
+#: Dropped keys of a document that are looked up one by one.
+MANY = 256
+
+
 def dropped_keys(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and drop: the digests of the keys that each document loses."""
     lines = df.select(F.col(doc).alias("doc"), F.explode(F.split(F.col(text), "\n")).alias("line"))
@@ -35,22 +43,30 @@ def dropped_keys(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str
     pairs = keyed.where((F.length("key") >= min_chars) & F.col("doc").isNotNull())
     pairs = pairs.select("doc", _digest(F.col("key")).alias("digest")).distinct()
     hot = pairs.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-    lost = pairs.join(hot, "digest").where(F.col("doc") < F.col("last"))
+    hot = hot.select(F.col("digest").alias("of"), "last")
+    lost = pairs.join(hot, F.col("digest") == afresh_binary(F.col("of"))).where(F.col("doc") < F.col("last"))
     return lost.groupBy("doc").agg(F.collect_list("digest").alias("drop"))
 
 
 def deduplicated(df: DataFrame, min_chars: int = 40, min_docs: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """df with its text reduced, and _n_lines and _n_dropped."""
-    of, gone, every, left = (fresh(df, n) for n in ("_drop_doc", "_drop", "_all", "_kept"))
+    of, gone, every, left, lists = (fresh(df, n) for n in ("_drop_doc", "_drop", "_all", "_kept", "_lists"))
     drop = dropped_keys(df, min_chars, min_docs, doc, text).select(F.col("doc").alias(of), F.col("drop").alias(gone))
     kept_columns = [c for c in df.columns if c not in ("_n_lines", "_n_dropped")]
     df = df.select(*(F.col(f"`{c}`") for c in kept_columns))
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
     joined = df.join(drop, F.col(doc) == F.col(of), "left").withColumn(every, lines)
 
+    # A document that loses many keys has them in 256 lists by first byte, as each of its lines is looked up.
+    parts = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.filter(gone, lambda g: _byte(g) == i))
+    joined = joined.withColumn(lists, F.when(F.size(gone) > MANY, parts))
+
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return ~((F.length(key) >= min_chars) & F.array_contains(F.col(gone), _digest(key)))
+        digest = _digest(key)
+        few = F.array_contains(gone, digest)
+        held = F.when(F.col(lists).isNull(), few).otherwise(F.array_contains(F.get(lists, _byte(digest)), digest))
+        return (F.length(key) < min_chars) | ~held
 
     joined = joined.withColumn(left, F.when(F.col(gone).isNull(), F.col(every)).otherwise(F.filter(every, stays)))
     return joined.select(

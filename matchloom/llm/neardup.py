@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_map, by_ids, table, written
+from matchloom.llm.common import afresh, arrow_map, by_ids, table, written
 from matchloom.llm.graph import components
 
 BANDS, ROWS = 45, 5
@@ -308,7 +308,7 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "do
 
     rows = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = rows.join(buckets, F.col("key") == F.col("of")).select("key", "band", "rep", "hub", "size")
+    members = rows.join(buckets, F.col("key") == afresh(F.col("of"))).select("key", "band", "rep", "hub", "size")
     members = written(members, "members")
 
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import arrow_map, by_ids, fresh, table, written
+from matchloom.llm.common import afresh, arrow_map, by_ids, fresh, table, written
 
 #: Line feeds between words that end a unit.
 BREAKS = {"line": 1, "paragraph": 2}
@@ -162,7 +162,7 @@ def _with_first(rows: DataFrame) -> DataFrame:
     key = ("passage", "h1", "h2")
     firsts = rows.groupBy(*key).agg(F.min(F.struct("doc_id", "w0")).alias("f"))
     classes = firsts.groupBy(F.col("passage").alias("_p"), F.col("h1").alias("_h")).agg(F.count("*").alias("classes"))
-    firsts = firsts.join(classes, (F.col("passage") == F.col("_p")) & (F.col("h1") == F.col("_h")))
+    firsts = firsts.join(classes, (F.col("passage") == F.col("_p")) & (F.col("h1") == afresh(F.col("_h"))))
     firsts = firsts.select(
         F.col("passage").alias("k0"), F.col("h1").alias("k1"), F.col("h2").alias("k2"),
         F.col("f.doc_id").alias("first_doc_id"), F.col("f.w0").alias("first_w0"), "classes",

@@ -2,11 +2,12 @@
 
 A text becomes "▁" + text with blanks as "▁", and is cut before every "▁" that follows another character: no piece of
 the vocabulary crosses such a cut (checked when the tables are built; otherwise a text is one word).  Distinct words
-are encoded together.  Their symbols lie in one flat numpy array; a round looks up the rank of every adjacent pair,
-takes each word's minimum by a segmented reduction, merges the leftmost pairs of that rank in all words at once and
-compacts the array, until no word has a pair left.  Where a merge could give a pair of better rank than its own, or
-several pieces share a rank, only the word's leftmost pair is merged in that round, as a priority queue would do.
-Characters outside the vocabulary fall back to bytes.
+are encoded together, cut further into segments wherever two characters meet that meet in no piece: no merge can cross
+there, and so long words fall apart.  The symbols lie in one flat numpy array; a round looks up the rank of every
+adjacent pair, takes each segment's minimum by a segmented reduction, merges the leftmost pairs of that rank in all
+segments at once and compacts the array, until no pair is left.  Where a merge gives a pair of no worse rank than its
+own with what stands beside it then, the pairs to its right in that segment wait for the next round, as they would in
+a priority queue.  Characters outside the vocabulary fall back to bytes.
 
 Null texts count as empty ones, whose ids are the end id alone.  Texts are encoded whole.  Words already met are kept
 in a bounded table per Python worker; a lost executor loses only that.  Repeated rows give equal results, an empty
@@ -43,7 +44,8 @@ class Tables:
     keys: np.ndarray  # sorted left * n_symbols + right
     merged: np.ndarray  # piece of each key
     rank: np.ndarray  # by piece
-    alone: np.ndarray  # by piece: merge the leftmost only
+    leads: np.ndarray  # by piece: it is part of a merge of no worse rank than its own
+    meet: np.ndarray  # sorted left * n_symbols + right of characters that meet in a piece
     cuts: bool
 
 
@@ -60,7 +62,7 @@ def tables(model_file: str) -> Tables:
         for c in p:
             single.setdefault(c, size + len(single) - len(of))
     scores = np.array([sp.get_score(i) if normal[i] else -np.inf for i in range(size)])
-    levels, rank = np.unique(-scores, return_inverse=True)
+    rank = np.unique(-scores, return_inverse=True)[1]
     left, right, made = [], [], []
     for p, i in of.items():
         for k in range(1, len(p)):
@@ -71,11 +73,12 @@ def tables(model_file: str) -> Tables:
                 made.append(i)
     n = size + len(single) - len(of)
     left, right, made = (np.array(x, np.int64) for x in (left, right, made))
-    alone = np.bincount(rank, minlength=len(levels))[rank] > 1
+    leads = np.zeros(size, bool)
     for part in (left, right):
         whole = part < size
-        worse = rank[made[whole]] < rank[part[whole]]
-        alone[part[whole][worse]] = True
+        ahead = rank[made[whole]] <= rank[part[whole]]
+        leads[part[whole][ahead]] = True
+    meet = {single[a] * n + single[b] for p in of for a, b in zip(p, p[1:])}
     order = np.argsort(left * n + right)
     return Tables(
         surfaces=[names[i].replace(BLANK, " ") if normal[i] else None if sp.is_byte(i) else " ⁇ " if sp.is_unknown(i) else "" for i in range(size)],
@@ -86,11 +89,48 @@ def tables(model_file: str) -> Tables:
         keys=(left * n + right)[order],
         merged=made[order].astype(np.int32),
         rank=rank.astype(np.int32),
-        alone=alone,
+        leads=leads,
+        meet=np.array(sorted(meet), np.int64),
         cuts=not any(BLANK in p.lstrip(BLANK) for p in of),
     )
 
 
+def _held(keys: np.ndarray, asked: np.ndarray):
+    """Where in the sorted keys each one asked for would be, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    return at, keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
+
+
+def _ranks(left: np.ndarray, right: np.ndarray, t: Tables) -> np.ndarray:
+    at, hit = _held(t.keys, np.where((left < 0) | (right < 0), -1, left * t.n_symbols + right))
+    return np.where(hit, t.rank[t.merged[at]], NONE)
+
+
+def _in_turn(best: np.ndarray, piece: np.ndarray, symbol: np.ndarray, word: np.ndarray, t: Tables) -> np.ndarray:
+    """Of pairs to merge in a round, those a queue would merge before any pair that they bring about."""
+    made = piece[best]
+    asks = np.flatnonzero(t.leads[made])
+    if not len(asks):
+        return best
+    at, own = best[asks], made[asks]
+    last = len(symbol) - 1
+    # To the left stands what this round has made already, to the right what it has not reached yet.
+    before = np.maximum(at - 1, 0)
+    done = np.isin(at - 2, best, assume_unique=True)
+    left = np.where(done, piece[np.maximum(at - 2, 0)], symbol[before])
+    after = np.minimum(at + 2, last)
+    near = np.minimum(
+        np.where((at > 0) & (word[before] == word[at]), _ranks(left, own, t), NONE),
+        np.where((at + 2 <= last) & (word[after] == word[at]), _ranks(own, symbol[after], t), NONE),
+    )
+    stop = at[near <= t.rank[own]]
+    if not len(stop):
+        return best
+    words, first = np.unique(word[stop], return_index=True)
+    where, held = _held(words, word[best])
+    return best[~held | (best <= stop[first][where])]
+
+
 def merge_rounds(words: list[str], t: Tables) -> tuple[list[list[int]], set[int]]:
     """The ids of each word, none of them empty; which words have byte ids."""
     text = "".join(words)
@@ -100,20 +140,23 @@ def merge_rounds(words: list[str], t: Tables) -> tuple[list[list[int]], set[int]
     # A character of no piece is -1 - its code: it never merges.
     ids = np.array([t.symbols.get(chr(c), -1 - int(c)) for c in distinct], np.int64)
     symbol = ids[inverse]
-    word = np.repeat(np.arange(len(words)), lengths)
+    whole = np.repeat(np.arange(len(words)), lengths)
+    apart = ~_held(t.meet, np.where((symbol[:-1] < 0) | (symbol[1:] < 0), -1, symbol[:-1] * t.n_symbols + symbol[1:]))[1]
+    new = np.append(True, (whole[1:] != whole[:-1]) | apart)[: len(symbol)]
+    whole = whole[new]  # by segment: its word
+    word = np.cumsum(new) - 1
     done_symbol, done_word = [], []
     while len(symbol):
         key = symbol[:-1] * t.n_symbols + symbol[1:]
         key[(word[:-1] != word[1:]) | (symbol[:-1] < 0) | (symbol[1:] < 0)] = -1
-        at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
-        hit = t.keys[at] == key
+        at, hit = _held(t.keys, key)
         piece = t.merged[at]
         rank = np.append(np.where(hit, t.rank[piece], NONE), NONE)
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         least = np.minimum.reduceat(rank, first)
         sizes = np.diff(np.append(first, len(symbol)))
         least_of = np.repeat(least, sizes)
-        # Words without a pair leave the array.
+        # Segments without a pair leave the array.
         over = least_of == NONE
         if over.any():
             done_symbol.append(symbol[over])
@@ -121,19 +164,18 @@ def merge_rounds(words: list[str], t: Tables) -> tuple[list[list[int]], set[int]
         best = np.flatnonzero((rank == least_of) & ~over)
         if not len(best):
             break
-        # Of neighbouring candidates every other one, from the left; of ranks that ask for it the word's first only.
+        # Of neighbouring candidates every other one, from the left.
         run = np.append(True, np.diff(best) != 1)
         place = np.arange(len(best))
         odd = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 1
-        repeat = np.append(False, word[best[1:]] == word[best[:-1]])
-        best = best[~(odd | (repeat & t.alone[piece[best]]))]
+        best = _in_turn(best[~odd], piece, symbol, word, t)
         symbol[best] = piece[best]
         stays = ~over
         stays[best + 1] = False
         symbol, word = symbol[stays], word[stays]
     symbol, word = np.concatenate(done_symbol or [symbol]), np.concatenate(done_word or [word])
     order = np.argsort(word, kind="stable")
-    symbol, word = symbol[order], word[order]
+    symbol, word = symbol[order], whole[word[order]]
     starts = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
     odd = set(word[(symbol < 0) | (symbol >= len(t.surfaces))].tolist())
     flat = symbol.tolist()
@@ -238,26 +280,31 @@ class Encoder:
             yield sum(counts) + 1, " ".join((*decimals, end)), "".join(decoded)[1:]
 
 
+def _encoder(t: dict) -> Encoder:
+    # Workers may lack this package, so what is broadcast holds no class of it.
+    return Encoder(Tables(**t))
+
+
 def encoded(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """df with ids (array<int>), the end id last."""
     from pyspark.sql.functions import col, pandas_udf
 
-    sent = Sent(df.sparkSession, "pieces", tables(model_file))
+    sent = Sent(df.sparkSession, "pieces", vars(tables(model_file)))
 
     @pandas_udf("array<int>")
     def ids(texts):
-        e = sent.made(Encoder)
+        e = sent.made(_encoder)
         return texts.map(lambda x: [*e.encode(x or ""), e.t.end_id])
 
     return df.withColumn("ids", ids(col(text)))
 
 
 def digested(df: DataFrame, model_file: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    sent = Sent(df.sparkSession, "pieces", tables(model_file))
+    sent = Sent(df.sparkSession, "pieces", vars(tables(model_file)))
 
     def run(docs, texts):
         out = []
-        for n, ids, decoded in sent.made(Encoder).digests([x or "" for x in texts]):
+        for n, ids, decoded in sent.made(_encoder).digests([x or "" for x in texts]):
             out.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return [docs, *(map(list, zip(*out)) if out else ([], [], []))]
 

@@ -44,6 +44,18 @@ def test_mixtures_and_long_runs(both):
         same(both, c * 3000, e)
 
 
+def test_very_long_words(both):
+    import time
+
+    rng = random.Random(4)
+    base64 = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(48, 58), 43, 47]))
+    texts = ["".join(rng.choice(letters) for _ in range(200_000)) for letters in (base64, base64[26:52], ["ing", "tion", "an", "th", "ed"])]
+    began = time.process_time()
+    for text in [*texts, "x" * 200_000, "an" * 100_000]:
+        assert pieces.Encoder(both[1]).encode(text) == both[0].encode(text)
+    assert time.process_time() - began < 25
+
+
 def test_vocabulary_table_overflow(both, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_WORDS", 20)
     e = pieces.Encoder(both[1])

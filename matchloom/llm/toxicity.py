@@ -5,11 +5,13 @@ word, and its first four and six letters, which reach inflected and compounded f
 sees the log-odds of the categories before it.  For training these come from FOLDS models that did not see the document
 (out-of-fold predictions), so a later model learns how far it can trust an earlier one on unseen text.
 
-The models are fitted on a bounded sample: of the labelled documents the TRAIN_ROWS with the least hash of doc_id.
-Everything else covers all documents and whole texts.  Scoring adds up one weight per distinct word and category.
+The models are fitted on a bounded sample: of the labelled documents the TRAIN_ROWS with the least hash of doc_id, as far
+as their features stay within TRAIN_FEATURES.  Everything else covers all documents and whole texts.  Scoring adds up
+one weight per distinct word and category.
 
 A null text has no words and gets the models' base odds.  A label that is null or absent keeps its document out of the
-sample only.  With no labelled document of one kind a category's probability is the share seen (0 or 1; 0 without any
+sample only; so do labels of one doc_id that contradict each other, while equal ones count once.  Of rows that share a
+doc_id but not their text, the sample has the least text; all are scored.  With no labelled document of one kind a category's probability is the share seen (0 or 1; 0 without any
 label).  Rows are scored independently: repeated rows get equal scores, an empty table gives an empty result.
 """
 
@@ -21,9 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import Sent, arrow_map, table
+from matchloom.llm.common import Sent, arrow_map, table, written
 
 TRAIN_ROWS = 6000
+#: 80 MB at most on the driver.
+TRAIN_FEATURES = 20_000_000
 FOLDS = 4
 BITS = 18
 KEPT_WORDS = 400_000
@@ -167,10 +171,13 @@ def fit_chain(x: Rows, labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     return chain
 
 
-def training_sample(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], limit: int, doc: str, text: str):
+def training_sample(docs: DataFrame, labelled: DataFrame, categories: dict[str, Column], limit: int, doc: str, text: str, most: int = TRAIN_FEATURES):
     """Rows and labels of the bounded sample."""
-    named = labelled.select(F.col(doc).alias("_id"), *(v.cast("int").alias(k) for k, v in categories.items())).dropna()
-    few = named.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    named = labelled.select(F.col(doc).alias("_id"), *(v.cast("int").alias(k) for k, v in categories.items()))
+    clear = named.groupBy("_id").agg(*(F.min(k).alias(k) for k in categories), *(F.max(k).alias(f"_max_{k}") for k in categories))
+    for k in categories:
+        clear = clear.where(F.col(k) == F.col(f"_max_{k}"))
+    few = clear.where(F.col("_id").isNotNull()).select("_id", *categories).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     rows = docs.select(F.col(doc), F.col(text).cast("string").alias("_text")).join(F.broadcast(few), F.col(doc) == F.col("_id"))
 
     def run(ids, texts, *labels):
@@ -179,17 +186,36 @@ def training_sample(docs: DataFrame, labelled: DataFrame, categories: dict[str,
 
     schema = "id long, f binary, " + ", ".join(f"{k} int" for k in categories)
     # A document that stands in the table many times is one training row.
-    once = rows.dropDuplicates(["_id"]).select("_id", "_text", *categories)
-    got = arrow_map(once, run, schema, rows=128).orderBy(F.xxhash64("id"), "id").collect()
+    once = rows.groupBy("_id").agg(F.min("_text").alias("_text"), *(F.first(k).alias(k) for k in categories))
+    made = written(arrow_map(once, run, schema, rows=128), "sample")
+    total, last = 0, None
+    sizes = made.select("id", F.xxhash64("id").alias("h"), (F.octet_length("f") / 4).cast("long").alias("n"))
+    for r in sizes.orderBy("h", "id").collect():
+        total += r.n
+        if total > most:
+            break
+        last = r
+    if last is None:
+        got = []
+    else:
+        within = F.struct(F.xxhash64("id"), "id") <= F.struct(F.lit(last.h).cast("long"), F.lit(last.id).cast("long"))
+        got = made.where(within).orderBy(F.xxhash64("id"), "id").collect()
     x = Rows([np.frombuffer(r.f, "<i4") for r in got])
     return x, np.array([[r[k] for k in categories] for r in got], np.int64).reshape(len(got), len(categories))
 
 
+def plain(chain: list[Linear]) -> list[tuple]:
+    """The chain without classes of this package, which workers may lack."""
+    return [(m.weights, m.chain, m.bias) for m in chain]
+
+
 class Scorer:
     """Sums of weights of distinct words; a word's own sum is kept."""
 
-    def __init__(self, chain: list[Linear]):
-        self.chain, self.weights = chain, np.stack([m.weights for m in chain], 1)
+    def __init__(self, chain: list[tuple]):
+        """chain: as plain() gives it."""
+        self.chain = chain = [Linear(*m) for m in chain]
+        self.weights = np.stack([m.weights for m in chain], 1)
         self.kept: dict[str, int] = {}
         self.sums = np.zeros((1024, len(chain)))
 
@@ -219,7 +245,7 @@ class Scorer:
 
 def scored(df: DataFrame, chain: list[Linear], names: list[str], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and p_<category> for every row of df."""
-    sent = Sent(df.sparkSession, "toxicity", chain)
+    sent = Sent(df.sparkSession, "toxicity", plain(chain))
 
     def run(ids, texts):
         s = sent.made(Scorer)

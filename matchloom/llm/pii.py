@@ -8,7 +8,8 @@ rewrite notes where it stood, the plain patterns run over the copy, and spans fo
 code points.  Only spans that cover a rewrite are added, and none that lies within a base span of the same kind.
 
 A null text counts as an empty one and has no spans.  Texts are read whole.  Rows are independent of each other:
-repeated rows give equal results, an empty table an empty one, and extra columns are carried along.
+repeated rows give equal results and an empty table an empty one.  found() gives a row for each row, with its doc column
+and what was found, and ignores other columns; redacted() carries them along.
 """
 
 from __future__ import annotations
@@ -95,9 +96,10 @@ _word = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _CLOSED_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_dot}|\.)[ \t]*[\])}}>][ \t]*"
 _OPEN_DOT = rf"[ \t]+(?:{_dot})[ \t]+"
-#: A bare "at" is one only where a disguised dot follows its host's first label.
+#: A bare "at" is one only where a disguised dot follows its host's first label.  Blanks are entered at their start
+#: only, so that long runs of them cost no more than their length.
 _REWRITE = re.compile(
-    rf"(?P<at>[ \t]*[\[({{<][ \t]*(?:{_at}|@)[ \t]*[\])}}>][ \t]*(?=[a-z0-9])"
+    rf"(?P<at>(?<![ \t])[ \t]*+[\[({{<][ \t]*(?:{_at}|@)[ \t]*[\])}}>][ \t]*(?=[a-z0-9])"
     rf"|(?<=[a-z0-9_%+-])[ \t]+(?:{_at})[ \t]+(?=[a-z0-9-]+(?:{_CLOSED_DOT}|{_OPEN_DOT})[a-z0-9])"
     rf"|(?<=[a-z0-9_%+-])(?:[ \t]+@[ \t]*|@[ \t]+)(?=[a-z0-9-]+(?:\.|{_CLOSED_DOT}|{_OPEN_DOT})[a-z0-9]))"
     rf"|(?P<dot>(?<=[a-z0-9])(?:{_CLOSED_DOT}|{_OPEN_DOT})(?=[a-z0-9]))"

@@ -1,8 +1,9 @@
 """Operator 8: contiguous shards of near equal bytes, by global prefix sums.
 
-Rows are ordered by (doc_id, size, crc).  Equal rows are first counted together, so that a doc_id that holds a third of
-all rows is a few counted rows.  Ranges of doc_id, cut at approximate percentiles, form buckets; the buckets' totals
-(at most BUCKETS rows) are summed in order, and each bucket adds its own running sums.  A row whose middle byte lies at
+Rows are ordered by (doc_id, crc, size).  Equal rows are first counted together.  Ranges of doc_id, cut at STEP * STEP
+approximate percentiles, form buckets; a doc_id that several cuts fall on is cut further, at as many ranges of crc, so
+neither repeated rows nor many texts of one doc_id overload a bucket.  The buckets' totals, about twice STEP * STEP
+rows at most, are summed in order, and each bucket adds its own running sums.  A row whose middle byte lies at
 position p of total T goes to shard p * n / T, so shards are contiguous in doc_id and differ by at most a row's size.
 
 A null text has no bytes: its size is the overhead alone and its crc that of no bytes.  Null doc_ids come first.
@@ -11,6 +12,8 @@ Repeated rows each get a place of their own.  An empty table gives an empty resu
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ def _bucket(cuts: list[int], col: str):
     return first, lambda f: f * STEP + F.size(F.filter(F.slice(every, f * STEP + 1, STEP), lambda c: c < F.col(col)))
 
 
-def sharded(df: DataFrame, n_shards: int = 24, overhead: int = 8, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of df."""
+def bucketed(df: DataFrame, overhead: int = 8, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size, crc, n and bucket of the distinct rows of df; buckets follow each other as doc_id and crc do."""
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(doc).cast("long").alias("doc_id"),
@@ -43,10 +46,19 @@ def sharded(df: DataFrame, n_shards: int = 24, overhead: int = 8, doc: str = "do
     first, both = _bucket(list(cuts), "doc_id")
     equal = rows.groupBy("doc_id", "size", "crc").agg(F.count("*").alias("n"))
     equal = equal.withColumn("first", first)
-    equal = equal.withColumn("bucket", both(F.col("first"))).drop("first")
+    bucket = both(F.col("first")).cast("long") * (2 * STEP**2)
+    if frequent := {d: n for d, n in Counter(cuts).items() if n > 1}:
+        # In its bucket such a doc_id comes last, behind the smaller ones, as bucket numbers have it.
+        parts = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in frequent.items() for x in pair)), F.col("doc_id"))
+        bucket = bucket + F.when(parts.isNotNull(), 1 + F.shiftright(F.col("crc") * parts, 32)).otherwise(0)
+    return equal.withColumn("bucket", bucket).drop("first")
 
+
+def sharded(df: DataFrame, n_shards: int = 24, overhead: int = 8, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row of df."""
+    equal = bucketed(df, overhead, doc, text)
     totals = equal.groupBy("bucket").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
-    # One row a bucket, STEP * STEP at most: this window and the broadcast below do not grow with the data.
+    # One row a bucket: this window and the broadcast below do not grow with the data.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     starts = totals.select(
@@ -55,7 +67,7 @@ def sharded(df: DataFrame, n_shards: int = 24, overhead: int = 8, doc: str = "do
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"),
         F.sum("bytes").over(whole).alias("all_bytes"),
     )
-    inside = Window.partitionBy("bucket").orderBy("doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("bucket").orderBy("doc_id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = equal.select(
         "*",
         F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("rows_in"),

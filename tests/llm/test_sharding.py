@@ -6,11 +6,10 @@ from tests.llm import docs
 
 def check(rows, data, n):
     assert len(rows) == len(data)
-    want = sorted((d if d is not None else -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in data)
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32) for r in rows) == want
-    total, at, place = sum(s for _, s, _ in want), 0, {}
+    want = sorted((d if d is not None else -1, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for d, t in data)
+    total, at, place = sum(s for _, _, s in want), 0, {}
     ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
-    assert [(r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32) for r in ordered] == want
+    assert [(r.doc_id if r.doc_id is not None else -1, r.text_crc32, r.size) for r in ordered] == want
     for r in ordered:
         assert r.shard == (2 * at + r.size) * n // (2 * total)
         assert r.slot == place.get(r.shard, 0)
@@ -30,6 +29,13 @@ def test_hot_id_nulls_and_ties(spark):
     check(S.sharded(df, 6).collect(), data, 6)
 
 
+def test_many_texts_of_one_id_are_dealt_to_many_buckets(spark):
+    data = [(7 if i % 3 == 0 else i, "t" * (i % 50) + str(i)) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    check(S.sharded(df, 24).collect(), data, 24)
+    assert S.bucketed(df).groupBy("bucket").count().agg({"count": "max"}).first()[0] < 40
+
+
 def test_empty_and_extra_columns(spark):
     assert S.sharded(docs.empty(spark)).count() == 0
     df = docs.frame(spark).withColumnRenamed("lang", "shard").withColumnRenamed("source", "size")

@@ -12,7 +12,7 @@ all buckets with a chance of 2e-8.
    A first round takes from each block only a forest of its likeliest pairs between labels, which after verification
    joins nearly all that belongs together; a second also looks at the sets, by half of each hash, and takes every pair
    of different labels that reaches the threshold so, from the first bucket it shares.  All are verified on full sets.  Members of one component are not compared
-   again, so a group of thousands of copies costs its stragglers, not its square.
+   again: in a large bucket of m members, s of them outside its main label, s * m / BLOCK rows are dealt, not m * m.
 4. Components of all verified links.
 
 A sketch estimate below SLACK is over five standard deviations under the threshold.
@@ -216,7 +216,7 @@ def _nearly(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], percent: int)
 
 
 def _block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """rows: key, band, one, two (numbers of two blocks), side (which of them), rep, label, n, bands, sketch.  Pairs of
+    """rows: key, band, one, two (numbers of a block's two sides), side (which of them), rep, label, n, bands, sketch.  Pairs of
     different labels that may reach the threshold: by their sketches, and of those only what joins labels that likelier
     pairs of the block have not joined yet (forest); or by sketches and by column short, all those whose first shared
     band is this one."""
@@ -267,24 +267,37 @@ def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, perc
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c"))
     mixed = mixed.where((F.col("l0") != F.col("l1")) & (F.col("c") > 2)).select(F.col("key").alias("of"))
-    rows = written(labelled.join(mixed, F.col("key") == F.col("of"), "left_semi"), "mixed")
+    rows = written(labelled.join(mixed, F.col("key") == afresh(F.col("of")), "left_semi"), "mixed")
     sk = sketches.select(F.col("rep").alias("of_rep"), "n", "bands", "sketch")
     sets = None
     if docs is not None:
         sets = written(_sets(docs, written(rows.select(F.col("rep").alias("id")).distinct(), "needed"), k), "sets")
         sk = sk.join(sets.select("doc_id", "short"), F.col("of_rep") == F.col("doc_id")).drop("doc_id")
-    # Most buckets are one block; only members of larger ones are dealt to several and meet all the others.
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    zero = F.lit(0)
-    whole = rows.where("blocks = 1").select("key", "band", "rep", "label", zero.alias("one"), zero.alias("two"), zero.alias("side"))
-    rows = rows.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "band", "rep", "label", "block", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
-    rows = whole.unionAll(rows.select(
-        "key", "band", "rep", "label",
-        F.least("block", "other").alias("one"),
-        F.greatest("block", "other").alias("two"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-    ))
+    # Most buckets are one block.  In a larger one, the members of its main label need not meet each other: they are
+    # dealt to blocks once, and each block meets all others, who also meet among themselves.
+    zero, none = F.lit(0), F.lit(-1)
+    whole = rows.where(F.col("size") <= BLOCK).select("key", "band", "rep", "label", zero.alias("one"), zero.alias("two"), zero.alias("side"))
+    large = rows.where(F.col("size") > BLOCK)
+    tally = large.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = tally.groupBy(F.col("key").alias("of")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"))
+    large = large.join(main, F.col("key") == afresh(F.col("of")))
+
+    def blocks(members):
+        return F.ceil(members / BLOCK).cast("int")
+
+    def dealt(n):
+        return F.pmod(F.xxhash64("rep"), n).cast("int")
+
+    own = ("key", "band", "rep", "label")
+    main_blocks, other_blocks = blocks(F.col("most")), blocks(F.col("members") - F.col("most"))
+    mains = large.where("label = main").select(*own, dealt(main_blocks).alias("one"), none.alias("two"), zero.alias("side"))
+    others = large.where("label <> main")
+    across = others.select(*own, F.explode(F.sequence(zero, main_blocks - 1)).alias("one"), none.alias("two"), F.lit(1).alias("side"))
+    among = others.select(*own, dealt(other_blocks).alias("block"), F.explode(F.sequence(zero, other_blocks - 1)).alias("other"))
+    among = among.select(
+        *own, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side")
+    )
+    rows = whole.unionAll(mains).unionAll(across).unionAll(among)
     rows = rows.join(sk, F.col("rep") == F.col("of_rep")).drop("of_rep")
     return _block_pairs(rows, percent, docs is None).distinct(), sets
 

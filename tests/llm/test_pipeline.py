@@ -73,3 +73,32 @@ def test_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_stages_bear_clashing_names(spark):
+    """Columns named as the stages' own, in any case; they come through, and the result is that without them."""
+    names = ["row", "kept", "drop", "_drop", "_q_text", "_n_lines", "bands", "rep", "gone_id", "_Of_Id", "key", "turn", "group", "ids", "length", "base_failed", "n_words"]
+    plain = docs.frame(spark)
+    odd = plain.selectExpr("*", *(f"{i} AS `{n}`" for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES:
+        a, b = stage(spark, plain, ""), stage(spark, odd, "")
+        if name == "packing":
+            columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+        else:
+            assert b.columns == odd.columns
+            assert all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in b.collect())
+            columns = plain.columns
+        assert sorted(map(repr, a.select(*columns).collect())) == sorted(map(repr, b.select(*columns).collect())), name
+        plain, odd = a.select(*columns) if name == "packing" else a, b
+
+
+def test_tables_on_the_way_go(spark, tmp_path):
+    from matchloom.llm import common
+
+    docs.frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    before = list(common._TABLES)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [p for p in common._TABLES if p not in before]
+    assert len(left) == 1 and out.count() > 0
+    common.remove_tables(spark, len(before))
+    assert not Path(left[0]).exists() and common._TABLES == before

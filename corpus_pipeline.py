@@ -1,17 +1,21 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a DataFrame that is written as
-Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+Parquet and read again as the next one's docs.  All but the last return the columns of documents, whatever they are
+called besides doc_id and text; n_chars, where there is one, follows the text.
+
+A null text counts as an empty one, and the quality rules reject it.  A null doc_id neither drops nor loses lines, is
+near to nothing and is packed.  Rows that share a doc_id are one document to the line and near dedup: they lose the same
+lines, and all stay or all go.  Ties go to the least doc_id among near copies and to the largest among line holders.
+An empty table gives no pieces.  Very long texts are whole in one row and cut into pieces by packing alone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import linededup, neardup, packing, pii, quality
-from matchloom.llm.common import shared_dir, table
+from matchloom.llm.common import new_table, remove_tables, table, tables_so_far
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -26,10 +30,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), tables_so_far()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         out = stage(spark, docs, sf_dir)
+        path = new_table(spark, f"pipeline-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        remove_tables(spark, before, but=(path,))  # the predecessor, and what the stage wrote on its way
     return docs

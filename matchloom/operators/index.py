@@ -1,23 +1,25 @@
 """Term indexes: postings, document frequencies, corpus statistics, weights.
 
-All are plain DataFrames, to be persisted or written by whoever uses them more than once.  vocabulary, a DataFrame of
-terms, restricts an index to what some queries can touch before anything is aggregated.
+Documents of equal content share a rep, a digest of it, so they are counted, weighed and scored once.  The first step
+deals documents by rep; term counts, norms and, with broadcast queries, scores follow without another shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.sources.shared import stored
 
-def term_counts(docs: DataFrame, terms: str, *keys: str, vocabulary: DataFrame | None = None) -> DataFrame:
+#: Rows of a table of terms that are broadcast at most, counted first; beyond, the join shuffles.
+BROADCAST_TERMS = 1_000_000
+
+
+def term_counts(docs: DataFrame, terms: str, *keys: str) -> DataFrame:
     """keys, term and tf."""
-    rows = docs.select(*keys, F.explode(terms).alias("term"))
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, "term", "left_semi")
-    return rows.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, terms: str = "tokens") -> DataFrame:
@@ -25,58 +27,102 @@ def corpus_stats(docs: DataFrame, terms: str = "tokens") -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms)).alias("avgdl"))
 
 
+def joinable(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """small, a stored table, to be broadcast if its rows, counted first, are few enough."""
+    return F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_TERMS else small
+
+
+def rep_of(content: Column) -> Column:
+    return F.unhex(F.md5(content))
+
+
+def shared(docs: DataFrame, content: str, rep: Column) -> DataFrame:
+    """rep, content, copies and first, the least ord, of the distinct documents."""
+    named = docs.select("ord", content, rep.alias("rep"))
+    return named.groupBy("rep").agg(F.first(content).alias(content), F.count("*").alias("copies"), F.min("ord").alias("first"))
+
+
+def token_rep() -> Column:
+    return rep_of(F.array_join("tokens", " ", "\1"))
+
+
+def bm25_idf(n: Column, df: Column) -> Column:
+    half, one = F.lit(0.5), F.lit(1.0)
+    return F.log((n - df + half) / (df + half) + one)
+
+
+def bm25_weight(tf: Column, dl: Column, idf: Column, avgdl: Column, k1: float, b: float) -> Column:
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl / avgdl)
+    return idf * tf * F.lit(k1 + 1.0) / (tf + norm)
+
+
 @dataclass
 class Bm25Index:
-    """postings: term, ord, tf, dl, weight."""
+    """postings: term, ord, tf, dl, weight; terms: term, df, idf."""
 
-    docs: DataFrame
     postings: DataFrame
     terms: DataFrame
 
 
-def bm25_index(docs: DataFrame, tokens: str = "tokens", k1: float = 1.5, b: float = 0.75, vocabulary: DataFrame | None = None) -> Bm25Index:
+def _stats(docs: DataFrame) -> Column:
+    """n_docs and avgdl as one scalar, so that the corpus is read for them once."""
+    return corpus_stats(docs).select(F.struct("n_docs", "avgdl")).scalar()
+
+
+def bm25_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
     """docs: ord and tokens.  The weight of a posting is a document's whole share in a score per query occurrence."""
-    sized = docs.withColumn("dl", F.size(tokens).cast("long"))
-    counts = term_counts(sized, tokens, "ord", "dl", vocabulary=vocabulary)
-    n = corpus_stats(docs, tokens).select("n_docs").scalar()
-    avgdl = corpus_stats(docs, tokens).select("avgdl").scalar()
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"))
-    half, one = F.lit(0.5), F.lit(1.0)
-    terms = terms.withColumn("idf", F.log((n - F.col("df") + half) / (F.col("df") + half) + one))
-    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)
-    weight = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
+    counts = term_counts(docs.withColumn("dl", F.size("tokens").cast("long")), "tokens", "ord", "dl")
+    terms = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("c", _stats(docs))
+    terms = terms.withColumn("idf", bm25_idf(F.col("c.n_docs"), F.col("df")))
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("c.avgdl"), k1, b)
     postings = counts.join(terms, "term").select("term", "ord", "tf", "dl", weight.alias("weight"))
-    return Bm25Index(docs.select("ord"), postings, terms)
+    return Bm25Index(postings, terms.select("term", "df", "idf"))
 
 
 @dataclass
 class TfidfIndex:
-    """weights: rep, term, w (of unit length over a rep's terms); copies: rep, ord.  Documents of equal text share a
-    rep, so equal texts are weighed and scored once."""
+    """counts: rep, first, term, tf, dealt by rep; terms: term, idf, a stored table; copies: rep, ord; rare: the idf of
+    a term that only one document has."""
 
-    weights: DataFrame
+    counts: DataFrame
     terms: DataFrame
     copies: DataFrame
-
-
-def tfidf_weights(counts: DataFrame, terms: DataFrame, *keys: str) -> DataFrame:
-    """keys, term and w: sublinear tf times idf, of unit length per key.  Terms outside the vocabulary drop out first."""
-    w = (1.0 + F.log("tf")) * F.col("idf")
-    raw = counts.join(terms, "term").select(*keys, F.struct("term", w.alias("w")).alias("t"))
-    # A key's terms meet once, for their norm, and part again: no second pass over the counts.
-    whole = raw.groupBy(*keys).agg(F.collect_list("t").alias("ts"))
-    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
-    parted = whole.withColumn("norm", norm).select(*keys, "norm", F.explode("ts").alias("t"))
-    return parted.select(*keys, "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
+    rare: float
 
 
 def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:
     """docs: ord and a normal text; terms_of: Column of text -> array of terms."""
-    distinct = docs.groupBy(text).agg(F.min("ord").alias("rep"), F.count("*").alias("copies"))
-    n = docs.agg(F.count("*")).scalar()
-    counts = term_counts(distinct.withColumn("terms", terms_of(F.col(text))), "terms", "rep", "copies")
+    rep = rep_of(F.col(text))
+    counts = term_counts(shared(docs, text, rep).withColumn("terms", terms_of(F.col(text))), "terms", "rep", "copies", "first")
+    n = docs.agg(F.count("*")).first()[0]
     terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
-    terms = terms.withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
-    weights = tfidf_weights(counts.select("rep", "term", "tf"), terms.select("term", "idf"), "rep")
-    copies = docs.join(distinct.select(text, "rep"), text).select("rep", "ord")
-    return TfidfIndex(weights, terms, copies)
+    terms = stored(terms.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "terms")
+    rare = docs.sparkSession.range(1).select(F.log(F.lit((1.0 + n) / 2.0)) + 1.0).first()[0]
+    return TfidfIndex(counts.drop("copies"), terms, docs.select(rep.alias("rep"), "ord"), rare)
+
+
+def raw_weights(index: TfidfIndex) -> DataFrame:
+    """rep, first, term and w: sublinear tf times idf, before the norm.  Most terms are of one document and have one idf;
+    the table of the others is broadcast where it can be, and then the counts stay dealt by rep."""
+    frequent = index.terms.where("df > 1").select(F.col("term").alias("of"), "idf")
+    met = index.counts.join(joinable(frequent), F.col("term") == F.col("of"), "left")
+    w = (1.0 + F.log("tf")) * F.coalesce("idf", F.lit(index.rare))
+    return met.select("rep", "first", "term", w.alias("w"))
+
+
+def unit_weights(index: TfidfIndex) -> DataFrame:
+    """rep, first, term and w, of unit length over a rep's terms: the whole index, to be stored by whoever asks it often."""
+    whole = raw_weights(index).groupBy("rep", "first").agg(F.collect_list(F.struct("term", "w")).alias("ts"))
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    parted = whole.withColumn("norm", norm).select("rep", "first", "norm", F.explode("ts").alias("t"))
+    return parted.select("rep", "first", "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
+
+
+def query_weights(queries: DataFrame, terms: DataFrame, terms_of, text: str = "doc") -> DataFrame:
+    """query_id, term and wq, of unit length per query.  Terms outside the vocabulary drop out first."""
+    asked = term_counts(queries.withColumn("terms", terms_of(F.col(text))), "terms", "query_id")
+    raw = asked.join(terms.select("term", "idf"), "term").select("query_id", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    whole = raw.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("ts"))
+    norm = F.sqrt(F.aggregate("ts", F.lit(0.0), lambda s, t: s + t["w"] * t["w"]))
+    parted = whole.withColumn("norm", norm).select("query_id", "norm", F.explode("ts").alias("t"))
+    return parted.select("query_id", "t.term", (F.col("t.w") / F.col("norm")).alias("wq"))

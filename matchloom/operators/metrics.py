@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.sources.shared import stored
+
 
 def first_hits(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """query_id and hit, the rank of the gold document within the first k, or null.  ranked: query_id, rank, ord;
@@ -15,33 +18,40 @@ def first_hits(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     return gold.join(ranked.select("query_id", "rank", "ord"), "query_id", "left").groupBy("query_id").agg(hit)
 
 
-def metrics(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
-    """p1, mrr, recall and n in one row; null measures where there is no query."""
-    return first_hits(ranked, gold, k).agg(
+def _measures() -> list[Column]:
+    return [
         F.avg(F.when(F.col("hit") == 1, 1.0).otherwise(0.0)).alias("p1"),
         F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))).alias("mrr"),
         F.avg(F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0)).alias("recall"),
         F.count("*").alias("n"),
-    )
+    ]
+
+
+def metrics(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """p1, mrr, recall and n in one row; null measures where there is no query."""
+    return first_hits(ranked, gold, k).agg(*_measures())
 
 
 def evaluate(rank, queries: DataFrame, gold: DataFrame, k: int = 5) -> tuple[dict, DataFrame]:
     """Measures of a ranker over all queries, with the seconds it took, and its ranking."""
     began = time.perf_counter()
-    ranked = rank(queries, k).cache()
+    ranked = stored(rank(queries, k), "ranked")
     measured = metrics(ranked, gold, k).first().asDict()
     return measured | {"seconds": round(time.perf_counter() - began, 2)}, ranked
 
 
 def compared(results: dict[str, DataFrame], gold: DataFrame, k: int = 5) -> DataFrame:
-    """A row of measures, rounded to three digits, per named ranking."""
-    out = None
-    for name, ranked in results.items():
-        row = metrics(ranked, gold, k).select(
-            F.lit(name).alias("method"), *(F.round(c, 3).alias(c) for c in ("p1", "mrr", "recall")), "n"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row of measures, rounded to three digits, per named ranking; a ranking without queries has n 0."""
+    names = gold.sparkSession.createDataFrame([(n,) for n in results], "method string")
+    rows = [r.select(F.lit(n).alias("method"), "query_id", F.when(F.col("rank") <= k, F.col("rank")).alias("rank"), "ord") for n, r in results.items()]
+    met = reduce(DataFrame.unionByName, rows).join(gold, "query_id").where(F.col("ord") == F.col("gold"))
+    hits = met.groupBy("method", "query_id").agg(F.min("rank").alias("hit"))
+    totals = hits.groupBy("method").agg(
+        F.count(F.when(F.col("hit") == 1, 1)).alias("first"), F.sum(1.0 / F.col("hit")).alias("mrr"), F.count("hit").alias("recall")
+    )
+    n = gold.agg(F.count("*").alias("n"))
+    share = [F.round(F.try_divide(F.coalesce(F.col(c), F.lit(0)).cast("double"), F.col("n")), 3).alias(o) for c, o in (("first", "p1"), ("mrr", "mrr"), ("recall", "recall"))]
+    return names.withColumn("n", n.scalar()).join(totals, "method", "left").select("method", *share, "n")
 
 
 def score_stats(scores: DataFrame, *by: str, column: str = "score") -> DataFrame:

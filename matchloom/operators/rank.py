@@ -1,16 +1,25 @@
 """Rankers: DataFrame of queries -> (query_id, rank, ord, score).  Scores are rounded before they are compared, so that
-the order of summation cannot change a ranking; ties go by ord."""
+the order of summation cannot change a ranking; ties go by ord.  With pad, the default, a query with fewer than k hits
+gets the first documents at score 0.
+
+Lexical rankers ask an index of documents dealt by content.  Queries' terms are broadcast where they are few enough,
+which is counted first; documents then meet them, are scored and reduced to each query's best where they lie.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchloom.operators.index import Bm25Index, TfidfIndex, bm25_index, term_counts, tfidf_index, tfidf_weights
+from matchloom.operators.index import (
+    TfidfIndex, _stats, bm25_idf, bm25_weight, joinable, query_weights, raw_weights, shared, term_counts, tfidf_index, token_rep,
+)
+from matchloom.sources.shared import stored
 
 DIGITS = 6
-#: Queries that are broadcast at most.
-BROADCAST_QUERIES = 4096
+#: Queries of one block: their vectors are collected and broadcast together.
+QUERY_BLOCK = 4096
 
 
 def top(scored: DataFrame, k: int, *ties: str, keep: tuple = ()) -> DataFrame:
@@ -30,43 +39,65 @@ def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> Da
     return scored.unionByName(missing)
 
 
-def bm25_scores(queries: DataFrame, index: Bm25Index) -> DataFrame:
-    """query_id, ord and score, of pairs with a common term.  A term that a query repeats counts each time."""
-    asked = term_counts(queries, "tokens", "query_id").withColumnRenamed("tf", "qtf")
-    met = asked.join(index.postings, "term")
-    return met.groupBy("query_id", "ord").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), DIGITS).alias("score"))
+def _expanded(by_rep: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """query_id, ord and score: of each query's k best reps (ties by first), the first k documents."""
+    best = top(by_rep.withColumnRenamed("rep", "ord"), k, "first").select("query_id", F.col("ord").alias("rep"), "score")
+    first = Window.partitionBy("rep").orderBy("ord")
+    copies = copies.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    return best.join(copies, "rep").select("query_id", "ord", "score")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, pad: bool = False) -> DataFrame:
-    """queries: query_id and tokens; docs: ord and tokens."""
-    vocabulary = queries.select(F.explode("tokens").alias("term")).distinct()
-    index = bm25_index(docs, k1=k1, b=b, vocabulary=vocabulary)
-    scored = bm25_scores(queries, index)
+def _finished(by_rep: DataFrame, queries: DataFrame, docs: DataFrame, copies: DataFrame, k: int, pad: bool) -> DataFrame:
+    scored = _expanded(by_rep, copies, k)
     return top(padded(scored, queries, docs, k) if pad else scored, k)
 
 
-def tfidf_scores(queries: DataFrame, index: TfidfIndex, terms_of, text: str = "doc") -> DataFrame:
-    """query_id, rep and cosine."""
-    asked = term_counts(queries.withColumn("terms", terms_of(F.col(text))), "terms", "query_id")
-    q = tfidf_weights(asked, index.terms.select("term", "idf"), "query_id").withColumnRenamed("w", "wq")
-    met = q.join(index.weights, "term")
-    return met.groupBy("query_id", "rep").agg(F.round(F.sum(F.col("wq") * F.col("w")), DIGITS).alias("score"))
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, pad: bool = True) -> DataFrame:
+    """queries: query_id and tokens; docs: ord and tokens.  A term that a query repeats counts each time."""
+    asked = stored(term_counts(queries, "tokens", "query_id").withColumnRenamed("tf", "qtf"), "asked")
+    vocabulary = joinable(stored(asked.select(F.col("term").alias("of")).distinct(), "vocabulary"))
+    distinct = shared(docs, "tokens", token_rep()).withColumn("dl", F.size("tokens").cast("long"))
+    rows = distinct.select("rep", "copies", "first", "dl", F.explode("tokens").alias("term"))
+    rows = rows.join(vocabulary, F.col("term") == F.col("of"), "left_semi")
+    counts = rows.groupBy("rep", "copies", "first", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
+    wanted = asked.join(terms, "term").withColumn("c", _stats(docs))
+    wanted = wanted.select("query_id", F.col("term").alias("of"), "qtf", bm25_idf(F.col("c.n_docs"), F.col("df")).alias("idf"), F.col("c.avgdl").alias("avgdl"))
+    met = counts.join(joinable(wanted, asked.count()), F.col("term") == F.col("of"))
+    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b)
+    by_rep = met.groupBy("rep", "first", "query_id").agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
+    return _finished(by_rep, queries, docs, docs.select(token_rep().alias("rep"), "ord"), k, pad)
 
 
-def tfidf(queries: DataFrame, docs: DataFrame, terms_of, k: int = 5, text: str = "doc", pad: bool = False) -> DataFrame:
+def tfidf_scores(queries: DataFrame, index: TfidfIndex, terms_of, text: str = "doc") -> DataFrame:
+    """query_id, rep, first and cosine."""
+    asked = stored(query_weights(queries, index.terms, terms_of, text), "asked")
+    n = asked.count()
+    # One row a term, with all that ask for it: a document's terms are not multiplied before its norm is taken.
+    askers = asked.groupBy(F.col("term").alias("of_term")).agg(F.collect_list(F.struct("query_id", "wq")).alias("askers"))
+    met = raw_weights(index).join(joinable(askers, n), F.col("term") == F.col("of_term"), "left")
+    whole = met.groupBy("rep", "first").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
+        F.collect_list(F.when(F.col("askers").isNotNull(), F.struct("w", "askers"))).alias("ts"),
+    )
+    each = whole.select("rep", "first", "norm", F.explode("ts").alias("t")).select("rep", "first", "norm", "t.w", F.explode("t.askers").alias("a"))
+    part = F.col("a.wq") * (F.col("w") / F.col("norm"))
+    return each.groupBy("rep", "first", F.col("a.query_id").alias("query_id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def tfidf_by(index: TfidfIndex, queries: DataFrame, docs: DataFrame, terms_of, k: int = 5, text: str = "doc", pad: bool = True) -> DataFrame:
+    return _finished(tfidf_scores(queries, index, terms_of, text), queries, docs, index.copies, k, pad)
+
+
+def tfidf(queries: DataFrame, docs: DataFrame, terms_of, k: int = 5, text: str = "doc", pad: bool = True) -> DataFrame:
     """queries: query_id and text; docs: ord and text.  Of documents with equal texts the first k go on to the ranking,
     which is all it can use."""
-    index = tfidf_index(docs, terms_of, text)
-    scored = tfidf_scores(queries, index, terms_of, text)
-    first = Window.partitionBy("rep").orderBy("ord")
-    copies = index.copies.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
-    scored = scored.join(copies, "rep").select("query_id", "ord", "score")
-    return top(padded(scored, queries, docs, k) if pad else scored, k)
+    return tfidf_by(tfidf_index(docs, terms_of, text), queries, docs, terms_of, k, text, pad)
 
 
 def best_match(queries: DataFrame, docs: DataFrame, terms_of, text: str = "doc") -> DataFrame:
     """query_id, ord and score of each query's first match; a query without any gets the first document, score 0."""
-    return tfidf(queries, docs, terms_of, 1, text, pad=True).drop("rank")
+    return tfidf(queries, docs, terms_of, 1, text).drop("rank")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,11 +106,42 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """queries: query_id and q; docs: ord and v, all of unit length.  Every query meets every document; queries are the
-    small side, and broadcast if there are few enough of them."""
-    few = queries.count() <= BROADCAST_QUERIES
-    met = docs.crossJoin(F.broadcast(queries) if few else queries)
-    return top(met.select("query_id", "ord", F.round(dot(F.col("q"), F.col("v")), DIGITS).alias("score")), k)
+    """queries: query_id and q; docs: ord and v, all of unit length.  Every query meets every document: a block of
+    queries at a time is sent to all tasks, a batch of documents is one product of matrices with it, and only each
+    query's best of the batch go on.  Rows without a vector take no part."""
+    import pyarrow as pa
+
+    spark = queries.sparkSession
+    queries = queries.where("q IS NOT NULL").select("query_id", "q")
+    docs = docs.where("v IS NOT NULL").select(F.col("ord").cast("long").alias("ord"), "v")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks > 1:
+        queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    found = None
+    for block in range(max(blocks, 1)):
+        rows = (queries.where(F.col("block") == block) if blocks > 1 else queries).collect()
+        ids = np.array([r.query_id for r in rows], np.int64)
+        sent = spark.sparkContext.broadcast((ids, np.array([r.q for r in rows], float)))
+
+        def run(batches, sent=sent):
+            ids, q = sent.value
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                ords = batch.column(0).to_numpy()
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                scores = q @ flat.reshape(len(ords), -1).T
+                near = np.round(scores, DIGITS)
+                order = np.lexsort((np.broadcast_to(ords, near.shape), -near), axis=1)[:, :k]
+                n = order.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, n)), pa.array(ords[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
+                    names=["query_id", "ord", "score"],
+                )
+
+        part = docs.mapInArrow(run, "query_id long, ord long, score double")
+        found = part if found is None else found.unionAll(part)
+    return top(found.withColumn("score", F.round("score", DIGITS)), k)
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, k: int = 5, candidates: int = 50, pad: bool = True) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, STOPWORDS, UNITS
 
-TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9ß-öø-ɏ]+')"
-WORDS = "regexp_extract_all({}, '[a-z0-9ß-öø-ɏ_]{{2,}}')"
+TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]{{2,}}')"
 
 
 def _map(entries: dict[str, str]) -> str:
@@ -48,12 +48,13 @@ def normal(source: str, name: str) -> str:
 {name} AS (SELECT *, array_to_string(toks, ' ') AS doc FROM {name}_t)"""
 
 
-def bm25(docs: str, queries: str, name: str) -> str:
-    """CTEs ending in `name`: query_id, ord, score.  docs: ord, toks; queries: query_id, toks."""
+def postings(docs: str, name: str, vocabulary: str = "") -> str:
+    """CTEs {name}_t: term, n, df, idf; and {name}_w: the BM25 weight of each posting.  docs: ord, toks.  vocabulary, a
+    relation of terms, keeps the postings to what is asked for; counts are per term, so nothing else changes."""
+    kept = f" WHERE term IN (SELECT term FROM {vocabulary})" if vocabulary else ""
     return f"""
 {name}_st AS (SELECT count(*)::double AS n, avg(len(toks)) AS avgdl FROM {docs}),
-{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS term FROM {queries}) GROUP BY ALL),
-{name}_p AS (SELECT ord, dl, term, count(*) AS tf FROM (SELECT ord, len(toks) AS dl, unnest(toks) AS term FROM {docs}) GROUP BY ALL),
+{name}_p AS (SELECT ord, dl, term, count(*) AS tf FROM (SELECT ord, len(toks) AS dl, unnest(toks) AS term FROM {docs}){kept} GROUP BY ALL),
 {name}_t AS (
   SELECT term, any_value(n) AS n, count(*) AS df, ln((any_value(n) - count(*) + 0.5::double) / (count(*) + 0.5::double) + 1::double) AS idf
   FROM {name}_p, {name}_st GROUP BY term
@@ -61,7 +62,13 @@ def bm25(docs: str, queries: str, name: str) -> str:
 {name}_w AS (
   SELECT p.term, ord, tf, dl, df, idf, idf * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl)) AS weight
   FROM {name}_p p JOIN {name}_t t ON p.term = t.term, {name}_st
-),
+)"""
+
+
+def bm25(docs: str, queries: str, name: str) -> str:
+    """CTEs ending in `name`: query_id, ord, score.  docs: ord, toks; queries: query_id, toks."""
+    return f"""
+{name}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(toks) AS term FROM {queries}) GROUP BY ALL),{postings(docs, name, name + '_q')},
 {name} AS (
   SELECT query_id, ord, round(sum(qtf * weight), 6) AS score FROM {name}_q q JOIN {name}_w w ON q.term = w.term GROUP BY ALL
 )"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,26 @@ def nested(ranked: DataFrame, queries: DataFrame, gold: DataFrame, names: DataFr
     return rows.select("query_id", "text", "gold_id", F.coalesce("gold_name", F.lit("<FORA DO CATALOGO>")).alias("gold_name"), top.alias("top"))
 
 
+def judged(rows: DataFrame, top: str = "top", k: int = 5) -> DataFrame:
+    """rows of nested(), with found, score, correct, position (">k" beyond the first k) and, for errors, a diagnosis."""
+    first = F.get(top, F.lit(0))
+    at = F.array_position(F.transform(F.slice(top, 1, k), lambda x: x["id"]), F.col("gold_id"))
+    seen = rows.select(
+        *(c for c in rows.columns if c != top),
+        first["name"].alias("found"), first["score"].alias("score"),
+        F.coalesce(first["id"] == F.col("gold_id"), F.lit(False)).alias("correct"),
+        F.when(at > 0, at.cast("string")).otherwise(F.lit(f">{k}")).alias("position"),
+    )
+    told = diagnosed(seen, "gold_name", "found")
+    return told.withColumn("diagnosis", F.when(~F.col("correct"), F.col("diagnosis")))
+
+
+def examples(rows: DataFrame, hits: int = 5) -> DataFrame:
+    """The first hits, by query_id, and all errors, of judged rows."""
+    first = rows.where("correct").orderBy("query_id").limit(hits)
+    return first.unionByName(rows.where("NOT correct"))
+
+
 def probe_table(ranked: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     """query_id, and the names and scores of the first k, each joined into one text."""
     rows = ranked.where(F.col("rank") <= k).join(names, "ord", "left")
@@ -86,6 +108,12 @@ def probe_table(ranked: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def probe_tables(ranked: dict[str, DataFrame], names: DataFrame, k: int = 3) -> DataFrame:
+    """method, query_id, names and scores of several named rankings."""
+    tables = [probe_table(r, names, k).withColumn("method", F.lit(n)) for n, r in ranked.items()]
+    return reduce(DataFrame.unionByName, tables).select("method", "query_id", "names", "scores")
+
+
 def near_ties(ranked: DataFrame, margin: float = 0.01) -> DataFrame:
     """query_id and delta of the first two scores, where it is below the margin."""
     ahead = F.lead("score").over(Window.partitionBy("query_id").orderBy("rank"))

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions import text as T
-from matchloom.functions.tables import CONTROL_PROBES, NO_MATCH_PROBES, PACK_TOKEN_PATTERN, QUANTITY_PATTERN, THRESHOLDS
+from matchloom.functions.tables import (
+    CONTROL_PROBES, NO_MATCH_PROBES, OTHER_PRODUCT, PACK_TOKEN_PATTERN, QUANTITY_PATTERN, THRESHOLDS, WRONG_SIZE, WRONG_VARIANT,
+)
 from matchloom.operators import analysis, docs, index, metrics, profile, rank
 from matchloom.plans import sql as S
-from matchloom.sources.shared import stored
+from matchloom.sources import files
+from matchloom.sources.shared import new_path, stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -477,8 +480,9 @@ def head_sample(spark, d):
 
 # Analysis.
 
-CORRECT_SQL = f"""{CHAR_5},
-m AS (SELECT q.query_id, q.gold, r.ord AS top, r.score, coalesce(r.ord = q.gold, false) AS correct FROM q LEFT JOIN r ON q.query_id = r.query_id AND r.rank = 1),
+MATCHED_SQL = f"""{CHAR_5},
+m AS (SELECT q.query_id, q.gold, r.ord AS top, r.score, coalesce(r.ord = q.gold, false) AS correct FROM q LEFT JOIN r ON q.query_id = r.query_id AND r.rank = 1)"""
+CORRECT_SQL = f"""{MATCHED_SQL},
 {S.tfidf('d', 'q', S.bigrams, 'ws')}, {S.top('ws', 5, 'wr')},
 wm AS (SELECT q.query_id, coalesce(r.ord = q.gold, false) AS correct FROM q LEFT JOIN wr r ON q.query_id = r.query_id AND r.rank = 1)"""
 
@@ -488,12 +492,12 @@ def _first(spark, d, terms=T.char_wb):
     return analysis.first_matches(rank.tfidf(asked, products(spark, d), terms, 5, pad=False), asked.select("query_id", "gold"))
 
 
-@query("hits_errors", f"{CORRECT_SQL} SELECT query_id, gold, top, score, correct FROM m")
+@query("hits_errors", f"{MATCHED_SQL} SELECT query_id, gold, top, score, correct FROM m")
 def hits_errors(spark, d):
     return _first(spark, d)
 
 
-@query("score_by_correct", f"{CORRECT_SQL} SELECT correct, count(score) AS n, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.05), 9) AS p5, min(score) AS min, max(score) AS max FROM m GROUP BY correct")
+@query("score_by_correct", f"{MATCHED_SQL} SELECT correct, count(score) AS n, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.05), 9) AS p5, min(score) AS min, max(score) AS max FROM m GROUP BY correct")
 def score_by_correct(spark, d):
     out = metrics.score_stats(_first(spark, d), "correct")
     return out.withColumn("mean", F.round("mean", 9)).withColumn("p5", F.round("p5", 9))
@@ -511,17 +515,23 @@ def gold_position(spark, d):
     return analysis.gold_positions(rank.tfidf(asked, products(spark, d), T.char_wb, 5, pad=False), asked.select("query_id", "gold"))
 
 
+def _diagnosis_sql(found: str) -> str:
+    """found: a relation with gq, fq (quantities) and gt, ft (distinct tokens)."""
+    return f"""CASE
+  WHEN list_sort(list_distinct(gq)) <> list_sort(list_distinct(fq))
+       AND len(list_filter(gt, lambda t: NOT list_contains(gq, t) AND list_contains(ft, t) AND NOT list_contains(fq, t))) > 0 THEN '{WRONG_SIZE}'
+  WHEN len(list_intersect(gt, ft)) >= greatest(2, len(gt) // 2) THEN '{WRONG_VARIANT}'
+  ELSE '{OTHER_PRODUCT}' END AS diagnosis FROM {found}"""
+
+
+BAGS = f"""regexp_extract_all(g.doc, '{QUANTITY_PATTERN}') AS gq, regexp_extract_all(f.doc, '{QUANTITY_PATTERN}') AS fq,
+         list_distinct(g.toks) AS gt, list_distinct(f.toks) AS ft"""
+
+
 @query("diagnose", f"""{CHAR_5}, x AS (
-  SELECT r.query_id, r.ord, regexp_extract_all(g.doc, '{QUANTITY_PATTERN}') AS gq, regexp_extract_all(f.doc, '{QUANTITY_PATTERN}') AS fq,
-         list_distinct(g.toks) AS gt, list_distinct(f.toks) AS ft
-  FROM r JOIN d g ON r.query_id = g.ord JOIN d f ON r.ord = f.ord WHERE r.rank = 1
+  SELECT r.query_id, r.ord, {BAGS} FROM r JOIN d g ON r.query_id = g.ord JOIN d f ON r.ord = f.ord WHERE r.rank = 1
 )
-SELECT query_id, ord, CASE
-  WHEN list_sort(list_distinct(gq)) <> list_sort(list_distinct(fq))
-       AND len(list_filter(gt, lambda t: NOT list_contains(gq, t) AND list_contains(ft, t) AND NOT list_contains(fq, t))) > 0 THEN 'tamanho/quantidade errada'
-  WHEN len(list_intersect(gt, ft)) >= greatest(2, len(gt) // 2) THEN 'variante/sabor/versão errada do mesmo produto'
-  ELSE 'produto diferente (similaridade lexical enganosa)' END AS diagnosis
-FROM x""")
+SELECT query_id, ord, {_diagnosis_sql('x')}""")
 def diagnose(spark, d):
     names = products(spark, d).select("ord", "doc_raw")
     first = rank.tfidf(orders(spark, d), products(spark, d), T.char_wb, 5, pad=False).where("rank = 1").select("query_id", "ord")
@@ -563,6 +573,74 @@ def nomatch_probe_top3(spark, d):
     return analysis.probe_table(ranked, catalogue.select("ord", "name"))
 
 
+@query("nomatch_probe_rankers", f"""{PROBE_SQL}, {S.tfidf('d', 'q', S.char_wb, 's')}, {S.padded('s', 'q', 'd', 3, 'z')}, {S.top('z', 3, 'r')},
+{S.tfidf('d', 'q', S.bigrams, 'ws')}, {S.padded('ws', 'q', 'd', 3, 'wz')}, {S.top('wz', 3, 'wr')},
+{S.bm25('d', 'q', 'bs')}, {S.padded('bs', 'q', 'd', 3, 'bz')}, {S.top('bz', 3, 'br')},
+u AS (SELECT 'tfidf_char' AS method, * FROM r UNION ALL SELECT 'tfidf_word', * FROM wr UNION ALL SELECT 'bm25', * FROM br)
+SELECT method, query_id::bigint AS query_id, string_agg(name, '; ' ORDER BY rank) AS names, string_agg(printf('%.3f', score), '; ' ORDER BY rank) AS scores
+FROM u JOIN d ON u.ord = d.ord GROUP BY ALL""")
+def nomatch_probe_rankers(spark, d):
+    probes = spark.createDataFrame(list(enumerate(PROBES)), "query_id long, text string")
+    asked, catalogue = stored(tokens(T.with_normalised(probes, "text")), "probes"), stored(tokens(products(spark, d)), "products")
+    ranked = {
+        "tfidf_char": rank.tfidf(asked, catalogue, T.char_wb, 3),
+        "tfidf_word": rank.tfidf(asked, catalogue, word_pairs, 3),
+        "bm25": rank.bm25(asked, catalogue, 3),
+    }
+    return analysis.probe_tables(ranked, catalogue.select("ord", "name"))
+
+
+@query("raw_text_top5", f"""WITH {PRODUCTS_SQL}, {ORDERS_SQL},
+rd AS (SELECT ord, lower(text) AS doc FROM d), rq AS (SELECT query_id, lower(text) AS doc FROM q),
+{S.tfidf('rd', 'rq', S.char_wb, 's')}, {S.top('s', 5, 'r')} {RANKED}""")
+def raw_text_top5(spark, d):
+    """The ablation: neither side is normalised."""
+    catalogue = products(spark, d).select("ord", F.lower("doc_raw").alias("doc"))
+    return rank.tfidf(orders(spark, d).select("query_id", F.lower("text").alias("doc")), catalogue, T.char_wb, 5, pad=False)
+
+
+def _nested(spark, d) -> DataFrame:
+    asked, catalogue = orders(spark, d), products(spark, d)
+    names = catalogue.select("ord", F.col("ord").cast("string").alias("id"), F.col("doc_raw").alias("name"))
+    return analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5, pad=False), asked.select("query_id", "text"), asked.select("query_id", "gold"), names, digits=6)
+
+
+@query("hits_errors_report", f"""{MATCHED_SQL}, {S.hits('r', 'q', 5, 'h')},
+x AS (
+  SELECT q.query_id, q.text, g.text AS gold_name, f.text AS found, m.score, m.correct, coalesce(h.hit::varchar, '>5') AS position, {BAGS}
+  FROM m JOIN q ON m.query_id = q.query_id JOIN h ON m.query_id = h.query_id JOIN d g ON m.gold = g.ord LEFT JOIN d f ON m.top = f.ord
+  WHERE NOT m.correct OR m.query_id IN (SELECT query_id FROM m WHERE correct ORDER BY query_id LIMIT 5)
+), y AS (SELECT query_id, text, gold_name, found, round(score, 6) AS score, correct, position, {_diagnosis_sql('x')})
+SELECT * REPLACE (CASE WHEN NOT correct THEN diagnosis END AS diagnosis) FROM y""")
+def hits_errors_report(spark, d):
+    """Five hits and all errors, with names, the place of the right product and a diagnosis."""
+    return analysis.examples(analysis.judged(stored(_nested(spark, d), "nested"))).drop("gold_id")
+
+
+@query("csv_round_trip", """SELECT lpad(p_partkey::varchar, 14, '0') AS product_id, p_name || ', "' || p_type || '"' AS product_name,
+  CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand_name FROM part""")
+def csv_round_trip(spark, d):
+    """A catalogue written as CSV and read again: leading zeros, quotes, commas and nulls as they were."""
+    name = F.concat("p_name", F.lit(', "'), "p_type", F.lit('"'))
+    part = _table(spark, d, "part").select(
+        F.lpad(F.col("p_partkey").cast("string"), 14, "0").alias("product_id"), name.alias("product_name"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("brand_name")
+    )
+    path = new_path(spark, "catalogue-csv")
+    files.write_csv(part, path)
+    return files.read_catalogue(spark, path)
+
+
+@query("details_round_trip", f"""{CHAR_5} SELECT q.text, g.ord::varchar AS gold_id, g.text AS gold_name,
+  string_agg(r.ord || ':' || d.text || ':' || printf('%.6f', r.score), '; ' ORDER BY rank) AS top5
+FROM q JOIN d g ON q.gold = g.ord LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN d ON r.ord = d.ord GROUP BY q.query_id, q.text, g.ord, g.text""")
+def details_round_trip(spark, d):
+    """Nested rankings written as JSON and read again."""
+    path = new_path(spark, "details-json")
+    files.write_details(_nested(spark, d).drop("query_id").withColumnRenamed("top", "top5"), path)
+    flat = F.transform("top5", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.6f", x["score"])))
+    return files.read_details(spark, path).withColumn("top5", F.array_join(flat, "; "))
+
+
 @query("topk_nested", f"""{CHAR_5} SELECT q.query_id, q.text, g.ord::varchar AS gold_id, g.name AS gold_name,
   string_agg(r.ord || ':' || d.name || ':' || printf('%.6f', r.score), '; ' ORDER BY rank) AS top
 FROM q JOIN d g ON q.gold = g.ord LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN d ON r.ord = d.ord GROUP BY ALL""")

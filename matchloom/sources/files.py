@@ -6,6 +6,8 @@ are rendered on the driver.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ def read_details(spark: SparkSession, path: str, array: bool = False) -> DataFra
     return spark.read.schema(DETAILS).option("multiLine", array).json(path)
 
 
-def markdown(df: DataFrame, columns: dict[str, str], rows: int = 1000) -> str:
-    """A table of at most `rows` rows; columns: names to headings."""
+def markdown(df: DataFrame, columns: dict[str, str]) -> str:
+    """A table of all rows, rendered on the driver; columns: names to headings."""
     lines = ["| " + " | ".join(columns.values()) + " |", "|" + "---|" * len(columns)]
-    for r in df.select(*columns).limit(rows).collect():
+    for r in df.select(*columns).collect():
         lines.append("| " + " | ".join("—" if v is None else str(v).replace("|", "\\|") for v in r) + " |")
     return "\n".join(lines) + "\n"
 
@@ -58,17 +60,21 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 def content_key(docs: DataFrame, model: str, text: str = "doc") -> str:
     """A key of all texts and the model's name that does not depend on the order of rows."""
     row = docs.agg(F.count("*"), F.sum(F.xxhash64(text).cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(1), F.col(text)).cast("decimal(38,0)")))
-    joined = "|".join(map(str, row.first())) + "|" + model
-    return docs.sparkSession.range(1).select(F.substring(F.md5(F.lit(joined)), 1, 12)).first()[0]
+    return hashlib.md5("|".join(map(str, [*row.first(), model])).encode(), usedforsecurity=False).hexdigest()[:12]
 
 
-def cached_embeddings(docs: DataFrame, model: str, encode, folder: str, text: str = "doc") -> DataFrame:
-    """encode(docs), read from the folder where the same texts were encoded by the same model before."""
-    from pyspark.errors import AnalysisException
+def _whole(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the path has come to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
+
+def cached_embeddings(docs: DataFrame, model: str, encode, folder: str, text: str = "doc") -> DataFrame:
+    """encode(docs), read from the folder where the same texts were encoded by the same model before.  What a broken
+    write has left is written anew."""
     spark, path = docs.sparkSession, f"{folder}/{content_key(docs, model, text)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        encode(docs).write.parquet(path)
-        return spark.read.parquet(path)
+    if not _whole(spark, path):
+        encode(docs).write.mode("overwrite").parquet(path)
+        if not _whole(spark, path):  # a committer that leaves no marker
+            spark.createDataFrame([("whole",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_SUCCESS")
+    return spark.read.parquet(path)

@@ -1,8 +1,10 @@
+import pytest
 from matchloom import cli
 from matchloom.functions import text as T
 from matchloom.operators import docs
 from matchloom.sources import files
 from matchloom.streaming import match
+from pyspark.sql import functions as F
 
 ROWS = [("07891", "Suco de uva 1L", "Alfa"), ("07892", "Suco de laranja, 1L", None), ("07893", "Água sem gás 500ml Beta", "beta"), ("07894", "Refrigerante laranja 2L", "Alfa")]
 
@@ -35,6 +37,64 @@ def test_evaluate_fill_profile_probe(spark, tmp_path, capsys):
     assert "MORMAII" in spark.read.text(str(tmp_path / "probe"), wholetext=True).first()[0]
 
 
+def toy_model():
+    """Vectors of letter counts."""
+    return lambda texts: [[1.0 + t.count(c) for c in "abcdefghijklmnopqrstuvwxyz0125"] for t in texts]
+
+
+def test_neural_rankers_report_and_probes(spark, tmp_path, capsys):
+    data, cache = folder(spark, tmp_path), str(tmp_path / "cache")
+    neural = ["--data", data, "--embedder", "tests.test_io:toy_model", "--cache", cache]
+    cli.main(["evaluate", *neural, "--method", "all", "--raw-text"])
+    cli.main(["evaluate", *neural, "--method", "hybrid"])
+    said = capsys.readouterr().out
+    assert said.count("dense") == 1 and said.count("hybrid") == 2 and said.count("n=4") == 6, said
+    assert len(list((tmp_path / "cache").iterdir())) == 2  # raw texts and normal ones
+    cli.main(["report", *neural, "--out", str(tmp_path / "report")])
+    said = capsys.readouterr().out
+    assert "## tfidf_char: 4 of 4 right" in said and "## hybrid" in said and "## Ambiguous" in said and "of both: 0" in said
+    assert spark.read.text(str(tmp_path / "report"), wholetext=True).first()[0].startswith("## tfidf_char")
+    cli.main(["probe", *neural, "--method", "all"])
+    said = capsys.readouterr().out
+    assert all(said.count(f"| {n} |") == 9 for n in ("tfidf_char", "tfidf_word", "bm25", "dense", "hybrid")) and said.count("| control |") == 10
+    with pytest.raises(SystemExit):
+        cli.main(["probe", "--data", data, "--method", "dense"])
+
+
+def test_a_broken_write_of_vectors_is_written_anew(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("b",)], "doc string")
+    encode = lambda d: d.selectExpr("doc", "array(1f) AS v")
+    assert files.cached_embeddings(df, "m", encode, str(tmp_path)).count() == 2
+    kept = tmp_path / files.content_key(df, "m")
+    (kept / "_SUCCESS").unlink()
+    next(kept.glob("part-*")).unlink()
+    assert files.cached_embeddings(df, "m", encode, str(tmp_path)).count() == 2
+
+
+def test_order_of_a_file_of_several_parts(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("name\n" + "".join(f"n{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        df = docs.with_order(spark.read.option("header", True).csv(str(tmp_path / "x.csv")))
+        got = {r.name: r.ord for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"n{i}": i for i in range(5000)}
+    assert docs.with_order(df.drop("ord").limit(0)).count() == 0
+
+
+def test_holders_are_those_that_contain(spark):
+    import random
+
+    rng = random.Random(2)
+    words = ["ab", "cd", "ef", "gh"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    asked = [t[rng.randrange(5) : rng.randrange(6, 60)] for t in texts if len(t) > 70] + ["ab", "", "zz", "ab cd ef gh ab cd ef gh zz"]
+    df = lambda rows, n: spark.createDataFrame(list(enumerate(rows)), f"{n} long, text string").withColumn("tokens", T.simple_tokens(F.col("text")))
+    got = {(r.query_id, r.ord) for r in docs.holders(df(asked, "query_id"), df(texts, "ord")).collect()}
+    assert got == {(i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a in t}
+
+
 def test_last_name_of_an_id_wins(spark):
     df = docs.with_order(spark.createDataFrame([("1", "a"), ("1", "b")], "product_id string, product_name string").coalesce(1))
     assert docs.id_names(df).first().product_name == "b"

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from matchloom.functions import text as T
 from matchloom.operators import analysis, embed, metrics, rank
 from pyspark.sql import functions as F
@@ -151,3 +152,18 @@ def test_embeddings_of_a_model(spark):
     df = spark.createDataFrame([("ab",), (None,), ("abc",)], "doc string")
     got = embed.from_model(df, lambda: lambda texts: [[float(len(t)), 0.0] for t in texts]).collect()
     assert [list(r.v) for r in got] == [[1.0, 0.0], [0.0, 0.0], [1.0, 0.0]]
+
+
+def test_dense_in_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 0.6, 0.8]) for _ in range(5)]) for i in range(60)] + [(60, None)]
+    v = spark.createDataFrame(rows, "ord long, v array<float>").repartition(3)
+    q = v.selectExpr("ord AS query_id", "v AS q")
+    whole = sorted(map(tuple, rank.dense(q, v, 4).collect()))
+    monkeypatch.setattr(rank, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, rank.dense(q, v, 4).collect())) == whole
+    want = []
+    for i, a in rows[:60]:
+        scored = sorted((-round(sum(float(np.float32(x)) * float(np.float32(y)) for x, y in zip(a, b)), 6), j) for j, b in rows[:60])[:4]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+    assert whole == sorted(want)

@@ -351,3 +351,30 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, on five-word shingles: that with the least doc_id."""
     gone = near_components(docs, k=5).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return by_ids(docs, "doc_id", written(gone, "gone"), "left_anti")
+
+
+#: All pairs that share a shingle, counted: exact, and affordable on small tables.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n na ON p.a = na.doc_id JOIN n nb ON p.b = nb.doc_id WHERE 100 * c >= 80 * (na.n + nb.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), c AS (
+  SELECT a, min(b) AS least FROM r GROUP BY a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, least(w.doc_id, coalesce(c.least, w.doc_id)) AS component_id,
+       w.doc_id <= coalesce(c.least, w.doc_id) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.a
+"""

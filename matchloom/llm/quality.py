@@ -4,7 +4,8 @@ A table of thresholds is compiled into one Spark projection; no user function ru
 blank, tab, line feed, vertical tab, form feed and carriage return.  A null text counts as an empty one, which has no
 words, lines or symbols and fails the base rule.  Each row is judged by itself: repeated rows get equal verdicts,
 an empty table gives an empty one, and other columns pass through untouched unless their names are those of the
-measures, which are replaced.  stage() leaves all columns as they are, whatever their names.
+measures, which are replaced, whatever else they are called.  stage() leaves all columns as they are.  Windows of
+three words are compared by 64-bit hashes, so n_repeat_words is exact but for a collision of those within one text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import SPACE, SPACE_CLASS, WORD_CLASS, carried, restored, table
+from matchloom.llm.common import SPACE, SPACE_CLASS, WORD_CLASS, carried, fresh, restored, table
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -67,9 +68,11 @@ def _repeat_words(h: str, sorted_h: str) -> Column:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the measures of every whole text."""
     keep = [c for c in df.columns if c not in MEASURES]
-    clash = next((c for c in keep if c.lower().startswith(("_q_", "_n_"))), None)
-    if clash is not None:
-        raise ValueError(f"column {clash}: names that begin with _q_ or _n_ are taken here; stage() bears them")
+    if any(c != text and c.lower().startswith(("_q_", "_n_")) for c in keep):
+        # Names that the columns below take: the others stand aside.
+        aside = {c: fresh(df, f"aside{i}") for i, c in enumerate(keep) if c != text}
+        named = measured(df.select(*(F.col(f"`{c}`").alias(aside.get(c, c)) for c in keep)), text)
+        return named.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in keep), *MEASURES)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = df.select(*(F.col(f"`{c}`") for c in keep), raw.alias("_q_text"), F.btrim(raw, F.lit(SPACE)).alias("_q_trim"))
     df = df.withColumns({

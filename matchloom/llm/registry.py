@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.llm import linededup, topk
+from matchloom.llm import linededup, neardup, topk
 from matchloom.llm.linededup import op10_line_dedup
 from matchloom.llm.neardup import op9_minhash_neardup
 from matchloom.llm.packing import op7_packing
@@ -78,5 +78,6 @@ def oracle_sql():
     return {
         "op3_pivot_topk": topk.SQL,
         "op5_quality_rules": _op5_sql(),
+        "op9_minhash_neardup": neardup.SQL,
         "op10_line_dedup": linededup.SQL,
     }

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "6k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "6k",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-    "spark.sql.shuffle.partitions": "60",
+    "spark.sql.shuffle.partitions": "24",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",  # else one small map task has all of the key
     "spark.sql.files.maxPartitionBytes": "256k",
 }
 

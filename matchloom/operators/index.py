@@ -17,6 +17,9 @@ from matchloom.sources.shared import stored
 BROADCAST_TERMS = 1_000_000
 
 
+FEW_DOCUMENTS = 1_000_000
+
+
 def term_counts(docs: DataFrame, terms: str, *keys: str) -> DataFrame:
     """keys, term and tf."""
     return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -36,10 +39,20 @@ def rep_of(content: Column) -> Column:
     return F.unhex(F.md5(content))
 
 
-def shared(docs: DataFrame, content: str, rep: Column) -> DataFrame:
-    """rep, content, copies and first, the least ord, of the distinct documents."""
-    named = docs.select("ord", content, rep.alias("rep"))
-    return named.groupBy("rep").agg(F.first(content).alias(content), F.count("*").alias("copies"), F.min("ord").alias("first"))
+def keyed(docs: DataFrame, content: str, rep: Column) -> DataFrame:
+    """ord, content and rep, stored: the content may have cost much to make, and is read several times."""
+    return stored(docs.select("ord", content, rep.alias("rep")), "keyed")
+
+
+def shared(named: DataFrame, content: str) -> DataFrame:
+    """rep, content, copies and first, the least ord, of the distinct documents, dealt by rep, or by rep and first.  named: ord, content, rep.
+
+    Spark gathers a shuffle of few bytes in few tasks, but few documents may still meet many queries: up to
+    FEW_DOCUMENTS, counted first, are dealt out once more, to as many tasks as a shuffle has."""
+    distinct = named.groupBy("rep").agg(F.first(content).alias(content), F.count("*").alias("copies"), F.min("ord").alias("first"))
+    if named.count() > FEW_DOCUMENTS:
+        return distinct
+    return distinct.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep", "first")
 
 
 def token_rep() -> Column:
@@ -92,13 +105,13 @@ class TfidfIndex:
 
 def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:
     """docs: ord and a normal text; terms_of: Column of text -> array of terms."""
-    rep = rep_of(F.col(text))
-    counts = term_counts(shared(docs, text, rep).withColumn("terms", terms_of(F.col(text))), "terms", "rep", "copies", "first")
-    n = docs.agg(F.count("*")).first()[0]
+    named = keyed(docs, text, rep_of(F.col(text)))
+    counts = term_counts(shared(named, text).withColumn("terms", terms_of(F.col(text))), "terms", "rep", "copies", "first")
+    n = named.count()
     terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
     terms = stored(terms.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "terms")
     rare = docs.sparkSession.range(1).select(F.log(F.lit((1.0 + n) / 2.0)) + 1.0).first()[0]
-    return TfidfIndex(counts.drop("copies"), terms, docs.select(rep.alias("rep"), "ord"), rare)
+    return TfidfIndex(counts.drop("copies"), terms, named.select("rep", "ord"), rare)
 
 
 def raw_weights(index: TfidfIndex) -> DataFrame:

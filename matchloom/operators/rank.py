@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.index import (
-    TfidfIndex, _stats, bm25_idf, bm25_weight, joinable, query_weights, raw_weights, shared, term_counts, tfidf_index, token_rep,
+    TfidfIndex, bm25_idf, bm25_weight, joinable, keyed, query_weights, raw_weights, rep_of, shared, term_counts, tfidf_index, token_rep,
 )
 from matchloom.sources.shared import stored
 
@@ -52,21 +52,33 @@ def _finished(by_rep: DataFrame, queries: DataFrame, docs: DataFrame, copies: Da
     return top(padded(scored, queries, docs, k) if pad else scored, k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, pad: bool = True) -> DataFrame:
-    """queries: query_id and tokens; docs: ord and tokens.  A term that a query repeats counts each time."""
+def bm25(
+    queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, pad: bool = True, text: str | None = None, tokens_of=None
+) -> DataFrame:
+    """queries: query_id and tokens; docs: ord and tokens, or ord and text, of which tokens_of makes tokens once the
+    documents are dealt.  A term that a query repeats counts each time."""
     asked = stored(term_counts(queries, "tokens", "query_id").withColumnRenamed("tf", "qtf"), "asked")
     vocabulary = joinable(stored(asked.select(F.col("term").alias("of")).distinct(), "vocabulary"))
-    distinct = shared(docs, "tokens", token_rep()).withColumn("dl", F.size("tokens").cast("long"))
+    if text is None:
+        named = keyed(docs, "tokens", token_rep())
+        distinct = shared(named, "tokens")
+    else:
+        named = docs.select("ord", text, rep_of(F.coalesce(F.col(text), F.lit(""))).alias("rep"))
+        distinct = shared(named, text).withColumn("tokens", tokens_of(F.col(text)))
+    distinct = distinct.withColumn("dl", F.size("tokens").cast("long"))
+    # Null tokens count as none.
+    n, length = F.sum("copies"), F.sum(F.col("copies") * F.greatest("dl", F.lit(0)))
+    stats = distinct.agg(F.struct(n.alias("n_docs"), (length / n).alias("avgdl"))).scalar()
     rows = distinct.select("rep", "copies", "first", "dl", F.explode("tokens").alias("term"))
     rows = rows.join(vocabulary, F.col("term") == F.col("of"), "left_semi")
     counts = rows.groupBy("rep", "copies", "first", "dl", "term").agg(F.count("*").alias("tf"))
     terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
-    wanted = asked.join(terms, "term").withColumn("c", _stats(docs))
+    wanted = asked.join(terms, "term").withColumn("c", stats)
     wanted = wanted.select("query_id", F.col("term").alias("of"), "qtf", bm25_idf(F.col("c.n_docs"), F.col("df")).alias("idf"), F.col("c.avgdl").alias("avgdl"))
     met = counts.join(joinable(wanted, asked.count()), F.col("term") == F.col("of"))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b)
     by_rep = met.groupBy("rep", "first", "query_id").agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
-    return _finished(by_rep, queries, docs, docs.select(token_rep().alias("rep"), "ord"), k, pad)
+    return _finished(by_rep, queries, docs, named.select("rep", "ord"), k, pad)
 
 
 def tfidf_scores(queries: DataFrame, index: TfidfIndex, terms_of, text: str = "doc") -> DataFrame:
@@ -144,10 +156,12 @@ def dense(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     return top(found.withColumn("score", F.round("score", DIGITS)), k)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, k: int = 5, candidates: int = 50, pad: bool = True) -> DataFrame:
-    """BM25 candidates ranked anew by cosine; ties go by the BM25 rank.  queries: query_id, tokens, q; docs: ord,
-    tokens, v."""
-    found = bm25(queries.select("query_id", "tokens"), docs.select("ord", "tokens"), candidates, pad=pad)
+def hybrid(
+    queries: DataFrame, docs: DataFrame, k: int = 5, candidates: int = 50, pad: bool = True, text: str | None = None, tokens_of=None
+) -> DataFrame:
+    """BM25 candidates ranked anew by cosine; ties go by the BM25 rank.  queries: query_id, tokens, q; docs: v, and what
+    bm25() asks."""
+    found = bm25(queries.select("query_id", "tokens"), docs.drop("v"), candidates, pad=pad, text=text, tokens_of=tokens_of)
     met = found.select("query_id", "ord", F.col("rank").alias("bm25_rank")).join(docs.select("ord", "v"), "ord")
     met = met.join(queries.select("query_id", "q"), "query_id")
     return top(met.withColumn("score", F.round(dot(F.col("q"), F.col("v")), DIGITS)), k, "bm25_rank", keep=("bm25_rank",))

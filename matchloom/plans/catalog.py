@@ -56,6 +56,10 @@ def documents(spark, d) -> DataFrame:
     return rows.withColumn("tokens", T.simple_tokens(F.col("text"))).withColumn("doc", F.lower(F.coalesce("text", F.lit(""))))
 
 
+#: Documents are dealt as they are read, and tokens made where they then lie.
+BY_TEXT = {"text": "text", "tokens_of": T.simple_tokens}
+
+
 def passages(spark, d) -> DataFrame:
     rows = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rows.withColumn("tokens", T.simple_tokens(F.col("text"))).withColumn("doc", F.lower(F.coalesce("text", F.lit(""))))
@@ -193,12 +197,12 @@ def tokens(df: DataFrame) -> DataFrame:
 
 @query("bm25_top5", f"{BM25_5} {RANKED}")
 def bm25_top5(spark, d):
-    return rank.bm25(passages(spark, d), documents(spark, d), 5, pad=False)
+    return rank.bm25(passages(spark, d), documents(spark, d), 5, pad=False, **BY_TEXT)
 
 
 @query("bm25_top50", f"{WITH_DOCS}, {S.bm25('d', 'q', 's')}, {S.top('s', 50, 'r')} {RANKED}")
 def bm25_top50(spark, d):
-    return rank.bm25(passages(spark, d), documents(spark, d), 50, pad=False)
+    return rank.bm25(passages(spark, d), documents(spark, d), 50, pad=False, **BY_TEXT)
 
 
 @query(
@@ -207,7 +211,7 @@ def bm25_top50(spark, d):
 )
 def bm25_repeated_terms(spark, d):
     twice = passages(spark, d).withColumn("tokens", F.concat("tokens", "tokens"))
-    return rank.bm25(twice, documents(spark, d), 5, pad=False)
+    return rank.bm25(twice, documents(spark, d), 5, pad=False, **BY_TEXT)
 
 
 @query(
@@ -305,9 +309,9 @@ h AS (
 ), {S.top('h', 5, 'r', 'bm25_rank', ', bm25_rank')} SELECT * FROM r""",
 )
 def hybrid_rerank(spark, d):
-    catalogue = _with_vectors(spark, d, documents(spark, d), "ord", "v").select("ord", "tokens", "v")
+    catalogue = _with_vectors(spark, d, documents(spark, d), "ord", "v").select("ord", "text", "v")
     asked = _with_vectors(spark, d, passages(spark, d), "query_id", "q").select("query_id", "tokens", "q")
-    return rank.hybrid(asked, catalogue, 5)
+    return rank.hybrid(asked, catalogue, 5, **BY_TEXT)
 
 
 # Metrics.
@@ -324,7 +328,7 @@ def metrics_bm25(spark, d):
     asked, catalogue = passages(spark, d), documents(spark, d)
     held = docs.holders(asked, catalogue).groupBy("query_id").agg(F.min("ord").alias("gold"))
     gold = asked.select("query_id").join(held, "query_id", "left")
-    return metrics.metrics(rank.bm25(asked, catalogue, 5), gold, 5)
+    return metrics.metrics(rank.bm25(asked, catalogue, 5, pad=False, **BY_TEXT), gold, 5)
 
 
 @query(

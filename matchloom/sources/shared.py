@@ -6,11 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables this driver has written and not yet removed.
 _TABLES: list[str] = []
+#: The list that own_tables() keeps for this thread.
+_OWN: ContextVar[list | None] = ContextVar("own_tables", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,16 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that goes when the driver ends."""
+    """A path in the shared folder that goes when the driver ends, if no one removes it before."""
     if not _TABLES:
         atexit.register(remove_all, spark)
     _TABLES.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    if (own := _OWN.get()) is not None:
+        own.append(_TABLES[-1])
     return _TABLES[-1]
 
 
-def remove_all(spark: SparkSession) -> None:
-    while _TABLES:
-        path = _TABLES.pop()
+@contextmanager
+def own_tables():
+    """The list of the paths that this thread, and no other, is given from here on."""
+    outer, own = _OWN.get(), []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+        if outer is not None:
+            outer.extend(own)
+
+
+def remove(spark: SparkSession, paths) -> None:
+    """Removes tables that no DataFrame in use reads."""
+    for path in paths:
+        if path in _TABLES:
+            _TABLES.remove(path)
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -43,6 +64,10 @@ def remove_all(spark: SparkSession) -> None:
             continue
 
 
+def remove_all(spark: SparkSession) -> None:
+    remove(spark, list(_TABLES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written and read again; a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)

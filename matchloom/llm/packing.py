@@ -21,6 +21,7 @@ table gives no pieces, other columns are ignored, and null doc_ids are kept.
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -51,7 +52,9 @@ class Tokens:
     between white space are encoded once and kept, as bytes of unsigned 32-bit ids.
 
     New stretches of letters alone are one word each: they are encoded many at a time as one text, whose ids are cut
-    after each end mark.  Should a text have more marks than stretches, its stretches are encoded one by one."""
+    after each end mark.  Should a text have more marks than stretches, its stretches are encoded one by one.  A word
+    and a comma or point after it are two words for the tokenizer, unless the word's normal form ends in a mark (that of
+    İ does), which joins them: such a stretch is encoded whole."""
 
     def __init__(self, definition: str, most: int | None = None):
         import os
@@ -75,7 +78,7 @@ class Tokens:
         for c in new:
             if c.isalpha():
                 words.add(c)
-            elif c[-1] in ",." and c[:-1].isalpha():
+            elif c[-1] in ",." and c[:-1].isalpha() and (c.isascii() or unicodedata.normalize("NFC", c[:-1]).lower()[-1].isalpha()):
                 pointed.append(c)
                 if c[:-1] not in kept:
                     words.add(c[:-1])

@@ -20,7 +20,7 @@ def test_tokens_equal_the_library(tokenizer, monkeypatch):
     import random
 
     rng = random.Random(3)
-    bits = ["a", "It", "'s", "'", "é", "É", "é", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "1", "23", "日", "😀", "<|endoftext|>", "Σ", "İ", "ﬁ", "#$%", "\x0b", "word,", "word.", "क़"]
+    bits = ["a", "It", "'s", "'", "é", "É", "é", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "1", "23", "日", "😀", "<|endoftext|>", "Σ", "İ", "ﬁ", "#$%", "\x0b", "word,", "word.", "İ.", "BİRİNCİ,", "ve İ", ",", ".", "क़"]
     monkeypatch.setattr(P, "KEPT_CHUNKS", 300)
     t = P.Tokens(open(FILE, encoding="utf-8").read())
     for _ in range(4000):
@@ -28,6 +28,14 @@ def test_tokens_equal_the_library(tokenizer, monkeypatch):
         assert np.frombuffer(t.of([x])[0], "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids, x
 
 
+def test_points_after_any_letter(tokenizer):
+    """A letter's normal form may end in a mark, which the tokenizer joins with a point."""
+    t = P.Tokens(open(FILE, encoding="utf-8").read())
+    texts = [x for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x30000)]) if c.isalpha() for x in (f"{c}.", f"ab{c},")]
+    for x, got, want in zip(texts, t.of(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(got, "<u4").tolist() == want.ids, x
+
+
 def test_placing_keeps_all_limits():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 1000, 700)

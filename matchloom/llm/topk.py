@@ -12,7 +12,8 @@ Every query starts with a threshold that holds for all blocks: its k-th best sco
 chosen from.  How much the bounds spare depends on the vectors; the operator counts it (column evaluated).
 
 Every row is a candidate of every other: rows that repeat an id, a vector or both stand for themselves, a repeated query
-row has a ranking of its own, and a query is no candidate of its own.  Vectors that are null, empty, or hold a null or
+row has a ranking of its own, and a query is no candidate of its own.  Blocks whose products may pass 2 ** 53 are scored
+in whole integers without elimination; a component of 2 ** 54 or more, and a score beyond a long, raise an error.  Vectors that are null, empty, or hold a null or
 non-finite component take no part, nor do rows without an id.  Queries meet vectors of their own length only.  Ties go
 to the smaller id.  Without rows, or without queries, the result is empty; other columns are ignored.
 """
@@ -31,6 +32,8 @@ PIVOTS, SAMPLE = 32, 1024
 QUERY_BLOCK, VECTOR_BLOCK = 8192, 8192
 #: What rounding may do to a difference of two distances stays far below this.
 EASE = 1e-6
+#: Sums of products below this are exact in doubles.
+EXACT = 2**53
 
 
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -77,8 +80,31 @@ def best_of_block(q, q_row, q_dist, least, v, v_row, v_id, v_dist, k: int):
     return out
 
 
+def fits(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether all inner products of rows of the two are exact in doubles."""
+    return not len(a) or not len(b) or int(abs(a).max()) * int(abs(b).max()) * a.shape[1] < EXACT
+
+
+def best_of_large(q, q_row, v, v_row, v_id, k: int):
+    """best_of_block on integers of any size: every score is computed."""
+    out: tuple[list, ...] = ([], [], [], [])
+    wide = v.astype(object)
+    for own, one in zip(q_row.tolist(), q.astype(object)):
+        scores = wide @ one
+        ranked = sorted((-s, i) for s, i, r in zip(scores.tolist(), v_id.tolist(), v_row.tolist()) if r != own)
+        if ranked and max(-ranked[0][0], ranked[-1][0]) >= 2**63:
+            raise OverflowError("an inner product is beyond a long")
+        for s, i in ranked[:k]:
+            for column, x in zip(out, (own, i, -s, 0)):
+                column.append(x)
+        for column, x in zip(out, (own, None, None, len(ranked))):
+            column.append(x)
+    return out
+
+
 def _integers(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    v = F.transform(F.col(vector), lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    large = F.raise_error(F.lit("a component is 2 ** 54 or more")).cast("long")
+    v = F.transform(F.col(vector), lambda x: F.when(F.abs(x.cast("double")) < 2.0**54, F.floor(F.lit(256.0) * x.cast("double"))).otherwise(large))
     fit = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = df.where(F.col(id_col).isNotNull() & (F.size(vector) > 0) & F.coalesce(fit, F.lit(False)))
     return rows.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
@@ -105,7 +131,7 @@ def top_inner_products(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_i
         out = []
         for row, v in zip(rows, vs):
             near, scores = sent.made(dict).get(len(v)), np.empty(0)
-            if near:
+            if near and fits(near[1], np.array([v])):
                 scores = (near[1] @ np.array(v, float))[near[0] != row]
             out.append(float(np.partition(scores, -k)[-k]) if len(scores) >= k else -np.inf)
         return [rows, ids, vs, dists, out]
@@ -126,12 +152,16 @@ def top_inner_products(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_i
         import pyarrow as pa
 
         def wide(t, c):
-            return np.stack(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(float)
+            return np.stack(t.column(c).combine_chunks().to_numpy(zero_copy_only=False))
 
         found = ([], [], [], [])
         if q.num_rows and v.num_rows:
             flat = [t.column(c).to_numpy() for t, c in ((q, "row"), (q, "least"), (v, "row"), (v, "id"))]
-            found = best_of_block(wide(q, "v"), flat[0], wide(q, "dist"), flat[1], wide(v, "v"), flat[2], flat[3], wide(v, "dist"), k)
+            qs, vs = wide(q, "v"), wide(v, "v")
+            if fits(qs, vs):
+                found = best_of_block(qs.astype(float), flat[0], wide(q, "dist"), flat[1], vs.astype(float), flat[2], flat[3], wide(v, "dist"), k)
+            else:
+                found = best_of_large(qs, flat[0], vs, flat[2], flat[3], k)
         id_of = dict(zip(q.column("row").to_pylist(), q.column("id").to_pylist()))
         found = ([id_of[x] for x in found[0]], *found)
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "q_row", "vec_id", "score", "evaluated"), found)})

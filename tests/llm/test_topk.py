@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from matchloom.llm import topk
 from pyspark.sql import functions as F
 
@@ -85,3 +86,14 @@ def test_evaluated_is_counted_over_all_blocks(spark, monkeypatch):
 def test_none(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+def test_large_components(spark):
+    """Scores are exact as far as a long goes, and beyond it raise."""
+    big = [(i, [float((7 * i) % 23 - 11) * 2.0**18 + i, float(i % 5) * 2.0**19 - 1 / 256, 0.5]) for i in range(60)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    out = topk.top_inner_products(df, F.col("id") % 10 == 0, 5)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == brute(big, 5, 10)
+    for x in (2.0**40, 1e20):
+        with pytest.raises(Exception, match="beyond a long|a component is"):
+            topk.top_inner_products(spark.createDataFrame([(10, [x]), (20, [x])], "vec_id long, embedding array<double>"), F.col("id") % 10 == 0).collect()

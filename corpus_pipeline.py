@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchloom.llm import linededup, neardup, packing, pii, quality
-from matchloom.llm.common import new_table, remove_tables, table, tables_so_far
+from matchloom.llm.common import table
+from matchloom.sources.shared import new_path, own_tables, remove
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -30,11 +31,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), tables_so_far()
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = new_table(spark, f"pipeline-{name}")
-        out.write.parquet(path)
+        with own_tables() as own:  # another thread's are not this run's to remove
+            out = stage(spark, docs, sf_dir)
+            path = new_path(spark, f"pipeline-{name}")
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        remove_tables(spark, before, but=(path,))  # the predecessor, and what the stage wrote on its way
+        remove(spark, before + [p for p in own if p != path])  # the predecessor, and what the stage wrote on its way
+        before = [path]
     return docs

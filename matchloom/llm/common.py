@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources.shared import stored as written  # noqa: F401: the operators' name for it
+
 #: The white space that all contracts of this subpackage name: blank and \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -23,53 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary one, in local mode only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="matchloom-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-#: Tables in the shared folder that this driver has written and not yet removed, in their order.
-_TABLES: list[str] = []
-
-
-def new_table(spark: SparkSession, name: str) -> str:
-    """The path of a table to be written; it goes when the driver ends, if no one removes it before."""
-    if not _TABLES:
-        atexit.register(remove_tables, spark)
-    _TABLES.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _TABLES[-1]
-
-
-def tables_so_far() -> int:
-    return len(_TABLES)
-
-
-def remove_tables(spark: SparkSession, since: int = 0, but: tuple = ()) -> None:
-    """Removes the tables that were written since; only what no DataFrame in use reads."""
-    for path in [p for p in _TABLES[since:] if p not in but]:
-        _TABLES.remove(path)
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001, S110: the session may have ended, and a table left behind does no harm
-            pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and reread from a table in the shared folder, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

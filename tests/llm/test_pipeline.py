@@ -93,12 +93,26 @@ def test_stages_bear_clashing_names(spark):
 
 
 def test_tables_on_the_way_go(spark, tmp_path):
-    from matchloom.llm import common
+    from matchloom.sources import shared
 
     docs.frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    before = list(common._TABLES)
+    before = list(shared._TABLES)
     out = corpus_pipeline.run(spark, str(tmp_path))
-    left = [p for p in common._TABLES if p not in before]
+    left = [p for p in shared._TABLES if p not in before]
     assert len(left) == 1 and out.count() > 0
-    common.remove_tables(spark, len(before))
-    assert not Path(left[0]).exists() and common._TABLES == before
+    shared.remove(spark, left)
+    assert not Path(left[0]).exists() and shared._TABLES == before
+
+
+def test_a_run_leaves_other_threads_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from matchloom.sources import shared
+
+    with shared.own_tables() as own:
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(shared.new_path, spark, "other").result()
+        with shared.own_tables() as inner:
+            path = shared.new_path(spark, "mine")
+        assert inner == own == [path] and other in shared._TABLES
+    shared.remove(spark, [path, other])

@@ -1,6 +1,7 @@
 import zlib
 
 from matchloom.llm import sharding as S
+from pyspark.sql import functions as F
 from tests.llm import docs
 
 
@@ -40,3 +41,19 @@ def test_empty_and_extra_columns(spark):
     assert S.sharded(docs.empty(spark)).count() == 0
     df = docs.frame(spark).withColumnRenamed("lang", "shard").withColumnRenamed("source", "size")
     assert S.sharded(df).count() == len(docs.rows())
+
+
+def test_a_third_without_ids_is_dealt_to_many_buckets(spark):
+    data = [(None if i % 3 == 0 else i, "t" * (i % 50) + str(i)) for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    check(S.sharded(df, 24).collect(), data, 24)
+    assert S.bucketed(df).groupBy("bucket").count().agg({"count": "max"}).first()[0] < 40
+
+
+def test_a_repeated_row_is_made_again_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 100)
+    data = [(7, "same")] * 4000 + [(None, "x")] * 1999 + [(i, str(i)) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    check(S.sharded(df, 24).collect(), data, 24)
+    made = S.spread(S.placed(df)).where("doc_id = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 2 and max(r["count"] for r in made) < 3000

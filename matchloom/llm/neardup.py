@@ -13,6 +13,7 @@ all buckets with a chance of 2e-8.
    joins nearly all that belongs together; a second also looks at the sets, by half of each hash, and takes every pair
    of different labels that reaches the threshold so, from the first bucket it shares.  All are verified on full sets.  Members of one component are not compared
    again: in a large bucket of m members, s of them outside its main label, s * m / BLOCK rows are dealt, not m * m.
+   A bucket of few but long members counts as large too: a block has BLOCK members and about BLOCK_SHINGLES shingles.
 4. Components of all verified links.
 
 A sketch estimate below SLACK is over five standard deviations under the threshold.
@@ -36,7 +37,7 @@ BANDS, ROWS = 45, 5
 T = BANDS * ROWS
 #: Least share of equal coordinates; its standard deviation at 0.8 is 0.027.
 SLACK = 0.65
-BLOCK = 1024
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 KEPT_WORDS = 200_000
 
 _U = np.uint64
@@ -263,12 +264,12 @@ def _block_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int, docs: DataFrame | None = None, k: int = 0):
     """Candidate pairs of different labels within buckets, a forest or, given docs, all; and the sets that took."""
     labelled = members.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "key", "band", "rep", "size", F.coalesce("component", "rep").alias("label")
+        "key", "band", "rep", "n", "size", "weight", F.coalesce("component", "rep").alias("label")
     )
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c"))
     mixed = mixed.where((F.col("l0") != F.col("l1")) & (F.col("c") > 2)).select(F.col("key").alias("of"))
     rows = written(labelled.join(mixed, F.col("key") == afresh(F.col("of")), "left_semi"), "mixed")
-    sk = sketches.select(F.col("rep").alias("of_rep"), "n", "bands", "sketch")
+    sk = sketches.select(F.col("rep").alias("of_rep"), F.col("n").alias("of_n"), "bands", "sketch")
     sets = None
     if docs is not None:
         sets = written(_sets(docs, written(rows.select(F.col("rep").alias("id")).distinct(), "needed"), k), "sets")
@@ -276,20 +277,22 @@ def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, perc
     # Most buckets are one block.  In a larger one, the members of its main label need not meet each other: they are
     # dealt to blocks once, and each block meets all others, who also meet among themselves.
     zero, none = F.lit(0), F.lit(-1)
-    whole = rows.where(F.col("size") <= BLOCK).select("key", "band", "rep", "label", zero.alias("one"), zero.alias("two"), zero.alias("side"))
-    large = rows.where(F.col("size") > BLOCK)
-    tally = large.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = tally.groupBy(F.col("key").alias("of")).agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("members"))
+    small = (F.col("size") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
+    whole = rows.where(small).select("key", "band", "rep", "n", "label", zero.alias("one"), zero.alias("two"), zero.alias("side"))
+    large = rows.where(~small)
+    tally = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    most = F.max(F.struct("c", "label", "w"))
+    main = tally.groupBy(F.col("key").alias("of")).agg(most["label"].alias("main"), most["c"].alias("most"), most["w"].alias("most_w"), F.sum("c").alias("members"), F.sum("w").alias("whole_w"))
     large = large.join(main, F.col("key") == afresh(F.col("of")))
 
-    def blocks(members):
-        return F.ceil(members / BLOCK).cast("int")
+    def blocks(members, shingles):
+        return F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
 
     def dealt(n):
         return F.pmod(F.xxhash64("rep"), n).cast("int")
 
-    own = ("key", "band", "rep", "label")
-    main_blocks, other_blocks = blocks(F.col("most")), blocks(F.col("members") - F.col("most"))
+    own = ("key", "band", "rep", "n", "label")
+    main_blocks, other_blocks = blocks(F.col("most"), F.col("most_w")), blocks(F.col("members") - F.col("most"), F.col("whole_w") - F.col("most_w"))
     mains = large.where("label = main").select(*own, dealt(main_blocks).alias("one"), none.alias("two"), zero.alias("side"))
     others = large.where("label <> main")
     across = others.select(*own, F.explode(F.sequence(zero, main_blocks - 1)).alias("one"), none.alias("two"), F.lit(1).alias("side"))
@@ -298,7 +301,7 @@ def _stragglers(members: DataFrame, labels: DataFrame, sketches: DataFrame, perc
         *own, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     rows = whole.unionAll(mains).unionAll(across).unionAll(among)
-    rows = rows.join(sk, F.col("rep") == F.col("of_rep")).drop("of_rep")
+    rows = rows.join(sk, (F.col("rep") == F.col("of_rep")) & (F.col("n") == F.col("of_n"))).drop("of_rep", "of_n")
     return _block_pairs(rows, percent, docs is None).distinct(), sets
 
 
@@ -319,9 +322,9 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80, doc: str = "do
     same = owned.select("doc_id", "rep").join(torn, F.col("doc_id") == F.col("id")).where("rep <> a")
     same = written(same.select("a", F.col("rep").alias("b")).distinct(), "same")
 
-    rows = sketches.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
-    members = rows.join(buckets, F.col("key") == afresh(F.col("of"))).select("key", "band", "rep", "hub", "size")
+    rows = sketches.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = rows.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("rep").alias("hub")).where("size > 1")
+    members = rows.join(buckets, F.col("key") == afresh(F.col("of"))).select("key", "band", "rep", "n", "hub", "size", "weight")
     members = written(members, "members")
 
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()

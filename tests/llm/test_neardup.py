@@ -55,8 +55,9 @@ def test_matches_brute_force(spark, k):
     check(docs.frame(spark), [(d, t) for d, t, *_ in docs.rows()], k)
 
 
-def test_large_family_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+@pytest.mark.parametrize("name, most", [("BLOCK", 8), ("BLOCK_SHINGLES", 1000)])
+def test_large_family_over_several_blocks(spark, monkeypatch, name, most):
+    monkeypatch.setattr(neardup, name, most)
     rng = random.Random(5)
     base = [docs.sentence(rng, 1) for _ in range(150)]
     data = []

@@ -256,7 +256,7 @@ class Encoder:
         if self.kept and (len(self.kept) + 2 * len(absent) > KEPT_STRETCHES or self.chars > KEPT_CHARS):
             # What is still in use comes back from the table before.
             self.before, self.kept, self.chars, absent = self.kept, {}, 0, met
-        self.kept.update((s, self.before[s]) for s in absent.intersection(self.before))
+        self.kept.update((s, self.before[s]) for s in absent if s in self.before)
         absent = absent.difference(self.kept)
         self.chars += sum(map(len, absent))
         self.learn(absent)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from matchloom.llm import linededup, neardup, topk
+from matchloom.llm import balls, lexical, linededup, neardup, topk
+from matchloom.llm.balls import op13_ball_tree_clusters
+from matchloom.llm.bpe import op12_bpe_segment_tree
+from matchloom.llm.lexical import op11_max_tree_search
 from matchloom.llm.linededup import op10_line_dedup
 from matchloom.llm.neardup import op9_minhash_neardup
 from matchloom.llm.packing import op7_packing
@@ -27,6 +30,9 @@ def queries():
         "op8_sharding": op8_sharding,
         "op9_minhash_neardup": op9_minhash_neardup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_max_tree_search": op11_max_tree_search,
+        "op12_bpe_segment_tree": op12_bpe_segment_tree,
+        "op13_ball_tree_clusters": op13_ball_tree_clusters,
     }
 
 
@@ -80,4 +86,6 @@ def oracle_sql():
         "op5_quality_rules": _op5_sql(),
         "op9_minhash_neardup": neardup.SQL,
         "op10_line_dedup": linededup.SQL,
+        "op11_max_tree_search": lexical.SQL,
+        "op13_ball_tree_clusters": balls.SQL,
     }

@@ -32,6 +32,19 @@ UNITS = {
 
 PACK_WORDS = ("cx", "fd", "pct", "dz", "fardo", "caixa")
 
+#: The normaliser's rewrites; their order is part of the result.  Each is a pattern, what takes its place (\\1: the first
+#: group), and the class of what must follow.
+REWRITES = (
+    (r"\bs/\s*", "sem ", "[a-z]"),
+    (r"\bc/\s*", "com ", "[a-z]"),
+    (r"\bc[/\-]?\d+\b", " ", ""),
+    (r"\b\d+\s*x\s*(\d+)", r" \1", ""),
+    (r"\b(cx|fd|pct|dz)\s*\d+\b", " ", ""),
+    (r"(\d+)[\.,](\d+)", r"\1.\2", ""),
+    (r"(\d+(?:\.\d+)?)\s*([a-z]+)", r"\1 \2", ""),
+    (r"[^a-z0-9.\s]", " ", ""),
+)
+
 QUANTITY_PATTERN = r"\d+(?:\.\d+)?(?:ml|l|g|kg|mg)\b"
 PACK_TOKEN_PATTERN = r"C/\d+|\d+X\d+\w*|CX\d*|FD\d*|PCT|UND?|UNID"
 

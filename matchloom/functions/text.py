@@ -2,105 +2,132 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, QUANTITY_PATTERN, STOPWORDS, UNITS
+from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, QUANTITY_PATTERN, REWRITES, STOPWORDS, UNITS
 
-#: Letters and digits of Latin scripts; the same class works in Spark and in SQL engines without Unicode \w.
-WORD = "[a-z0-9\xdf-\xf6\xf8-\u024f]"
+#: Letters and digits of all scripts; the same class works in SQL engines that know no Unicode \w.
+WORD = r"[\p{L}\p{N}]"
+
+#: Hangul syllables, which decompose by arithmetic.
+HANGUL, HANGUL_END, VOWELS, TAILS = 0xAC00, 0xD7A3, 21, 28
+PAGE = 256
 
 
 @cache
-def _foldings() -> tuple[str, str, dict[str, str]]:
-    """What compatibility decomposition without combining marks does to single characters: one to one, and the rest."""
-    source, target, longer = [], [], {}
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFEF)]:
+def _foldings() -> tuple[str, str, dict[int, str]]:
+    """What compatibility decomposition without combining marks makes of single characters, Hangul aside: characters that
+    become another one, followed by those that vanish; the others in their order; and code points that become several."""
+    source, target, gone, longer = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
+        if HANGUL <= code <= HANGUL_END or not (unicodedata.decomposition(c) or unicodedata.combining(c)):
+            continue
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c:
+        if not plain:
+            gone.append(c)
+        elif len(plain) == 1 and plain != c:
             source.append(c)
             target.append(plain)
         elif len(plain) > 1:
-            longer[c] = plain
-    return "".join(source), "".join(target), longer
+            longer[code] = plain
+    return "".join(source + gone), "".join(target), longer
+
+
+def _ranges(codes) -> str:
+    """A character class of code points."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+def _listed(values) -> Column:
+    """An array of strings, as one literal once the plan is made."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def _in_parts(c: Column) -> Column:
+    """The decomposition of a character that becomes several, by a table of pages; null for others."""
+    longer = _foldings()[2]
+    pages = sorted({code // PAGE for code in longer})
+    number = {page: str(i) for i, page in enumerate(pages)}
+    page_of = _listed([number.get(page, "-1") for page in range(pages[-1] + 1)]).cast("array<int>")
+    parts = _listed([longer.get(page * PAGE + low, "") for page in pages for low in range(PAGE)])
+    code = F.ascii(c)  # the code point
+    page = F.get(page_of, F.shiftright(code, 8))
+    found = F.nullif(F.get(parts, F.when(page >= 0, page * PAGE + code.bitwiseAND(F.lit(PAGE - 1)))), F.lit(""))
+    at = code - HANGUL
+    lead, vowel, tail = (_listed([chr(0x1100 + i) for i in range(19)]), _listed([chr(0x1161 + i) for i in range(VOWELS)]), _listed(["", *(chr(0x11A8 + i) for i in range(TAILS - 1))]))
+    per_lead = VOWELS * TAILS
+    syllable = F.concat(
+        F.get(lead, ((at - at % per_lead) / per_lead).cast("int")), F.get(vowel, ((at % per_lead - at % TAILS) / TAILS).cast("int")), F.get(tail, at % TAILS)
+    )
+    return F.when(code.between(HANGUL, HANGUL_END), syllable).otherwise(found)
 
 
 def strip_accents(col: Column) -> Column:
-    """Compatibility decomposition without combining marks."""
+    """Compatibility decomposition without combining marks, of all of Unicode."""
     source, target, longer = _foldings()
-    long = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(_map(longer), c), c)), "")
-    col = F.when(col.rlike("[" + "".join(longer) + "]"), long).otherwise(col)
-    folded = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}", "")
-    return F.when(F.length(col) == F.octet_length(col), col).otherwise(folded)
+    several = _ranges([*longer, *range(HANGUL, HANGUL_END + 1)])
+    long = F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(_in_parts(c), c)), "")
+    whole = F.when(col.rlike(several), long).otherwise(col)
+    return F.when(F.length(col) == F.octet_length(col), col).otherwise(F.translate(whole, source, target))
 
 
 def rewritten(col: Column) -> Column:
     """The string rewrites of the normaliser, in order, up to single tokens between white space."""
     t = strip_accents(F.lower(F.coalesce(col, F.lit(""))))
-    for pattern, by in (
-        (r"(?U)\bs/\s*(?=[a-z])", "sem "),
-        (r"(?U)\bc/\s*(?=[a-z])", "com "),
-        (r"(?U)\bc[/\-]?\d+\b", " "),
-        (r"(?U)\b\d+\s*x\s*(\d+)", " $1"),
-        (r"(?U)\b(cx|fd|pct|dz)\s*\d+\b", " "),
-        (r"(\d+)[\.,](\d+)", "$1.$2"),
-        (r"(\d+(?:\.\d+)?)\s*([a-z]+)", "$1 $2"),
-        (r"[^a-z0-9.\s]", " "),
-    ):
-        t = F.regexp_replace(t, pattern, by)
+    for pattern, by, follows in REWRITES:
+        unicode = "(?U)" if r"\b" in pattern else ""
+        t = F.regexp_replace(t, unicode + pattern + (f"(?={follows})" if follows else ""), by.replace("\\", "$"))
     return t
 
 
-def _map(entries: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
-
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
 
-NUMBER = r"^\d+(?:\.\d+)?$"
 
+def normal_form(rewrites: Column, keep_counts: bool = False) -> Column:
+    """Units, pack words, abbreviations and stop words of rewritten text, tokens between blanks.
 
-def tokens_of_parts(parts: Column, keep_counts: bool = False) -> Column:
-    """Units, pack words, abbreviations and stop words.  The rule is local: no number is a unit, so a token is used up
-    by the number before it exactly if it is a unit."""
-    units = _map(UNITS)
-    n = F.size(parts)
-    nothing = F.array(F.lit(None).cast("string"))
-    before = F.concat(nothing, F.slice(parts, 1, F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(parts, 2, F.greatest(n - 1, F.lit(0))), nothing)
+    Every token gets a blank of its own on both sides, so each rule is one search over the text.  Numbers are glued to
+    their units first; a unit after a number is used up by it, and no rule can put a number before a unit again, since
+    counts go last."""
+    t = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.regexp_replace(rewrites, r"\s+", " ")), " ", "  "), F.lit(" "))
+    number = r" (\d+)(?:\.0+|(\.\d*[1-9])0*)?  "
+    numbered = t
+    spelled: dict[str, list[str]] = {}
+    for word, unit in UNITS.items():
+        spelled.setdefault(unit, []).append(word)
+    for unit in sorted(spelled, key=lambda u: u == ""):
+        by = f" $1$2{unit} " if unit else " $1$2un " if keep_counts else ""
+        numbered = F.regexp_replace(numbered, number + _any(spelled[unit]) + " ", by)
+    t = F.when(t.rlike(r"\d  [a-z]"), numbered).otherwise(t)
+    t = F.regexp_replace(t, f" {_any([*PACK_WORDS, *spelled['']])} ", "")
+    full = t
+    for short, word in ABBREVIATIONS.items():
+        full = F.replace(full, F.lit(f" {short} "), F.lit(f" {word} "))
+    t = F.when(t.rlike(f" {_any(ABBREVIATIONS)} "), full).otherwise(t)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, f" {_any(STOPWORDS)} ", ""), " +", " "))
 
-    def number(c: Column) -> Column:
-        return F.coalesce(c.rlike(NUMBER), F.lit(False))
 
-    def single(trio: Column) -> Column:
-        prev, tok, nxt = trio["before"], trio["tok"], trio["after"]
-        unit = F.try_element_at(units, nxt)
-        short = F.when(tok.contains("."), F.regexp_replace(F.regexp_replace(tok, "0+$", ""), r"\.+$", "")).otherwise(tok)
-        counted = F.concat(short, F.lit("un")) if keep_counts else F.lit(None).cast("string")
-        own_unit = F.try_element_at(units, tok)
-        plain = F.coalesce(F.try_element_at(_map(ABBREVIATIONS), tok), tok)
-        return (
-            F.when(number(prev) & own_unit.isNotNull(), F.lit(None).cast("string"))
-            .when(number(tok) & unit.isNotNull(), F.when(unit == "", counted).otherwise(F.concat(short, unit)))
-            .when(tok.isin(*PACK_WORDS) | F.coalesce(own_unit == "", F.lit(False)), F.lit(None).cast("string"))
-            .when(plain.isin(*STOPWORDS), F.lit(None).cast("string"))
-            .otherwise(plain)
-        )
-
-    trios = F.arrays_zip(before.alias("before"), parts.alias("tok"), after.alias("after"))
-    return F.filter(F.transform(F.filter(trios, lambda x: x["tok"].isNotNull()), single), lambda x: x.isNotNull())
+def with_normalised(df: DataFrame, text: str, out: str = "doc", keep_counts: bool = False) -> DataFrame:
+    """df with the normal form of column text.  The rewrites are a column of their own, so they are made once."""
+    return df.withColumn("_parts", rewritten(F.col(text))).withColumn(out, normal_form(F.col("_parts"), keep_counts)).drop("_parts")
 
 
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", keep_counts: bool = False) -> DataFrame:
-    """df with the normalised tokens of column text.  The parts are a column of their own, so they are made once."""
-    parts = F.filter(F.split(rewritten(F.col(text)), r"\s+"), lambda x: x != "")
-    return df.withColumn("_parts", parts).withColumn(out, tokens_of_parts(F.col("_parts"), keep_counts)).drop("_parts")
-
-
-def with_normalised(df: DataFrame, text: str, out: str = "doc", keep_counts: bool = False) -> DataFrame:
-    return with_tokens(df, text, "_tokens", keep_counts).withColumn(out, F.array_join("_tokens", " ")).drop("_tokens")
+    """df with the normalised tokens of column text."""
+    return with_normalised(df, text, "_doc", keep_counts).withColumn(out, F.filter(F.split("_doc", " "), lambda x: x != "")).drop("_doc")
 
 
 def quantities(normalised: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, STOPWORDS, UNITS
+from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, REWRITES, STOPWORDS, UNITS
 
 TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -19,16 +19,9 @@ def _list(words) -> str:
 def normal(source: str, name: str) -> str:
     """CTEs ending in `name`: the columns of source, which has text, with toks and doc."""
     t = "strip_accents(lower(coalesce(text, '')))"
-    for pattern, by in (
-        (r"\bs/\s*([a-z])", r"sem \1"),
-        (r"\bc/\s*([a-z])", r"com \1"),
-        (r"\bc[/\-]?\d+\b", " "),
-        (r"\b\d+\s*x\s*(\d+)", r" \1"),
-        (r"\b(cx|fd|pct|dz)\s*\d+\b", " "),
-        (r"(\d+)[\.,](\d+)", r"\1.\2"),
-        (r"(\d+(?:\.\d+)?)\s*([a-z]+)", r"\1 \2"),
-        (r"[^a-z0-9.\s]", " "),
-    ):
+    for pattern, by, follows in REWRITES:
+        # No look-ahead here: what follows is taken and put back.
+        pattern, by = (f"{pattern}({follows})", by + r"\1") if follows else (pattern, by)
         t = f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
     number = r"regexp_full_match({}, '\d+(\.\d+)?')"
     return rf"""

@@ -77,3 +77,62 @@ def test_bigrams(spark):
     df = spark.createDataFrame([("uva",), ("suco de uva",), ("",)], "t string")
     got = [r.g for r in df.select(T.with_bigrams(T.word_terms(F.col("t"))).alias("g")).collect()]
     assert got == [["uva"], ["suco", "de", "uva", "suco de", "de uva"], []]
+
+
+def test_every_character_decomposes(spark):
+    import unicodedata
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    step = 64
+    texts = [" ".join(map(chr, codes[i : i + step])) for i in range(0, len(codes), step)] + ["abc", "", "q\u0307\u0323 \ud55c\uae00 5\u338f \u2460\u24b6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r.i: r.s for r in df.select("i", T.strip_accents(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), (i, t)
+
+
+def normal_plain(text, keep_counts=False):
+    """The rules token by token."""
+    import re
+
+    from matchloom.functions.tables import ABBREVIATIONS, PACK_WORDS, STOPWORDS, UNITS
+
+    parts, out, i = text.split(), [], 0
+    while i < len(parts):
+        tok = parts[i]
+        i += 1
+        if re.fullmatch(r"\d+(\.\d+)?", tok) and i < len(parts) and parts[i] in UNITS:
+            short = tok.rstrip("0").rstrip(".") if "." in tok else tok
+            unit = UNITS[parts[i]] or ("un" if keep_counts else "")
+            out += [short + unit] * bool(unit)
+            i += 1
+        elif tok not in PACK_WORDS and UNITS.get(tok) != "" and ABBREVIATIONS.get(tok, tok) not in STOPWORDS:
+            out.append(ABBREVIATIONS.get(tok, tok))
+    return " ".join(out)
+
+
+def test_tokens_by_chance(spark):
+    import random
+
+    rng = random.Random(3)
+    bits = ["1", "20", "1.50", "0.0", "3.05", "1.2.3", ".", "l", "lt", "un", "und", "g", "kg", "cx", "fardo", "de", "e", "cerv", "cerv", "refri", "uva", "x", "100", "u"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) + rng.choice(["", " ", "\t"]) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for keep in (False, True):
+        got = [r.d for r in df.select(T.normal_form(F.col("t"), keep).alias("d")).collect()]
+        assert got == [normal_plain(t, keep) for t in texts]
+
+
+MIXED = "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 \u6f22\u5b57 abc Ti\u1ebfng Vi\u1ec7t \u0395\u03bb\u03bb\u03ac\u03b4\u03b1 x_y 5 a"
+
+
+def test_words_of_all_scripts(spark):
+    import re
+
+    import duckdb
+    from matchloom.plans import sql as S
+
+    row = spark.createDataFrame([(MIXED,)], "text string").select(T.simple_tokens(F.col("text")).alias("a"), T.word_terms(F.lower("text")).alias("b")).first()
+    assert row.a == re.findall(r"[^\W_]+", MIXED.lower()) and row.b == re.findall(r"\b\w\w+\b", MIXED.lower())
+    rel = duckdb.execute(f"SELECT {S.TOKENS}, {S.WORDS.format('lower(text)')} FROM (SELECT ? AS text)", [MIXED]).fetchone()
+    assert (row.a, row.b) == rel

@@ -55,10 +55,6 @@ def shared(named: DataFrame, content: str) -> DataFrame:
     return distinct.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep", "first")
 
 
-def token_rep() -> Column:
-    return rep_of(F.array_join("tokens", " ", "\1"))
-
-
 def bm25_idf(n: Column, df: Column) -> Column:
     half, one = F.lit(0.5), F.lit(1.0)
     return F.log((n - df + half) / (df + half) + one)
@@ -77,15 +73,16 @@ class Bm25Index:
     terms: DataFrame
 
 
-def _stats(docs: DataFrame) -> Column:
-    """n_docs and avgdl as one scalar, so that the corpus is read for them once."""
-    return corpus_stats(docs).select(F.struct("n_docs", "avgdl")).scalar()
-
-
 def bm25_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
     """docs: ord and tokens.  The weight of a posting is a document's whole share in a score per query occurrence."""
-    counts = term_counts(docs.withColumn("dl", F.size("tokens").cast("long")), "tokens", "ord", "dl")
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("c", _stats(docs))
+    # A null after the tokens is a document's row, from which number and mean length come: texts are read once.
+    none = F.array(F.lit(None).cast("string"))
+    rows = docs.select("ord", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
+    counts = stored(term_counts(rows.withColumn("tokens", F.concat("tokens", none)), "tokens", "ord", "dl"), "counts")
+    n, length = F.count("*"), F.sum("dl")
+    stats = counts.where("term IS NULL").agg(F.struct(n.alias("n_docs"), (length / n).alias("avgdl"))).scalar()
+    counts = counts.where("term IS NOT NULL")
+    terms = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("c", stats)
     terms = terms.withColumn("idf", bm25_idf(F.col("c.n_docs"), F.col("df")))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("c.avgdl"), k1, b)
     postings = counts.join(terms, "term").select("term", "ord", "tf", "dl", weight.alias("weight"))

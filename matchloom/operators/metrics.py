@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators.quantile import quantiles
 from matchloom.sources.shared import stored
 
 
@@ -56,25 +57,24 @@ def compared(results: dict[str, DataFrame], gold: DataFrame, k: int = 5) -> Data
 
 def score_stats(scores: DataFrame, *by: str, column: str = "score") -> DataFrame:
     """n, mean, p5 (linear between ranks), min and max."""
-    return scores.groupBy(*by).agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.percentile(column, 0.05).alias("p5"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-    )
+    scores = stored(scores.select(*by, column), "scores")
+    plain = scores.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return _beside(plain, quantiles(scores, column, {"p5": 0.05}, *by), by).select(*by, "n", "mean", "p5", "min", "max")
 
 
 def described(scores: DataFrame, column: str = "score") -> DataFrame:
-    quarter = {f"p{int(q * 100)}": F.percentile(column, q) for q in (0.25, 0.5, 0.75)}
-    return scores.agg(
-        F.count(column).alias("n"),
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(column).alias("min"),
-        *(c.alias(n) for n, c in quarter.items()),
-        F.max(column).alias("max"),
-    )
+    scores = stored(scores.select(column), "scores")
+    plain = scores.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    wanted = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    return _beside(plain, quantiles(scores, column, wanted), ()).select("n", "mean", "std", "min", *wanted, "max")
+
+
+def _beside(plain: DataFrame, more: DataFrame, by: tuple) -> DataFrame:
+    """The rows of both, by group; one each where there are no groups."""
+    names = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] or [F.col("a._one") == F.col("b._one")]
+    one = F.lit(1).alias("_one")
+    met = plain.select("*", one).alias("a").join(more.select("*", one).alias("b"), names)
+    return met.select("a.*", *(F.col(f"b.{c}") for c in more.columns if c not in by))
 
 
 def below_thresholds(scores: DataFrame, thresholds, column: str = "score") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.tables import PACK_TOKEN_PATTERN
+from matchloom.operators.quantile import quantiles
+from matchloom.sources.shared import stored
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -51,10 +53,11 @@ def first_word(col: Column) -> Column:
 
 def lengths(df: DataFrame, text: str) -> DataFrame:
     chars, tokens = F.char_length(text), F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
-    sized = df.where(F.col(text).isNotNull()).select(chars.alias("chars"), tokens.alias("tokens"))
-    return sized.agg(
-        *(f(c).cast("double").alias(f"{n}_{c}") for c in ("chars", "tokens") for n, f in (("min", F.min), ("median", F.median), ("max", F.max)))
-    )
+    sized = stored(df.where(F.col(text).isNotNull()).select(chars.alias("chars"), tokens.alias("tokens")), "sized")
+    names = [f"{n}_{c}" for c in ("chars", "tokens") for n in ("min", "median", "max")]
+    ends = sized.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("chars", "tokens") for n, f in (("min", F.min), ("max", F.max))), F.lit(1).alias("_a"))
+    middle = [quantiles(sized, c, {f"median_{c}": 0.5}).withColumn(f"_{c}", F.lit(1)) for c in ("chars", "tokens")]
+    return ends.join(middle[0], F.col("_a") == F.col("_chars")).join(middle[1], F.col("_a") == F.col("_tokens")).select(*names)
 
 
 def upper_tokens(df: DataFrame, text: str) -> DataFrame:

@@ -2,8 +2,8 @@
 the order of summation cannot change a ranking; ties go by ord.  With pad, the default, a query with fewer than k hits
 gets the first documents at score 0.
 
-Lexical rankers ask an index of documents dealt by content.  Queries' terms are broadcast where they are few enough,
-which is counted first; documents then meet them, are scored and reduced to each query's best where they lie.
+Lexical rankers send queries' terms to the documents where they are few enough, which is counted first; documents are
+scored and reduced to each query's best where they lie.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.index import (
-    TfidfIndex, bm25_idf, bm25_weight, joinable, keyed, query_weights, raw_weights, rep_of, shared, term_counts, tfidf_index, token_rep,
+    TfidfIndex, bm25_idf, bm25_weight, joinable, query_weights, raw_weights, term_counts, tfidf_index,
 )
 from matchloom.sources.shared import stored
 
 DIGITS = 6
 #: Queries of one block: their vectors are collected and broadcast together.
 QUERY_BLOCK = 4096
+#: BM25 scores a query's rarest terms first, but for those that can give at most so much of its score; and what rounding
+#: may do to a sum stays far below this.
+REST, SLACK = 0.4, 1e-5
 
 
 def top(scored: DataFrame, k: int, *ties: str, keep: tuple = ()) -> DataFrame:
@@ -42,59 +45,108 @@ def padded(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> Da
 def _expanded(by_rep: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """query_id, ord and score: of each query's k best reps (ties by first), the first k documents."""
     best = top(by_rep.withColumnRenamed("rep", "ord"), k, "first").select("query_id", F.col("ord").alias("rep"), "score")
+    best = stored(best, "best")
+    # Only copies of what was found, and of each only the first k.
+    copies = copies.join(joinable(stored(best.select(F.col("rep").alias("of")).distinct(), "found")), F.col("rep") == F.col("of"), "left_semi")
     first = Window.partitionBy("rep").orderBy("ord")
     copies = copies.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
     return best.join(copies, "rep").select("query_id", "ord", "score")
 
 
+def best_of_reps(by_rep: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """The ranking of query_id, rep, first and score over the documents that have the reps."""
+    return top(_expanded(by_rep, copies, k), k)
+
+
 def _finished(by_rep: DataFrame, queries: DataFrame, docs: DataFrame, copies: DataFrame, k: int, pad: bool) -> DataFrame:
     scored = _expanded(by_rep, copies, k)
     return top(padded(scored, queries, docs, k) if pad else scored, k)
 
 
+def _counted(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """ord, dl, term (its number) and tf of the asked terms, and one row of each document without a term; stored.  docs: ord,
+    tokens; vocabulary: of and term, a stored table.  Texts and tokens stay where they are read, only numbers are shuffled."""
+    few = joinable(vocabulary)
+    none = F.array(F.lit(None).cast("string"))
+    docs = docs.select("ord", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+    docs = docs.withColumn("dl", F.size("tokens").cast("long"))
+    if few is not vocabulary:
+        # A null after the tokens: a document's row, whatever terms it has.
+        each = docs.select("ord", "dl", F.explode(F.concat("tokens", none)).alias("token")).join(few, F.col("token") == F.col("of"), "left")
+        counts = each.groupBy("ord", "dl", "term").agg(F.count("*").alias("tf"))
+    else:
+        each = docs.select("ord", "dl", F.explode("tokens").alias("token")).join(vocabulary, F.col("token") == F.col("of"))
+        one, no_term = F.lit(1).cast("long").alias("tf"), F.lit(None).cast("long").alias("term")
+        counts = each.groupBy("ord", "dl", "term").agg(F.count("*").alias("tf")).unionByName(docs.select("ord", "dl", no_term, one))
+    return stored(counts, "counted")
+
+
 def bm25(
     queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, pad: bool = True, text: str | None = None, tokens_of=None
 ) -> DataFrame:
-    """queries: query_id and tokens; docs: ord and tokens, or ord and text, of which tokens_of makes tokens once the
-    documents are dealt.  A term that a query repeats counts each time."""
+    """queries: query_id and tokens; docs: ord and tokens, or ord and text, of which tokens_of makes tokens.  A term that a
+    query repeats counts each time."""
     asked = stored(term_counts(queries, "tokens", "query_id").withColumnRenamed("tf", "qtf"), "asked")
-    vocabulary = joinable(stored(asked.select(F.col("term").alias("of")).distinct(), "vocabulary"))
-    if text is None:
-        named = keyed(docs, "tokens", token_rep())
-        distinct = shared(named, "tokens")
-    else:
-        named = docs.select("ord", text, rep_of(F.coalesce(F.col(text), F.lit(""))).alias("rep"))
-        distinct = shared(named, text).withColumn("tokens", tokens_of(F.col(text)))
-    distinct = distinct.withColumn("dl", F.size("tokens").cast("long"))
-    # Null tokens count as none.
-    n, length = F.sum("copies"), F.sum(F.col("copies") * F.greatest("dl", F.lit(0)))
-    stats = distinct.agg(F.struct(n.alias("n_docs"), (length / n).alias("avgdl"))).scalar()
-    rows = distinct.select("rep", "copies", "first", "dl", F.explode("tokens").alias("term"))
-    rows = rows.join(vocabulary, F.col("term") == F.col("of"), "left_semi")
-    counts = rows.groupBy("rep", "copies", "first", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
-    wanted = asked.join(terms, "term").withColumn("c", stats)
-    wanted = wanted.select("query_id", F.col("term").alias("of"), "qtf", bm25_idf(F.col("c.n_docs"), F.col("df")).alias("idf"), F.col("c.avgdl").alias("avgdl"))
-    met = counts.join(joinable(wanted, asked.count()), F.col("term") == F.col("of"))
-    weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b)
-    by_rep = met.groupBy("rep", "first", "query_id").agg(F.round(F.sum(F.col("qtf") * weight), DIGITS).alias("score"))
-    return _finished(by_rep, queries, docs, named.select("rep", "ord"), k, pad)
+    vocabulary = asked.select(F.col("term").alias("of")).distinct().withColumn("term", F.monotonically_increasing_id())
+    vocabulary = stored(vocabulary, "vocabulary")
+    counted = _counted(docs if text is None else docs.select("ord", tokens_of(F.col(text)).alias("tokens")), vocabulary)
+    asked = asked.withColumnRenamed("term", "of").join(joinable(vocabulary), "of").select("query_id", "term", "qtf")
+    n, length = F.count("*"), F.sum("dl")
+    stats = counted.where("term IS NULL").agg(F.struct(n.alias("n_docs"), (length / n).alias("avgdl"))).scalar()
+    held = counted.where("term IS NOT NULL")
+    terms = held.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"), F.min("dl").alias("dl")).withColumn("c", stats)
+    avgdl = F.col("c.avgdl")
+    most = bm25_weight(F.col("tf"), F.col("dl"), bm25_idf(F.col("c.n_docs"), F.col("df")), avgdl, k1, b)
+    wanted = asked.join(terms, "term").select("query_id", F.col("term").alias("of"), "qtf", "df", bm25_idf(F.col("c.n_docs"), F.col("df")).alias("idf"), avgdl.alias("avgdl"), (F.col("qtf") * most).alias("most"))
+    wanted = stored(_shared_out(wanted), "wanted")
+    # Dealt by document, so that sums and each task's best need no other shuffle.
+    dealt = held.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ord")
+    weight = F.col("qtf") * bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("avgdl"), k1, b)
+
+    def summed(rows: DataFrame, asking: DataFrame) -> DataFrame:
+        met = rows.join(joinable(asking), F.col("term") == F.col("of"))
+        return met.groupBy("ord", "query_id").agg(F.sum(weight).alias("score"))
+
+    first = stored(summed(dealt, wanted.where("leads")), "leads")
+    least = top(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = wanted.groupBy("query_id").agg(F.max("rest").alias("rest")).join(least, "query_id", "left")
+    # What the terms left out can add is below the k-th score so far: whoever holds none of the others is out.
+    rest = stored(rest.select("query_id", "rest", "least", F.coalesce(F.col("rest") + SLACK < F.col("least"), F.lit(False)).alias("safe")), "rest")
+    near = first.join(joinable(rest.where("safe")), "query_id").where(F.col("score") + F.col("rest") + SLACK >= F.col("least"))
+    near = near.select(F.col("query_id").alias("near_query"), F.col("ord").alias("near_ord"))
+    again = dealt.join(near, F.col("ord") == F.col("near_ord")).join(joinable(wanted), (F.col("term") == F.col("of")) & (F.col("near_query") == F.col("query_id")))
+    scored = again.groupBy("ord", "query_id").agg(F.sum(weight).alias("score"))
+    if rest.where("NOT safe").limit(1).count():
+        unsafe = stored(wanted.join(joinable(rest.where("NOT safe")), "query_id", "left_semi"), "unsafe")
+        scored = scored.unionByName(summed(dealt, unsafe))
+    scored = scored.select("query_id", "ord", F.round("score", DIGITS).alias("score"))
+    return top(padded(scored, queries, docs, k) if pad else scored, k)
+
+
+def _shared_out(wanted: DataFrame) -> DataFrame:
+    """wanted with leads, whether the term is of a query's rarest that together can give all but REST of its score, and
+    rest, what the query's other terms can give.  wanted: query_id, of, df, most."""
+    rare = Window.partitionBy("query_id").orderBy("df", "of")
+    whole = wanted.withColumn("sum", F.sum("most").over(Window.partitionBy("query_id")))
+    whole = whole.withColumn("before", F.coalesce(F.sum("most").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    whole = whole.withColumn("leads", F.col("before") < (1 - REST) * F.col("sum"))
+    left = F.sum(F.when(~F.col("leads"), F.col("most")).otherwise(0.0)).over(Window.partitionBy("query_id"))
+    return whole.withColumn("rest", left).drop("sum", "before", "df", "most")
 
 
 def tfidf_scores(queries: DataFrame, index: TfidfIndex, terms_of, text: str = "doc") -> DataFrame:
     """query_id, rep, first and cosine."""
-    asked = stored(query_weights(queries, index.terms, terms_of, text), "asked")
-    n = asked.count()
-    # One row a term, with all that ask for it: a document's terms are not multiplied before its norm is taken.
-    askers = asked.groupBy(F.col("term").alias("of_term")).agg(F.collect_list(F.struct("query_id", "wq")).alias("askers"))
-    met = raw_weights(index).join(joinable(askers, n), F.col("term") == F.col("of_term"), "left")
+    asked = stored(query_weights(queries, index.terms, terms_of, text).withColumnRenamed("term", "of_term"), "asked")
+    vocabulary = stored(asked.select(F.col("of_term").alias("asked_term")).distinct(), "vocabulary")
+    # All terms make the norm; only asked ones go on, and meet their queries after it is taken.
+    met = raw_weights(index).join(joinable(vocabulary), F.col("term") == F.col("asked_term"), "left")
     whole = met.groupBy("rep", "first").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        F.collect_list(F.when(F.col("askers").isNotNull(), F.struct("w", "askers"))).alias("ts"),
+        F.collect_list(F.when(F.col("asked_term").isNotNull(), F.struct("term", "w"))).alias("ts"),
     )
-    each = whole.select("rep", "first", "norm", F.explode("ts").alias("t")).select("rep", "first", "norm", "t.w", F.explode("t.askers").alias("a"))
-    part = F.col("a.wq") * (F.col("w") / F.col("norm"))
-    return each.groupBy("rep", "first", F.col("a.query_id").alias("query_id")).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    each = whole.select("rep", "first", "norm", F.explode("ts").alias("t")).select("rep", "first", "t.term", (F.col("t.w") / F.col("norm")).alias("w"))
+    each = each.join(joinable(asked), F.col("term") == F.col("of_term"))
+    return each.groupBy("rep", "first", "query_id").agg(F.round(F.sum(F.col("wq") * F.col("w")), DIGITS).alias("score"))
 
 
 def tfidf_by(index: TfidfIndex, queries: DataFrame, docs: DataFrame, terms_of, k: int = 5, text: str = "doc", pad: bool = True) -> DataFrame:

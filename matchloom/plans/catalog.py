@@ -13,7 +13,7 @@ from matchloom.functions import text as T
 from matchloom.functions.tables import (
     CONTROL_PROBES, NO_MATCH_PROBES, OTHER_PRODUCT, PACK_TOKEN_PATTERN, QUANTITY_PATTERN, THRESHOLDS, WRONG_SIZE, WRONG_VARIANT,
 )
-from matchloom.operators import analysis, docs, index, metrics, profile, rank
+from matchloom.operators import analysis, docs, index, metrics, profile, rank, simjoin, store
 from matchloom.plans import sql as S
 from matchloom.sources import files
 from matchloom.sources.shared import new_path, stored
@@ -41,7 +41,8 @@ def oracle_sql():
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return files.spread(rows) if name in ("documents", "conversations", "part") else rows
 
 
 # Inputs.
@@ -179,6 +180,31 @@ def postings_norm(spark, d):
     return index.bm25_index(documents(spark, d)).postings.withColumn("weight", F.round("weight", 9))
 
 
+@query(
+    "postings_by_term",
+    f"WITH {DOCS_SQL}, {S.postings('d', 's')} SELECT term, count(*) AS df, sum(tf)::bigint AS tf, min(dl) AS least_dl, round(sum(weight), 6) AS weight, round(max(weight), 6) AS most FROM s_w GROUP BY term",
+)
+def postings_by_term(spark, d):
+    postings = index.bm25_index(documents(spark, d)).postings
+    return postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("tf"), F.min("dl").alias("least_dl"), F.round(F.sum("weight"), 6).alias("weight"), F.round(F.max("weight"), 6).alias("most")
+    )
+
+
+LEFT = "ord % 11 <> 5"
+
+
+@query("bm25_stored_index", f"WITH a{DOCS_SQL}, {PASSAGES_SQL}, d AS (SELECT * FROM ad WHERE {LEFT}), {S.bm25('d', 'q', 's')}, {S.top('s', 5, 'r')} {RANKED}")
+def bm25_stored_index(spark, d):
+    """An index built of six documents in seven, to which the rest is added; some are deleted, and it is opened again."""
+    path, rows = new_path(spark, "index"), documents(spark, d).select("ord", "tokens")
+    built = store.Index(spark, path)
+    built.append(rows.where("ord % 7 <> 0"))
+    built.append(rows.where("ord % 7 = 0"))
+    built.delete(rows.where(f"NOT {LEFT}").select("ord"))
+    return store.search(passages(spark, d), store.Index(spark, path), 5, pad=False)[0]
+
+
 @query(
     "charwb_ngrams",
     f"WITH {PRODUCTS_SQL} SELECT term, count(*) AS n FROM (SELECT unnest({S.char_wb('doc')}) AS term FROM d) GROUP BY term",
@@ -238,8 +264,8 @@ def bm25_products_top5(spark, d):
 
 
 def _fill(spark, d):
-    asked = orders(spark, d)
-    best = rank.best_match(asked, products(spark, d), T.char_wb)
+    asked = stored(orders(spark, d), "orders")
+    best, _ = simjoin.best_match(asked, products(spark, d), T.char_wb)
     return asked.select("query_id", "text").join(best, "query_id").select("query_id", "text", F.col("ord").alias("matched_id"), F.round("score", 4).alias("score"))
 
 

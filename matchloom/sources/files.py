@@ -21,6 +21,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a plain scan, for all tasks: Spark reads a small file, or a large one of one piece, in few splits.  Where these
+    are less than half the cores, the rows are dealt out, so what is shuffled is a few splits at most."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, CATALOGUE)
 

@@ -8,18 +8,16 @@ scored and reduced to each query's best where they lie.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators import cells
 from matchloom.operators.index import (
     TfidfIndex, bm25_idf, bm25_weight, joinable, query_weights, raw_weights, term_counts, tfidf_index,
 )
 from matchloom.sources.shared import stored
 
 DIGITS = 6
-#: Queries of one block: their vectors are collected and broadcast together.
-QUERY_BLOCK = 4096
 #: BM25 scores a query's rarest terms first, but for those that can give at most so much of its score; and what rounding
 #: may do to a sum stays far below this.
 REST, SLACK = 0.4, 1e-5
@@ -170,42 +168,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """queries: query_id and q; docs: ord and v, all of unit length.  Every query meets every document: a block of
-    queries at a time is sent to all tasks, a batch of documents is one product of matrices with it, and only each
-    query's best of the batch go on.  Rows without a vector take no part."""
-    import pyarrow as pa
-
-    spark = queries.sparkSession
-    queries = queries.where("q IS NOT NULL").select("query_id", "q")
-    docs = docs.where("v IS NOT NULL").select(F.col("ord").cast("long").alias("ord"), "v")
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    if blocks > 1:
-        queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    found = None
-    for block in range(max(blocks, 1)):
-        rows = (queries.where(F.col("block") == block) if blocks > 1 else queries).collect()
-        ids = np.array([r.query_id for r in rows], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.array([r.q for r in rows], float)))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                ords = batch.column(0).to_numpy()
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-                scores = q @ flat.reshape(len(ords), -1).T
-                near = np.round(scores, DIGITS)
-                order = np.lexsort((np.broadcast_to(ords, near.shape), -near), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(ords[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                    names=["query_id", "ord", "score"],
-                )
-
-        part = docs.mapInArrow(run, "query_id long, ord long, score double")
-        found = part if found is None else found.unionAll(part)
-    return top(found.withColumn("score", F.round("score", DIGITS)), k)
+    """queries: query_id and q; docs: ord and v.  Each query's k greatest inner products; cells.search() says how."""
+    return top(cells.search(queries, docs, k)[0], k)
 
 
 def hybrid(

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 from matchloom.functions import text as T
-from matchloom.operators import analysis, embed, metrics, rank
+from matchloom.operators import analysis, cells, embed, metrics, rank
 from pyspark.sql import functions as F
 
 DOCS = ["suco uva 1l", "suco laranja 1l", "suco uva integral 1l", "agua sem gas 500ml", "", "suco uva 1l", "refrigerante laranja 2l"]
@@ -160,10 +160,29 @@ def test_dense_in_blocks_of_queries(spark, monkeypatch):
     v = spark.createDataFrame(rows, "ord long, v array<float>").repartition(3)
     q = v.selectExpr("ord AS query_id", "v AS q")
     whole = sorted(map(tuple, rank.dense(q, v, 4).collect()))
-    monkeypatch.setattr(rank, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(cells, "VECTOR_BLOCK", 9)
+    monkeypatch.setattr(cells, "CELLS", 4)
     assert sorted(map(tuple, rank.dense(q, v, 4).collect())) == whole
     want = []
     for i, a in rows[:60]:
         scored = sorted((-round(sum(float(np.float32(x)) * float(np.float32(y)) for x, y in zip(a, b)), 6), j) for j, b in rows[:60])[:4]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
     assert whole == sorted(want)
+
+
+def test_dense_leaves_far_cells_out(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    v = centres[rng.integers(0, 20, 2000)] + 0.02 * rng.normal(size=(2000, 16))
+    v /= np.sqrt((v**2).sum(1))[:, None]
+    rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
+    docs = spark.createDataFrame(rows + [(9000, None), (9001, [1.0])], "ord long, v array<float>").repartition(4)
+    asked = spark.createDataFrame(rows[:50] + [(9000, None), (9001, [1.0])], "query_id long, q array<float>")
+    got = sorted((r.query_id, r["rank"], r.ord) for r in rank.dense(asked, docs, 5).collect())
+    f = v.astype(np.float32).astype(float)
+    scores = np.round(f[:50] @ f.T, 6)
+    assert got == sorted((i, n + 1, int(j)) for i in range(50) for n, j in enumerate(np.lexsort((np.arange(2000), -scores[i]))[:5]))
+    compared = [r.compared for r in cells.search(asked, docs, 5)[1].collect()]
+    assert len(compared) == 50 and sum(compared) < 50 * 2000 / 4
+    assert rank.dense(asked, docs.limit(0), 5).count() == 0 and rank.dense(asked.limit(0), docs, 5).count() == 0

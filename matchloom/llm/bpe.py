@@ -33,7 +33,7 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p
 
 NONE = np.iinfo(np.int64).max
 #: Stretches of text that a worker keeps in each of two tables, and their characters at most.
-KEPT_STRETCHES, KEPT_CHARS = 250_000, 6_000_000
+KEPT_STRETCHES, KEPT_CHARS = 500_000, 6_000_000
 #: Words of up to so many bytes are merged in forests; and bytes of one forest.
 SHORT, FOREST_BYTES = 64, 1_000_000
 #: Characters of texts that are encoded together.

@@ -8,7 +8,7 @@ report    sets two rankers side by side (--classic, --deep): hits, errors, ambig
 
 --embedder module:function names a function without arguments that loads a model, that is, returns a function from a
 list of texts to a list of vectors; with it there are the rankers dense and hybrid.  --cache is where the catalogue's
-vectors are kept, by content.
+vectors are kept, by text.
 """
 
 from __future__ import annotations
@@ -60,11 +60,11 @@ def rankers(a: argparse.Namespace) -> dict:
     load = getattr(importlib.import_module(module), function)
 
     def with_vectors(df: DataFrame, out: str) -> DataFrame:
-        return embed.from_model(df, load, out=out)
+        return embed.from_model(df, load, out=out, name=a.embedder)
 
     def encoded(c: DataFrame) -> DataFrame:
         texts = c.select("doc").distinct()
-        kept = files.cached_embeddings(texts, a.embedder, lambda x: with_vectors(x, "v"), a.cache) if a.cache else with_vectors(texts, "v")
+        kept = files.stored_embeddings(texts, a.embedder, lambda x: with_vectors(x, "v"), a.cache) if a.cache else with_vectors(texts, "v")
         return _tokens(c).join(kept, "doc").select("ord", "tokens", "v")
 
     return LEXICAL | {

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,16 +24,31 @@ def from_column(df: DataFrame, vector: str = "embedding", out: str = "v") -> Dat
     return df.withColumn(out, unit(F.col(vector)))
 
 
-def from_model(df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "doc", out: str = "v", batch: int = 256) -> DataFrame:
-    """Vectors of a model.  load() is called once in a Python worker's task and returns a function of a list of texts;
-    texts travel in Arrow batches."""
+def from_model(
+    df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "doc", out: str = "v", batch: int = 256, chars: int = 200_000, name: str | None = None
+) -> DataFrame:
+    """Vectors of a model.  load() returns a function of a list of texts, and is called once in a Python worker, which keeps
+    the model over its tasks until another one is asked for; under the same name later calls find it there too.  Texts
+    reach the model in lists of at most batch texts and, but for a single longer text, chars characters."""
+    key = name or uuid.uuid4().hex
+
     @pandas_udf("array<float>")
     def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        # What is to outlast a task needs a module of the worker's own: this function comes anew with each.
+        kept = sys.modules.setdefault("_matchloom_model", types.ModuleType("_matchloom_model")).__dict__
+        if kept.get("key") != key:
+            kept.pop("model", None)  # two do not stand beside each other
+            kept.update(model=load(), key=key)
+        model = kept["model"]
         for part in parts:
-            found: list = []
-            for at in range(0, len(part), batch):
-                found += model([t or "" for t in part.iloc[at : at + batch]])
-            yield pd.Series(found)
+            found, some, size = [], [], 0
+            for t in part:
+                t = t or ""
+                if some and (len(some) == batch or size + len(t) > chars):
+                    found += model(some)
+                    some, size = [], 0
+                some.append(t)
+                size += len(t)
+            yield pd.Series(found + (list(model(some)) if some else []))
 
     return from_column(df.withColumn(out, encode(F.col(text))), out, out)

@@ -11,6 +11,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.sources.shared import stored
+
 CATALOGUE = "product_id string, product_name string, brand_name string"
 LABELLED = "text string, matched_id string"
 DETAILS = "text string, gold_id string, gold_name string, top5 array<struct<id: string, name: string, score: double>>"
@@ -85,3 +87,26 @@ def cached_embeddings(docs: DataFrame, model: str, encode, folder: str, text: st
         if not _whole(spark, path):  # a committer that leaves no marker
             spark.createDataFrame([("whole",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_SUCCESS")
     return spark.read.parquet(path)
+
+
+def stored_embeddings(docs: DataFrame, model: str, encode, folder: str, text: str = "doc") -> DataFrame:
+    """The vectors (v) of docs' distinct texts, from the folder's store of the model: a row a text, by digest.  Only texts
+    that the store lacks are encoded, by encode(), and appended; one changed row of a catalogue costs one text.
+
+    A null text has no row.  Files that a broken append has left hold whole rows, and what it has not written is lacking
+    next time; what two writers have both appended counts once."""
+    spark, path = docs.sparkSession, f"{folder}/{hashlib.md5(model.encode(), usedforsecurity=False).hexdigest()[:12]}"
+    schema, digest = "digest binary, v array<float>", F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+    texts = docs.where(F.col(text).isNotNull()).select(text).distinct().withColumn("digest", digest)
+
+    def held() -> DataFrame:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+    # Numbers and digests alone are compared, and a store of any size is scanned by its column of digests.
+    lacking = stored(texts.join(held().select(F.col("digest").alias("of")), F.col("digest") == F.col("of"), "left_anti"), "lacking")
+    if lacking.limit(1).count():
+        encode(lacking).select("digest", F.col("v").cast("array<float>").alias("v")).write.mode("append").parquet(path)
+    found = texts.join(held().withColumnRenamed("digest", "of"), F.col("digest") == F.col("of")).groupBy("digest")
+    return found.agg(F.first(text).alias(text), F.first("v").alias("v")).select(text, "v")

@@ -1,7 +1,7 @@
 import pytest
 from matchloom import cli
 from matchloom.functions import text as T
-from matchloom.operators import docs
+from matchloom.operators import docs, embed
 from matchloom.sources import files
 from matchloom.streaming import match
 from pyspark.sql import functions as F
@@ -49,7 +49,7 @@ def test_neural_rankers_report_and_probes(spark, tmp_path, capsys):
     cli.main(["evaluate", *neural, "--method", "hybrid"])
     said = capsys.readouterr().out
     assert said.count("dense") == 1 and said.count("hybrid") == 2 and said.count("n=4") == 6, said
-    assert len(list((tmp_path / "cache").iterdir())) == 2  # raw texts and normal ones
+    assert len(list((tmp_path / "cache").iterdir())) == 1  # one store a model, of raw texts and normal ones
     cli.main(["report", *neural, "--out", str(tmp_path / "report")])
     said = capsys.readouterr().out
     assert "## tfidf_char: 4 of 4 right" in said and "## hybrid" in said and "## Ambiguous" in said and "of both: 0" in said
@@ -115,6 +115,56 @@ def test_embedding_store(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_only_new_texts_are_encoded(spark, tmp_path):
+    asked = []
+
+    def encode(d):
+        asked.append(sorted(r.doc for r in d.select("doc").collect()))
+        return d.withColumn("v", F.array(F.length("doc").cast("float")))
+
+    def vectors(*texts, model="m"):
+        df = spark.createDataFrame([(t, 1) for t in texts], "doc string, digit int").repartition(3)
+        rows = [tuple(r) for r in files.stored_embeddings(df, model, encode, str(tmp_path)).collect()]
+        return sorted((t, list(v)) for t, v in rows)
+
+    assert vectors("a", "bb", "", "a", None) == [("", [0.0]), ("a", [1.0]), ("bb", [2.0])]
+    assert vectors("a", "bb") == [("a", [1.0]), ("bb", [2.0])]
+    assert vectors("a", "ccc", "bb") == [("a", [1.0]), ("bb", [2.0]), ("ccc", [3.0])]
+    assert vectors() == [] and asked == [["", "a", "bb"], ["ccc"]]
+    assert vectors("a", model="other") == [("a", [1.0])] and asked[2:] == [["a"]]
+    # A part that is lost is encoded again; rows that stand twice count once.
+    (store,) = [p for p in tmp_path.iterdir() if len(spark.read.parquet(str(p)).collect()) == 4]
+    twice = spark.read.parquet(str(store)).collect()
+    spark.createDataFrame(twice, "digest binary, v array<float>").write.mode("append").parquet(str(store))
+    assert vectors("a", "ccc") == [("a", [1.0]), ("ccc", [3.0])]
+    for part in store.glob("part-*"):
+        part.unlink()
+    assert vectors("a", "ccc") == [("a", [1.0]), ("ccc", [3.0])] and asked[3:] == [["a", "ccc"]]
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    log = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{log}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def model(texts):
+            assert len(texts) <= 3 and (len(texts) == 1 or sum(map(len, texts)) <= 20)
+            return [[float(len(t)), 0.0] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([("x" * (i % 30),) for i in range(200)], "doc string").repartition(24)
+    for _ in range(2):
+        rows = embed.from_model(df, load, batch=3, chars=20, name="once").collect()
+        assert len(rows) == 200 and all(list(r.v) == [1.0 if r.doc else 0.0, 0.0] for r in rows)
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 24
+
+
 def test_stream_equals_batch(spark, tmp_path):
     asked = spark.createDataFrame([(1, "SUCO UVA 1L C/6"), (2, "AGUA S/GAS 500ML")], "query_id long, text string")
     asked.write.parquet(str(tmp_path / "in"))

@@ -56,6 +56,15 @@ def rankers(a: argparse.Namespace) -> dict:
     """Name -> function of queries, catalogue and k."""
     if not a.embedder:
         return dict(LEXICAL)
+    if a.embedder == "hashed":
+        # No model: vectors of hashed n-grams, made by Spark as cheaply as a store would give them back.
+        def hashed(df: DataFrame, out: str, key: str) -> DataFrame:
+            return _tokens(df).join(embed.hashed(_lower(df), key, T.char_wb(F.col("doc")), out), key)
+
+        return LEXICAL | {
+            "dense": lambda q, c, k: rank.dense(hashed(q, "q", "query_id"), hashed(c, "v", "ord"), k),
+            "hybrid": lambda q, c, k: rank.hybrid(hashed(q, "q", "query_id"), hashed(c, "v", "ord").select("ord", "tokens", "v"), k).drop("bm25_rank"),
+        }
     module, function = a.embedder.split(":")
     load = getattr(importlib.import_module(module), function)
 
@@ -165,7 +174,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--method", choices=[*LEXICAL, "dense", "hybrid", "all"], default="tfidf_char")
     p.add_argument("--classic", default="tfidf_char", help="report: the first ranker")
     p.add_argument("--deep", help="report: the second ranker; hybrid, or bm25 where there is no embedder")
-    p.add_argument("--embedder", help="module:function that loads a model")
+    p.add_argument("--embedder", help="module:function that loads a model, or hashed: hashed n-grams in its place")
     p.add_argument("--cache", help="folder of the catalogue's vectors")
     p.add_argument("--no-brand", action="store_true")
     p.add_argument("--raw-text", action="store_true", help="no normalisation, of either side")

@@ -39,13 +39,14 @@ def diagnosed(pairs: DataFrame, gold: str = "gold_name", found: str = "top_name"
     return df.withColumn("diagnosis", verdict).drop("_g", "_f", "_gt", "_ft", "_gq", "_fq")
 
 
-def error_sets(one: DataFrame, two: DataFrame) -> DataFrame:
-    """query_id and side, of queries that ranker one, two or both got wrong.  one, two: query_id and correct."""
-    a = one.select("query_id", (~F.col("correct")).alias("wrong_one"))
-    b = two.select("query_id", (~F.col("correct")).alias("wrong_two"))
-    both = a.join(b, "query_id", "full_outer").na.fill(False)
+def error_sets(one: DataFrame, two: DataFrame, by: str = "query_id") -> DataFrame:
+    """by and side, of queries that ranker one, two or both got wrong.  one, two: by and correct.  By text, queries of the
+    same text count once, and as wrong where one of them is."""
+    a = one.groupBy(by).agg(F.bool_or(~F.col("correct")).alias("wrong_one"))
+    b = two.groupBy(by).agg(F.bool_or(~F.col("correct")).alias("wrong_two"))
+    both = a.join(b, by, "full_outer").na.fill(False, ["wrong_one", "wrong_two"])
     side = F.when(F.col("wrong_one") & F.col("wrong_two"), "both").when(F.col("wrong_one"), "only_one").when(F.col("wrong_two"), "only_two")
-    return both.select("query_id", side.alias("side")).where("side IS NOT NULL")
+    return both.select(by, side.alias("side")).where("side IS NOT NULL")
 
 
 def ambiguous(ranked: DataFrame, names: DataFrame, first: int = 8, margin: float = 0.01, digits: int | None = None) -> DataFrame:

@@ -24,6 +24,18 @@ def from_column(df: DataFrame, vector: str = "embedding", out: str = "v") -> Dat
     return df.withColumn(out, unit(F.col(vector)))
 
 
+def hashed(df: DataFrame, key: str, terms: Column, out: str = "v", size: int = 64) -> DataFrame:
+    """key and out: unit vectors of hashed terms, without a model and without Python.  A term adds 1 or -1, by its digest,
+    to one component; rows without terms have the zero vector.  key is unique.  The terms are summed up where they are read:
+    one row a key is shuffled, whatever the length of its text."""
+    each = df.select(key, F.explode_outer(terms).alias("_term"))
+    hash_of = F.conv(F.substring(F.md5("_term"), 1, 4), 16, 10).cast("int")
+    each = each.select(key, (hash_of % size).alias("_at"), F.when(F.floor(hash_of / size) % 2 == 0, 1).otherwise(-1).alias("_sign"))
+    sums = [F.coalesce(F.sum(F.when(F.col("_at") == i, F.col("_sign"))), F.lit(0)).alias(f"_{i}") for i in range(size)]
+    vectors = each.groupBy(key).agg(*sums)
+    return vectors.select(key, unit(F.array(*(F.col(f"_{i}").cast("float") for i in range(size)))).alias(out))
+
+
 def from_model(
     df: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], text: str = "doc", out: str = "v", batch: int = 256, chars: int = 200_000, name: str | None = None
 ) -> DataFrame:

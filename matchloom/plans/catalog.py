@@ -13,7 +13,7 @@ from matchloom.functions import text as T
 from matchloom.functions.tables import (
     CONTROL_PROBES, NO_MATCH_PROBES, OTHER_PRODUCT, PACK_TOKEN_PATTERN, QUANTITY_PATTERN, THRESHOLDS, WRONG_SIZE, WRONG_VARIANT,
 )
-from matchloom.operators import analysis, docs, index, metrics, profile, rank, simjoin, store
+from matchloom.operators import analysis, docs, embed, index, metrics, profile, rank, simjoin, store
 from matchloom.plans import sql as S
 from matchloom.sources import files
 from matchloom.sources.shared import new_path, stored
@@ -340,6 +340,29 @@ def hybrid_rerank(spark, d):
     return rank.hybrid(asked, catalogue, 5, **BY_TEXT)
 
 
+# Dense rankers over products, with vectors of hashed n-grams in a model's place.
+
+
+def _vectors(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """rows, stored, with the vectors of column doc."""
+    return stored(tokens(rows).join(embed.hashed(rows, key, T.char_wb(F.col("doc")), out), key), out)
+
+
+def _dense_and_hybrid(asked: DataFrame, catalogue: DataFrame, k: int, suffix: str = "") -> dict[str, DataFrame]:
+    """Both sides: query_id or ord, and doc."""
+    q, c = _vectors(asked.select("query_id", "doc"), "query_id", "q"), _vectors(catalogue.select("ord", "doc"), "ord", "v")
+    return {
+        "dense" + suffix: rank.dense(q.select("query_id", "q"), c.select("ord", "v"), k),
+        "hybrid" + suffix: rank.hybrid(q.select("query_id", "tokens", "q"), c.select("ord", "tokens", "v"), k).drop("bm25_rank"),
+    }
+
+
+def _dense_and_hybrid_sql(k: int, suffix: str = "", docs: str = "d", asked: str = "q") -> str:
+    """CTEs dense{suffix} and hybrid{suffix}."""
+    return f"""{S.hashed(docs, "ord", S.char_wb("doc"), "dv" + suffix)}, {S.hashed(asked, "query_id", S.char_wb("doc"), "qv" + suffix)},
+{S.dense("dv" + suffix, "qv" + suffix, "ds" + suffix)}, {S.top("ds" + suffix, k, "dense" + suffix)}, {S.hybrid("dv" + suffix, "qv" + suffix, "hybrid" + suffix, k)}"""
+
+
 # Metrics.
 
 
@@ -377,6 +400,26 @@ def metrics_compare(spark, d):
     return metrics.compared(ranked, asked.select("query_id", "gold"), 5)
 
 
+RAW_TOKENS_SQL = "list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS toks"
+NEURAL = ("dense", "hybrid", "dense_raw", "hybrid_raw")
+
+
+@query(
+    "metrics_compare_neural",
+    f"""{WITH_PRODUCTS}, rd AS (SELECT ord, lower(text) AS doc, {RAW_TOKENS_SQL} FROM d), rq AS (SELECT query_id, lower(text) AS doc, {RAW_TOKENS_SQL} FROM q),
+{_dense_and_hybrid_sql(5)}, {_dense_and_hybrid_sql(5, "_raw", "rd", "rq")}, {", ".join(S.hits(n, "q", 5, "h_" + n) for n in NEURAL)}
+SELECT method, round(p1, 3) AS p1, round(mrr, 3) AS mrr, round(recall, 3) AS recall, n FROM (
+  {" UNION ALL ".join(f"SELECT '{n}' AS method, {S.MEASURES} FROM h_{n}" for n in NEURAL)}
+)""",
+)
+def metrics_compare_neural(spark, d):
+    """Dense and hybrid rankers of normalised texts, and of raw ones: the ablation."""
+    asked, catalogue = stored(orders(spark, d), "orders"), stored(products(spark, d), "products")
+    raw = asked.select("query_id", F.lower("text").alias("doc")), catalogue.select("ord", F.lower("doc_raw").alias("doc"))
+    ranked = _dense_and_hybrid(asked, catalogue, 5) | _dense_and_hybrid(*raw, 5, "_raw")
+    return metrics.compared(ranked, asked.select("query_id", "gold"), 5)
+
+
 @query("score_percentiles", f"{BM25_5} SELECT rank, count(score) AS n, round(avg(score), 9) AS mean, round(quantile_cont(score, 0.05), 9) AS p5, min(score) AS min, max(score) AS max FROM r GROUP BY rank")
 def score_percentiles(spark, d):
     out = metrics.score_stats(bm25_top5(spark, d), "rank")
@@ -539,6 +582,16 @@ def error_set_algebra(spark, d):
     return analysis.error_sets(_first(spark, d), _first(spark, d, word_pairs))
 
 
+@query("error_sets_by_text", f"""{CORRECT_SQL},
+one AS (SELECT q.text, bool_or(NOT m.correct) AS wrong FROM m JOIN q ON m.query_id = q.query_id GROUP BY q.text),
+two AS (SELECT q.text, bool_or(NOT m.correct) AS wrong FROM wm m JOIN q ON m.query_id = q.query_id GROUP BY q.text)
+SELECT one.text, CASE WHEN one.wrong AND two.wrong THEN 'both' WHEN one.wrong THEN 'only_one' ELSE 'only_two' END AS side
+FROM one JOIN two ON one.text = two.text WHERE one.wrong OR two.wrong""")
+def error_sets_by_text(spark, d):
+    texts = orders(spark, d).select("query_id", "text")
+    return analysis.error_sets(_first(spark, d).join(texts, "query_id"), _first(spark, d, word_pairs).join(texts, "query_id"), "text")
+
+
 @query("gold_position", f"{CHAR_5}, {S.hits('r', 'q', 5, 'h')} SELECT query_id, coalesce(hit::varchar, '>5') AS position FROM h")
 def gold_position(spark, d):
     asked = orders(spark, d)
@@ -581,6 +634,19 @@ def ambiguous_top2(spark, d):
     return analysis.ambiguous(rank.tfidf(orders(spark, d), catalogue, T.char_wb, 5, pad=False), catalogue.select("ord", "name"))
 
 
+@query("ambiguous_stored_scores", f"""{CHAR_5}, dn AS (SELECT name FROM d GROUP BY name HAVING count(*) > 1),
+p AS (
+  SELECT query_id, max(CASE WHEN rank = 1 THEN name END) AS name_1, max(CASE WHEN rank = 2 THEN name END) AS name_2,
+         round(round(max(CASE WHEN rank = 1 THEN score END), 4) - round(max(CASE WHEN rank = 2 THEN score END), 4), 6) AS delta
+  FROM r JOIN d ON r.ord = d.ord WHERE rank <= 2 GROUP BY query_id
+), x AS (SELECT *, name_1 IN (SELECT name FROM dn) OR name_1 = name_2 AS duplicate_name FROM p WHERE delta IS NOT NULL)
+SELECT query_id, name_1, name_2, delta, duplicate_name FROM x WHERE duplicate_name OR delta < 0.01 ORDER BY query_id LIMIT 8""")
+def ambiguous_stored_scores(spark, d):
+    """As from stored details, whose scores have four digits."""
+    catalogue = products(spark, d)
+    return analysis.ambiguous(rank.tfidf(orders(spark, d), catalogue, T.char_wb, 5, pad=False), catalogue.select("ord", "name"), digits=4)
+
+
 @query("near_ties", f"{BM25_5} SELECT query_id, delta FROM (SELECT query_id, rank, round(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 6) AS delta FROM r) WHERE rank = 1 AND delta < 0.5")
 def near_ties(spark, d):
     return analysis.near_ties(bm25_top5(spark, d), 0.5)
@@ -620,6 +686,16 @@ def nomatch_probe_rankers(spark, d):
     return analysis.probe_tables(ranked, catalogue.select("ord", "name"))
 
 
+@query("nomatch_probe_neural", f"""{PROBE_SQL}, {_dense_and_hybrid_sql(3)},
+u AS (SELECT 'dense' AS method, * FROM dense UNION ALL SELECT 'hybrid', * FROM hybrid)
+SELECT method, query_id::bigint AS query_id, string_agg(name, '; ' ORDER BY rank) AS names, string_agg(printf('%.3f', score), '; ' ORDER BY rank) AS scores
+FROM u JOIN d ON u.ord = d.ord GROUP BY ALL""")
+def nomatch_probe_neural(spark, d):
+    probes = spark.createDataFrame(list(enumerate(PROBES)), "query_id long, text string")
+    catalogue = stored(products(spark, d), "products")
+    return analysis.probe_tables(_dense_and_hybrid(T.with_normalised(probes, "text"), catalogue, 3), catalogue.select("ord", "name"))
+
+
 @query("raw_text_top5", f"""WITH {PRODUCTS_SQL}, {ORDERS_SQL},
 rd AS (SELECT ord, lower(text) AS doc FROM d), rq AS (SELECT query_id, lower(text) AS doc FROM q),
 {S.tfidf('rd', 'rq', S.char_wb, 's')}, {S.top('s', 5, 'r')} {RANKED}""")
@@ -680,3 +756,16 @@ def topk_nested(spark, d):
     rows = analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5, pad=False), asked.select("query_id", "text"), asked.select("query_id", "gold"), names, digits=6)
     flat = F.transform("top", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.6f", x["score"])))
     return rows.withColumn("top", F.array_join(flat, "; "))
+
+
+@query("topk_default_names", f"""{CHAR_5}, names AS (SELECT * FROM d WHERE ord % 3 <> 0)
+SELECT q.query_id, q.text, g.ord::varchar AS gold_id, coalesce(g.name, '<FORA DO CATALOGO>') AS gold_name,
+  string_agg(coalesce(n.ord::varchar || ':', '') || coalesce(n.name, '?') || ':' || printf('%.6f', r.score), '; ' ORDER BY rank) AS top
+FROM q LEFT JOIN names g ON q.gold = g.ord LEFT JOIN r ON r.query_id = q.query_id LEFT JOIN names n ON r.ord = n.ord GROUP BY ALL""")
+def topk_default_names(spark, d):
+    """Rankings of a catalogue that lost a third of its names since: products without one, as gold or found, get defaults."""
+    asked, catalogue = orders(spark, d), products(spark, d)
+    names = catalogue.where("ord % 3 <> 0").select("ord", F.col("ord").cast("string").alias("id"), "name")
+    rows = analysis.nested(rank.tfidf(asked, catalogue, T.char_wb, 5, pad=False), asked.select("query_id", "text"), asked.select("query_id", "gold"), names, digits=6)
+    flat = F.transform("top", lambda x: F.concat_ws(":", x["id"], x["name"], F.format_string("%.6f", x["score"])))
+    return rows.withColumn("top", F.array_join(flat, "; "))

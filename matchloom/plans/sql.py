@@ -76,6 +76,32 @@ def char_wb(doc: str) -> str:
     return f"flatten(list_transform({words}, lambda w: {grams(3)} || {grams(4)} || {grams(5)}))"
 
 
+def hashed(source: str, key: str, terms: str, name: str, size: int = 64) -> str:
+    """CTEs ending in `name`: the columns of source and v, the unit vector of its hashed terms."""
+    return f"""
+{name}_h AS (SELECT {key}, ('0x' || substr(md5(term), 1, 4))::int AS h FROM (SELECT {key}, unnest({terms}) AS term FROM {source})),
+{name}_c AS (SELECT {key}, h % {size} AS place, sum(CASE WHEN (h // {size}) % 2 = 0 THEN 1 ELSE -1 END)::double AS x FROM {name}_h GROUP BY ALL),
+{name}_n AS (SELECT {key}, sqrt(sum(x * x)) AS norm, map(list(place), list(x)) AS m FROM {name}_c GROUP BY {key}),
+{name} AS (
+  SELECT s.*, list_transform(range(0, {size}), lambda i: CASE WHEN coalesce(n.norm, 0) = 0 THEN 0::double ELSE (coalesce(n.m[i], 0) / n.norm)::float::double END) AS v
+  FROM {source} s LEFT JOIN {name}_n n ON s.{key} = n.{key}
+)"""
+
+
+def dense(docs: str, queries: str, name: str) -> str:
+    return f"""
+{name} AS (SELECT query_id, ord, round(list_dot_product(q.v, d.v), 6) AS score FROM {queries} q, {docs} d)"""
+
+
+def hybrid(docs: str, queries: str, name: str, k: int = 5, candidates: int = 50) -> str:
+    """CTEs ending in `name`: the k best.  docs: ord, toks, v; queries: query_id, toks, v."""
+    return f"""{bm25(docs, queries, name + "_s")}, {padded(name + "_s", queries, docs, candidates, name + "_z")}, {top(name + "_z", candidates, name + "_c")},
+{name}_h AS (
+  SELECT c.query_id, c.ord, c.rank AS bm25_rank, round(list_dot_product(q.v, d.v), 6) AS score
+  FROM {name}_c c JOIN {docs} d ON c.ord = d.ord JOIN {queries} q ON c.query_id = q.query_id
+), {top(name + "_h", k, name, "bm25_rank")}"""
+
+
 def bigrams(doc: str) -> str:
     w = WORDS.format(doc)
     return f"{w} || list_transform(list_zip({w}, {w}[2:], true), lambda x: x[1] || ' ' || x[2])"

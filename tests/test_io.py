@@ -57,6 +57,9 @@ def test_neural_rankers_report_and_probes(spark, tmp_path, capsys):
     cli.main(["probe", *neural, "--method", "all"])
     said = capsys.readouterr().out
     assert all(said.count(f"| {n} |") == 9 for n in ("tfidf_char", "tfidf_word", "bm25", "dense", "hybrid")) and said.count("| control |") == 10
+    cli.main(["evaluate", "--data", data, "--embedder", "hashed", "--method", "all"])
+    said = capsys.readouterr().out
+    assert said.count("dense") == 1 and said.count("hybrid") == 1 and said.count("n=4") == 5, said
     with pytest.raises(SystemExit):
         cli.main(["probe", "--data", data, "--method", "dense"])
 

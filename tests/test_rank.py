@@ -186,3 +186,26 @@ def test_dense_leaves_far_cells_out(spark):
     compared = [r.compared for r in cells.search(asked, docs, 5)[1].collect()]
     assert len(compared) == 50 and sum(compared) < 50 * 2000 / 4
     assert rank.dense(asked, docs.limit(0), 5).count() == 0 and rank.dense(asked.limit(0), docs, 5).count() == 0
+
+
+def test_hashed_vectors(spark):
+    from hashlib import md5
+
+    texts = ["suco uva 1l", "suco uva 1l", "uva", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, doc string").repartition(3)
+    got = {r.ord: r.v for r in embed.hashed(df, "ord", F.split(F.nullif("doc", F.lit("")), " "), size=16).collect()}
+    assert set(got) == set(range(5))
+    for i, t in enumerate(texts):
+        v = np.zeros(16)
+        for w in (t or "").split():
+            h = int(md5(w.encode()).hexdigest()[:4], 16)
+            v[h % 16] += 1 - 2 * (h // 16 % 2)
+        assert np.allclose(got[i], v / (np.linalg.norm(v) or 1), atol=1e-6)
+
+
+def test_error_sets_by_text(spark):
+    rows = [(1, "a", True), (2, "a", False), (3, "b", True), (4, "c", False), (5, None, False)]
+    one = spark.createDataFrame(rows, "query_id long, text string, correct boolean")
+    two = one.withColumn("correct", F.col("text") != "b").na.fill(True)
+    assert {tuple(r) for r in analysis.error_sets(one, two, "text").where("text IS NOT NULL").collect()} == {("a", "only_one"), ("b", "only_two"), ("c", "only_one")}
+    assert {tuple(r) for r in analysis.error_sets(one, two).collect()} == {(2, "only_one"), (3, "only_two"), (4, "only_one"), (5, "only_one")}

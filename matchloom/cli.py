@@ -8,7 +8,7 @@ report    sets two rankers side by side (--classic, --deep): hits, errors, ambig
 
 --embedder module:function names a function without arguments that loads a model, that is, returns a function from a
 list of texts to a list of vectors; with it there are the rankers dense and hybrid.  --cache is where the catalogue's
-vectors are kept, by text.
+vectors are kept, by text.  --embedder hashed takes vectors of hashed n-grams, without a model or a cache.
 """
 
 from __future__ import annotations

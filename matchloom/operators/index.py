@@ -17,9 +17,6 @@ from matchloom.sources.shared import stored
 BROADCAST_TERMS = 1_000_000
 
 
-FEW_DOCUMENTS = 1_000_000
-
-
 def term_counts(docs: DataFrame, terms: str, *keys: str) -> DataFrame:
     """keys, term and tf."""
     return docs.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
@@ -40,19 +37,28 @@ def rep_of(content: Column) -> Column:
 
 
 def keyed(docs: DataFrame, content: str, rep: Column) -> DataFrame:
-    """ord, content and rep, stored: the content may have cost much to make, and is read several times."""
-    return stored(docs.select("ord", content, rep.alias("rep")), "keyed")
+    """ord, content, rep and row, a number of its own, stored: the content may have cost much to make, and is read several
+    times."""
+    return stored(docs.select("ord", content, rep.alias("rep"), F.monotonically_increasing_id().alias("row")), "keyed")
+
+
+def tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared(named: DataFrame, content: str) -> DataFrame:
-    """rep, content, copies and first, the least ord, of the distinct documents, dealt by rep, or by rep and first.  named: ord, content, rep.
+    """rep, content, copies and first, the least ord, of the distinct documents, dealt by rep and first.  named: a table of
+    keyed().
 
-    Spark gathers a shuffle of few bytes in few tasks, but few documents may still meet many queries: up to
-    FEW_DOCUMENTS, counted first, are dealt out once more, to as many tasks as a shuffle has."""
-    distinct = named.groupBy("rep").agg(F.first(content).alias(content), F.count("*").alias("copies"), F.min("ord").alias("first"))
-    if named.count() > FEW_DOCUMENTS:
-        return distinct
-    return distinct.repartition(int(named.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rep", "first")
+    Spark gathers a shuffle of few bytes in few tasks, but few documents may still meet many queries: so distinct ones are
+    dealt out to as many tasks as a shuffle has, however many rows they stand for."""
+    reps = named.groupBy("rep").agg(F.count("*").alias("copies"), F.min("ord").alias("first"), F.min("row").alias("of_row"))
+    reps = stored(reps.withColumnRenamed("rep", "of_rep"), "reps")
+    few = joinable(reps)
+    rows = named if few is not reps else named.repartition(tasks(named), "rep", "row")
+    # One row of each brings the content; both keys, so that copies of one text are no heavy key.
+    one = rows.join(few, (F.col("rep") == F.col("of_rep")) & (F.col("row") == F.col("of_row"))).select("rep", content, "copies", "first")
+    return one.repartition(tasks(named), "rep", "first")
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -103,7 +109,9 @@ class TfidfIndex:
 def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:
     """docs: ord and a normal text; terms_of: Column of text -> array of terms."""
     named = keyed(docs, text, rep_of(F.col(text)))
-    counts = term_counts(shared(named, text).withColumn("terms", terms_of(F.col(text))), "terms", "rep", "copies", "first")
+    # An outer explode: of an inner one Spark makes a filter on the terms, and makes those of all copies for it.
+    each = shared(named, text).withColumn("terms", terms_of(F.col(text))).select("rep", "copies", "first", F.explode_outer("terms").alias("term"))
+    counts = each.where("term IS NOT NULL").groupBy("rep", "copies", "first", "term").agg(F.count("*").alias("tf"))
     n = named.count()
     terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
     terms = stored(terms.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "terms")

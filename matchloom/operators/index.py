@@ -79,19 +79,49 @@ class Bm25Index:
     terms: DataFrame
 
 
+def with_counts(docs: DataFrame, terms: str, out: str) -> DataFrame:
+    """docs with out, an array of term and tf, in place of terms, whose equal ones stand in a row once sorted: nothing is
+    shuffled or kept for it.  Null terms drop out."""
+    at = lambda i: F.element_at("_sorted", i)
+    rows = docs.withColumn("_sorted", F.sort_array(F.array_compact(terms))).drop(terms)
+    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(1), F.size("_sorted"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_starts", F.filter(places, lambda i: F.when(i == 1, True).otherwise(at(i) != at(F.greatest(i - 1, F.lit(1))))))
+    ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(F.size("_sorted") + 1))
+    pairs = F.zip_with("_starts", ends, lambda a, b: F.struct(at(a).alias("term"), (b - a).cast("long").alias("tf")))
+    return rows.withColumn(out, F.when(F.size("_starts") > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))).drop("_sorted", "_starts")
+
+
+def frequent(terms: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Those of terms, a stored table with df, that are held most often, at most BROADCAST_TERMS; the rest; how many those are."""
+    size = F.floor(F.log2("df"))
+    counts = {r.size: r.n for r in terms.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}  # 60 rows at most
+    rows, least = 0, max(counts, default=0) + 1
+    while least - 1 in range(max(counts, default=0) + 1) and rows + counts.get(least - 1, 0) <= BROADCAST_TERMS:
+        least -= 1
+        rows += counts.get(least, 0)
+    return terms.where(size >= least), terms.where(size < least), sum(n for s, n in counts.items() if s < least)
+
+
 def bm25_index(docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
-    """docs: ord and tokens.  The weight of a posting is a document's whole share in a score per query occurrence."""
-    # A null after the tokens is a document's row, from which number and mean length come: texts are read once.
-    none = F.array(F.lit(None).cast("string"))
+    """docs: ord and tokens.  The weight of a posting is a document's whole share in a score per query occurrence.  Texts
+    are read once; postings of frequent terms meet them where they lie, only those of the others are shuffled."""
     rows = docs.select("ord", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
-    counts = stored(term_counts(rows.withColumn("tokens", F.concat("tokens", none)), "tokens", "ord", "dl"), "counts")
+    # A null after the terms is a document's row, from which number and mean length come.
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    each = with_counts(rows, "tokens", "counts").select("ord", "dl", F.explode(F.concat("counts", none)).alias("c"))
+    counts = stored(each.select("ord", "dl", "c.term", "c.tf"), "counts")
     n, length = F.count("*"), F.sum("dl")
     stats = counts.where("term IS NULL").agg(F.struct(n.alias("n_docs"), (length / n).alias("avgdl"))).scalar()
     counts = counts.where("term IS NOT NULL")
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("c", stats)
+    terms = stored(counts.groupBy("term").agg(F.count("*").alias("df")), "terms").withColumn("c", stats)
     terms = terms.withColumn("idf", bm25_idf(F.col("c.n_docs"), F.col("df")))
     weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("idf"), F.col("c.avgdl"), k1, b)
-    postings = counts.join(terms, "term").select("term", "ord", "tf", "dl", weight.alias("weight"))
+    often, others, rest = frequent(terms)
+    met = counts.join(F.broadcast(often.withColumnRenamed("term", "of")), F.col("term") == F.col("of"), "left")
+    postings = met.where("of IS NOT NULL").select("term", "ord", "tf", "dl", weight.alias("weight"))
+    if rest:
+        rare = met.where("of IS NULL").select("term", "ord", "tf", "dl").join(others, "term")
+        postings = postings.unionByName(rare.select("term", "ord", "tf", "dl", weight.alias("weight")))
     return Bm25Index(postings, terms.select("term", "df", "idf"))
 
 

@@ -48,3 +48,15 @@ def test_equal_products_share_a_vector(spark, monkeypatch):
     assert rows["v"] == [40]
     for r in ranked.values():
         assert sorted((x.query_id, x["rank"], x.ord) for x in r.collect()) == [(q, i + 1, q + 40 * i) for q in range(5) for i in range(2)]
+
+
+def test_postings_of_frequent_terms_are_not_shuffled(spark, monkeypatch):
+    texts = ["a a b c", "a b", None, "", "a d e e e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").withColumn("tokens", F.split("text", " "))
+    whole = sorted(index.bm25_index(docs).postings.collect())
+    assert [(r.term, r.ord, r.tf, r.dl) for r in whole][:3] == [("", 3, 1, 1), ("a", 0, 2, 4), ("a", 1, 1, 2)] and len(whole) == 9
+    monkeypatch.setattr(index, "BROADCAST_TERMS", 2)  # a and b; the others go by a shuffle
+    built = index.bm25_index(docs)
+    often, others, rest = index.frequent(built.terms)
+    assert {r.term for r in often.collect()} == {"a", "b"} and others.count() == rest == 4
+    assert sorted(built.postings.collect()) == whole

@@ -140,8 +140,9 @@ def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:
     """docs: ord and a normal text; terms_of: Column of text -> array of terms."""
     named = keyed(docs, text, rep_of(F.col(text)))
     # An outer explode: of an inner one Spark makes a filter on the terms, and makes those of all copies for it.
-    each = shared(named, text).withColumn("terms", terms_of(F.col(text))).select("rep", "copies", "first", F.explode_outer("terms").alias("term"))
-    counts = each.where("term IS NOT NULL").groupBy("rep", "copies", "first", "term").agg(F.count("*").alias("tf"))
+    each = with_counts(shared(named, text).withColumn("terms", terms_of(F.col(text))), "terms", "counts")
+    each = each.select("rep", "copies", "first", F.explode_outer("counts").alias("c")).where("c IS NOT NULL")
+    counts = each.select("rep", "copies", "first", "c.term", "c.tf")
     n = named.count()
     terms = counts.groupBy("term").agg(F.sum("copies").alias("df"))
     terms = stored(terms.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf")), "terms")
@@ -150,12 +151,19 @@ def tfidf_index(docs: DataFrame, terms_of, text: str = "doc") -> TfidfIndex:
 
 
 def raw_weights(index: TfidfIndex) -> DataFrame:
-    """rep, first, term and w: sublinear tf times idf, before the norm.  Most terms are of one document and have one idf;
-    the table of the others is broadcast where it can be, and then the counts stay dealt by rep."""
-    frequent = index.terms.where("df > 1").select(F.col("term").alias("of"), "idf")
-    met = index.counts.join(joinable(frequent), F.col("term") == F.col("of"), "left")
-    w = (1.0 + F.log("tf")) * F.coalesce("idf", F.lit(index.rare))
-    return met.select("rep", "first", "term", w.alias("w"))
+    """rep, first, term and w: sublinear tf times idf, before the norm.  Most terms are of one document and have one idf.
+    The table of the others is broadcast where it can be, and then the counts stay dealt by rep; else that of the most
+    frequent is, and only counts of the rest are shuffled."""
+    often, others, rest = frequent(index.terms.where("df > 1"))
+    met = index.counts.join(F.broadcast(often.select(F.col("term").alias("of"), "idf")), F.col("term") == F.col("of"), "left")
+    w = lambda idf: ((1.0 + F.log("tf")) * idf).alias("w")
+    rare = F.lit(index.rare)
+    if not rest:
+        return met.select("rep", "first", "term", w(F.coalesce("idf", rare)))
+    known = met.where("of IS NOT NULL").select("rep", "first", "term", w(F.col("idf")))
+    left = met.where("of IS NULL").select("rep", "first", "term", "tf")
+    left = left.join(others.select(F.col("term").alias("of"), "idf"), F.col("term") == F.col("of"), "left")
+    return known.unionByName(left.select("rep", "first", "term", w(F.coalesce("idf", rare))))
 
 
 def unit_weights(index: TfidfIndex) -> DataFrame:

@@ -60,3 +60,14 @@ def test_postings_of_frequent_terms_are_not_shuffled(spark, monkeypatch):
     often, others, rest = index.frequent(built.terms)
     assert {r.term for r in often.collect()} == {"a", "b"} and others.count() == rest == 4
     assert sorted(built.postings.collect()) == whole
+
+
+def test_tfidf_weights_of_frequent_terms_stay(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(["a b c", "a b", "a d c", "a b e", "f"])), "ord long, doc string")
+    split = lambda c: F.split(c, " ")
+    whole = sorted(rank.tfidf(docs.select(F.col("ord").alias("query_id"), "doc"), docs, split, 3).collect())
+    monkeypatch.setattr(index, "BROADCAST_TERMS", 1)  # a; b and c go by a shuffle, the others have one document each
+    built = index.tfidf_index(docs, split)
+    often, _, rest = index.frequent(built.terms.where("df > 1"))
+    assert [r.term for r in often.collect()] == ["a"] and rest == 2
+    assert sorted(rank.tfidf(docs.select(F.col("ord").alias("query_id"), "doc"), docs, split, 3).collect()) == whole

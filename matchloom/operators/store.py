@@ -34,6 +34,54 @@ BLOCKS = "term string, range long, held array<struct<ord: long, tf: long, dl: lo
 DELETED = "segment int, ord long, dl long"
 
 
+def _blocks_where_they_lie(docs: DataFrame) -> DataFrame:
+    """term, range, held, n, most_tf and least_dl of docs' blocks; one row a range, of no term, holds all its documents.
+    A range is of one task, so that nothing is shuffled to make its blocks.  docs: ord and tokens."""
+    import numpy as np
+    import pyarrow as pa
+
+    size, long = RANGE, pa.int64()
+    names = ["term", "range", "held", "n", "most_tf", "least_dl"]
+
+    def blocks(rows):
+        rows = rows.sort_by("ord").combine_chunks()
+        tokens, ords = rows.column("tokens").combine_chunks(), rows.column("ord").combine_chunks()
+        dl = np.nan_to_num(tokens.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        doc, values = np.repeat(np.arange(len(ords)), dl), tokens.flatten()
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        words = values.filter(pa.array(known)).dictionary_encode()
+        keys, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(ords) + doc[known], return_counts=True)
+        word, doc = np.divmod(keys, len(ords))
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        n = np.diff(starts, append=len(word))
+        most = np.maximum.reduceat(tf, starts) if len(starts) else n
+        least = np.minimum.reduceat(dl[doc], starts) if len(starts) else n
+        # The range's documents come first, under no term.
+        counts = [pa.array(np.concatenate(x), long) for x in ([np.zeros_like(dl), tf], [dl, dl[doc]])]
+        held = pa.StructArray.from_arrays([pa.concat_arrays([ords, ords.take(pa.array(doc))]), *counts], names=["ord", "tf", "dl"])
+        at = np.concatenate([[0], len(ords) + starts, [len(ords) + len(word)]]).astype(np.int32)
+        terms = pa.concat_arrays([pa.nulls(1, pa.string()), words.dictionary.take(pa.array(word[starts])).cast(pa.string())])
+        count = len(starts) + 1
+        told = [pa.array(np.concatenate([[of_all], x]), long) for of_all, x in ((len(ords), n), (0, most), (dl.min(), least))]
+        first = pa.array(np.full(count, rows.column("row")[0].as_py() // size if count else 0), long)
+        return pa.RecordBatch.from_arrays([terms, first, pa.ListArray.from_arrays(pa.array(at), held), *told], names=names)
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            whole = len(rows) // size * size
+            for at in range(0, whole, size):
+                yield blocks(rows.slice(at, size))
+            left = rows.slice(whole)
+        if left is not None and len(left):
+            yield blocks(left)
+
+    rows = docs.select(F.col("ord").cast("long").alias("ord"), F.col("tokens").cast("array<string>").alias("tokens"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, BLOCKS.removesuffix(", folder int"))
+
+
 class Index:
     """The index in a folder that Spark can write, as its last commit has it."""
 
@@ -75,18 +123,14 @@ class Index:
         """docs: ord and tokens; null tokens are none.  An ord that the index has must be deleted first."""
         number = self._next()
         at = f"{self.path}/segments/{number}"
-        rows = docs.select(F.col("ord").cast("long").alias("ord"), "tokens", F.greatest(F.size("tokens"), F.lit(0)).cast("long").alias("dl"))
-        # Numbers of rows change with the plan that makes them, so they are taken from what is written.
-        rows = stored(rows.withColumn("range", F.monotonically_increasing_id() / RANGE).withColumn("range", F.floor("range")), "append")
+        # Numbers of rows change with the plan that makes them, so documents and blocks are both taken from what is written.
+        made = stored(_blocks_where_they_lie(docs), "append")
+        rows = made.where("term IS NULL").select("range", F.explode("held").alias("h")).select("h.ord", "h.dl", "range")
         if self.segments and rows.select("ord").join(self.documents().select("ord"), "ord", "left_semi").limit(1).count():
             raise ValueError("the index has a document of this ord already")
-        rows.select("ord", "dl", "range").write.parquet(f"{at}/documents")
-        counts = term_counts(rows, "tokens", "ord", "dl", "range").withColumn("folder", F.pmod(F.hash("term"), F.lit(FOLDERS))).withColumn("part", F.pmod("range", F.lit(PARTS)))
-        held = F.sort_array(F.collect_list(F.struct("ord", "tf", "dl")))
-        blocks = counts.repartition("folder", "part").groupBy("folder", "part", "term", "range").agg(
-            held.alias("held"), F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl")
-        )
-        blocks.drop("part").sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{at}/postings")
+        rows.write.parquet(f"{at}/documents")
+        blocks = made.where("term IS NOT NULL").withColumn("folder", F.pmod(F.hash("term"), F.lit(FOLDERS))).withColumn("part", F.pmod("range", F.lit(PARTS)))
+        blocks.repartition("folder", "part").drop("part").sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{at}/postings")
         n, length = rows.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         self._commit([*self.segments, {"id": number, "docs": n, "length": length}], self.deletions)
 
@@ -145,10 +189,16 @@ class Index:
     def blocks(self) -> DataFrame:
         return self._read("postings", BLOCKS)
 
+    def held(self, asked: DataFrame) -> DataFrame:
+        """The blocks of the terms of asked, a stored table; stored, so that the index is read once, and these alone later."""
+        wanted = asked.select("term").distinct().withColumn("folder", F.pmod(F.hash("term"), F.lit(FOLDERS)))
+        return stored(self.blocks().join(joinable(stored(wanted, "wanted")), ["folder", "term"]), "held")
+
     def terms(self, asked: DataFrame) -> DataFrame:
         """term, folder, df and idf of the terms of asked, a stored table, that live documents hold."""
-        wanted = asked.select("term").distinct().withColumn("folder", F.pmod(F.hash("term"), F.lit(FOLDERS)))
-        met = self.blocks().join(joinable(stored(wanted, "wanted")), ["folder", "term"])
+        return self._terms(self.held(asked))
+
+    def _terms(self, met: DataFrame) -> DataFrame:
         if self.deletions:
             met = self._live(met.select("segment", "folder", "term", F.explode("held.ord").alias("ord"))).withColumn("n", F.lit(1))
         df = met.groupBy("folder", "term").agg(F.sum("n").alias("df"))
@@ -169,10 +219,11 @@ def search(queries: DataFrame, index: Index, k: int = 5, k1: float = 1.5, b: flo
     with own_tables() as own:
         asked = stored(term_counts(queries, "tokens", "query_id").withColumnRenamed("tf", "qtf"), "asked")
         avgdl = F.lit(index.length / index.n_docs if index.n_docs else 0.0)
-        wanted = asked.join(index.terms(asked), "term").select("query_id", "folder", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+        held = index.held(asked)
+        wanted = asked.join(index._terms(held), "term").select("query_id", "folder", "term", (F.col("qtf") * F.col("idf")).alias("w"))
         wanted = stored(wanted, "wanted")
         few = wanted.count() <= 1_000_000
-        named = index.blocks().drop("held")
+        named = held.drop("held")
         bound = bm25_weight(F.col("most_tf"), F.col("least_dl"), F.col("w"), avgdl, k1, b)
         bounds = _weights(wanted, named, None, few).groupBy("query_id", "segment", "range").agg(F.sum(bound).alias("bound"), F.count("*").alias("blocks"))
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "range")
@@ -190,7 +241,7 @@ def search(queries: DataFrame, index: Index, k: int = 5, k1: float = 1.5, b: flo
             open_now = stored(open_now.select("query_id", "segment", "range", "blocks"), "open")
             if found is not None and not open_now.limit(1).count():
                 continue
-            met = _weights(wanted, index.blocks(), open_now.drop("blocks"), few).select("query_id", "segment", "w", F.explode("held").alias("h"))
+            met = _weights(wanted, held, open_now.drop("blocks"), few).select("query_id", "segment", "w", F.explode("held").alias("h"))
             met = index._live(met.select("query_id", "segment", "w", "h.ord", "h.tf", "h.dl"))
             weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("w"), avgdl, k1, b)
             part = met.groupBy("query_id", "ord").agg(F.round(F.sum(weight), DIGITS).alias("score"))

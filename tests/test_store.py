@@ -92,3 +92,37 @@ def test_empty(spark, tmp_path, small):
     index.append(frame(spark, []))
     assert store.search(asked(spark), index, 5)[0].count() == 0
     assert store.Index(spark, str(tmp_path / "index")).terms(asked(spark).select(F.explode("tokens").alias("term"))).count() == 0
+
+
+def test_ranges_span_batches_and_null_tokens_drop_out(spark, tmp_path, small):
+    docs = [*texts(60), (70, None), (71, []), (72, [None, "uva", None, "uva"]), (73, [None])]
+    rows = spark.createDataFrame(docs, "ord long, tokens array<string>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        made = store._blocks_where_they_lie(rows)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        found = made.collect()
+        index = store.Index(spark, str(tmp_path / "index"))
+        index.append(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for at, (ord_, tokens) in enumerate(docs):
+        for t in {*(tokens or [])} - {None}:
+            want.setdefault((t, at // 8), []).append((ord_, tokens.count(t), len(tokens)))
+    assert {(r.term, r.range): [tuple(h) for h in r.held] for r in found if r.term is not None} == want
+    assert all((r.n, r.most_tf, r.least_dl) == (len(r.held), max(h.tf for h in r.held), min(h.dl for h in r.held)) for r in found if r.term is not None)
+    assert sorted((h.ord, h.dl) for r in found if r.term is None for h in r.held) == [(o, len(t or [])) for o, t in docs]
+    assert (index.n_docs, index.length) == (64, sum(len(t or []) for _, t in docs))
+
+
+def test_a_search_reads_the_index_once(spark, tmp_path, small, monkeypatch):
+    index = store.Index(spark, str(tmp_path / "index"))
+    index.append(frame(spark, texts(300)))
+    index.delete(spark.createDataFrame([(3,)], "x long"))
+    reads, plain = [], store.Index.blocks
+    monkeypatch.setattr(store.Index, "blocks", lambda self: reads.append(1) or plain(self))
+    ranked, _ = store.search(asked(spark), index, 5)
+    assert rows(ranked) == rows(rank.bm25(asked(spark), frame(spark, [t for t in texts(300) if t[0] != 3]), 5))
+    assert len(reads) == 1

@@ -1,5 +1,7 @@
 """Few distinct documents that stand for many rows: dealt to all tasks, and scored once."""
 
+import pytest
+from matchloom.functions import text as T
 from matchloom.operators import index, rank
 from matchloom.plans import catalog
 from pyspark.sql import functions as F
@@ -31,6 +33,18 @@ def test_few_texts_of_many_rows_are_dealt_out(spark):
     assert len({r.at for r in rows}) > 1
 
 
+@pytest.mark.parametrize("terms", [T.char_wb, catalog.word_pairs])
+def test_queries_meet_few_texts_of_many_rows_in_many_tasks(spark, terms):
+    named = F.concat(F.lit("nome "), (F.col("id") % 40 + 10).cast("string")).alias("doc")
+    docs = spark.range(1_000_001).select(F.col("id").alias("ord"), named)
+    made = index.tfidf_index(docs, terms)
+    at = made.counts.select("rep", F.spark_partition_id().alias("at")).distinct().groupBy("at").agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in at) == 40 and len(at) > 1 and max(r.n for r in at) < 40
+    asked = spark.range(3).select(F.col("id").alias("query_id"), named)
+    found = rank.tfidf_by(made, asked, docs, terms, 2, pad=False).select("query_id", "rank", "ord").collect()
+    assert sorted(map(tuple, found)) == [(q, i + 1, q + 40 * i) for q in range(3) for i in range(2)]
+
+
 def test_bm25_scores_a_list_of_tokens_once(spark, monkeypatch):
     docs = spark.range(2000).select(F.col("id").alias("ord"), F.split(names(), " ").alias("tokens"))
     asked = spark.range(20).select(F.col("id").alias("query_id"), F.split(names(), " ").alias("tokens"))

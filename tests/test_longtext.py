@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from matchloom.functions import text as T
 from matchloom.operators import index, longtext, rank
 from matchloom.plans import catalog
 from matchloom.plans.catalog import word_pairs
@@ -39,27 +40,26 @@ def test_same_ranking(spark, monkeypatch, pad):
     queries, catalogue = frames(spark, docs, asked)
     rounds, norms = [], longtext.norms
     monkeypatch.setattr(longtext, "norms", lambda *a: rounds.append(1) or norms(*a))
-    found = sorted(longtext.tfidf(queries, catalogue, word_pairs, 5, pad=pad).collect())
+    found = sorted(longtext.tfidf(queries, catalogue, T.word_terms, T.with_bigrams, 5, pad=pad).collect())
     assert len(rounds) == 2 and found == sorted(rank.tfidf(queries, catalogue, word_pairs, 5, pad=pad).collect())
 
 
 def test_no_documents(spark, monkeypatch):
     few(monkeypatch)
     queries, catalogue = frames(spark, ["some words"], ["some words"])
-    assert longtext.tfidf(queries, catalogue.where("false"), word_pairs).collect() == []
-    assert longtext.tfidf(queries.where("false"), catalogue, word_pairs).collect() == []
+    assert longtext.tfidf(queries, catalogue.where("false"), T.word_terms, T.with_bigrams).collect() == []
+    assert longtext.tfidf(queries.where("false"), catalogue, T.word_terms, T.with_bigrams).collect() == []
 
 
 def test_bounds_hold(spark, monkeypatch):
     few(monkeypatch)
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts(80, 40, 60))], "row long, doc string")
-    terms = word_pairs(F.col("doc"))
-    held = rows.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    least = F.get(longtext.least_idf(rows, terms, 80), longtext._place(longtext.PLACES).cast("int"))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts(80, 40, 60))], "row long, doc string").withColumn("words", T.word_terms(F.col("doc")))
+    held = rows.select(F.explode(F.array_distinct(T.with_bigrams(F.col("words")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    least = F.get(longtext.least_idf(rows, T.with_bigrams, 80), longtext._place(longtext.PLACES).cast("int"))
     assert held.where(least.isNull() | (least > longtext._idf(80, F.col("df")))).count() == 0
     # With places enough, most terms have one of their own.
     few(monkeypatch, PLACES=1 << 16)
-    least = F.get(longtext.least_idf(rows, terms, 80), longtext._place(longtext.PLACES).cast("int"))
+    least = F.get(longtext.least_idf(rows, T.with_bigrams, 80), longtext._place(longtext.PLACES).cast("int"))
     near = held.where(least > longtext._idf(80, F.col("df")) - 0.001).count()
     assert near > 0.9 * held.count()
 
